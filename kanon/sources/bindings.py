@@ -236,4 +236,7 @@ def with_bindings(sql: str, *names: str, extra: dict[str, str] | None = None) ->
         parts.append(f"{k} AS ({v}\n)")
     if not parts:
         return sql
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":  # merge the query's own CTEs into one WITH list
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + sql
