@@ -237,6 +237,8 @@ def with_bindings(sql: str, *names: str, extra: dict[str, str] | None = None) ->
     if not parts:
         return sql
     body = sql.lstrip()
+    if body[:15].lower() == "with recursive ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].lower() == "with ":  # merge the query's own CTEs into one WITH list
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + sql
