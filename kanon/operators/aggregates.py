@@ -25,9 +25,10 @@ def ordered_concat(df: DataFrame, group: str, value: Column, order: Column, sep:
     return df.groupBy(group).agg(F.nullif(joined, F.lit("")).alias("concat"))
 
 
-def json_agg_ordered(df: DataFrame, group: str, fields: list[str], order: str) -> DataFrame:
-    """A10: JSON array of objects ordered by ``order`` (NULL fields kept as JSON null)."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(f) for f in fields])))
+def json_agg_ordered(df: DataFrame, group: str, fields: list[str], order: list[str]) -> DataFrame:
+    """A10: JSON array of objects ordered by the ``order`` columns (NULL fields kept as JSON null)."""
+    key = F.struct(*[F.col(c) for c in order])
+    items = F.array_sort(F.collect_list(F.struct(key.alias("_o"), *[F.col(f) for f in fields])))
     objs = F.transform(items, lambda s: F.struct(*[s[f].alias(f) for f in fields]))
     return df.groupBy(group).agg(F.to_json(objs, {"ignoreNullFields": "false"}).alias("json"))
 
