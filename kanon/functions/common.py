@@ -40,3 +40,14 @@ def micros_ntz(c: str | Column) -> Column:
 def clamp(value: int | None, default: int, lo: int, hi: int) -> int:
     v = default if value is None or value <= 0 else value
     return max(lo, min(hi, v))
+
+
+def ntz_to_instant(c: str | Column) -> Column:
+    """TIMESTAMP_NTZ wall clock read as UTC → TIMESTAMP (session-time-zone independent)."""
+    return F.timestamp_micros(micros_ntz(c))
+
+
+def instant_to_ntz(c: str | Column) -> Column:
+    """TIMESTAMP → its UTC wall clock as TIMESTAMP_NTZ (session-time-zone independent)."""
+    secs = (F.unix_micros(col(c)).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr(EPOCH_NTZ) + F.make_dt_interval(secs=secs)
