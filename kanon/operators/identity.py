@@ -72,8 +72,17 @@ def _order_struct(df: DataFrame, row_id: str, updated: str) -> Column:
     )
 
 
+def _with_identity_columns(df: DataFrame) -> DataFrame:
+    """Identity columns a source lacks (e.g. trader rows carry no court number) count as NULL."""
+    for c in ("nip", "krs_number", "regon", "ceidg_id"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return df
+
+
 def flag_current(df: DataFrame, row_id: str = "id", updated: str = "updated_at") -> DataFrame:
     """Add ``identity_key``, ``current_rank`` and ``is_current`` (one current row per identity)."""
+    df = _with_identity_columns(df)
     keyed = df.withColumn("identity_key", identity_key(row_id=row_id)).withColumn("current_rank", status_rank())
     winners = (
         keyed.groupBy("identity_key")
@@ -89,6 +98,7 @@ def flag_current(df: DataFrame, row_id: str = "id", updated: str = "updated_at")
 
 def flag_current_window(df: DataFrame, row_id: str = "id", updated: str = "updated_at") -> DataFrame:
     """Literal ``row_number()`` form of :func:`flag_current` (same result)."""
+    df = _with_identity_columns(df)
     keyed = df.withColumn("identity_key", identity_key(row_id=row_id)).withColumn("current_rank", status_rank())
     w = Window.partitionBy("identity_key").orderBy(_order_struct(keyed, row_id, updated))
     return keyed.withColumn("is_current", F.row_number().over(w) == 1)

@@ -61,10 +61,15 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
-def read_snapshot(spark: SparkSession, root: str, current_only: bool = False) -> DataFrame | None:
-    v = latest_version(spark, root)
+def read_snapshot(spark: SparkSession, root: str, current_only: bool = False,
+                  version: int | None = None) -> DataFrame | None:
+    """Latest (or the given) version; ``None`` when it does not exist."""
+    v = latest_version(spark, root) if version is None else version
     if v is None:
         return None
+    fs, p = _fs(spark, f"{root.rstrip('/')}/v={v}")
+    if not fs.exists(p):
+        return None
     df = spark.read.parquet(f"{root.rstrip('/')}/v={v}")
     return df.filter(F.col("is_current")) if current_only else df
 
