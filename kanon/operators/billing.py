@@ -109,43 +109,76 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
         "_bkt", F.floor(micros_ntz(ts) / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
 
     size = max_cost + 1
-
-    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie])
-        t = _transition(pdf[cost].to_numpy(np.int64), size)
-        return pd.DataFrame({user: [pdf[user].iat[0]], "_bkt": [pdf["_bkt"].iat[0]], "_t": [t.tolist()]})
+    nparts = requests.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    nparts = int(nparts) if nparts and nparts.isdigit() else 200
+
+    def chunks(it, key_cols):
+        """Yield (key tuple, pandas rows) for consecutive equal keys of a partition sorted by key_cols,
+        across Arrow batch boundaries."""
+        carry = None
+        for pdf in it:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            keys = pdf[key_cols].to_numpy()
+            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *change.tolist(), len(pdf)]
+            for lo, hi in zip(bounds[:-2], bounds[1:-1]):
+                yield tuple(keys[lo]), pdf.iloc[lo:hi]
+            carry = pdf.iloc[bounds[-2]:]
+        if carry is not None and not carry.empty:
+            yield tuple(carry[key_cols].to_numpy()[0]), carry
+
+    def tables(it):
+        out_u, out_b, out_t = [], [], []
+        for (u, bkt), g in chunks(it, [user, "_bkt"]):
+            out_u.append(u)
+            out_b.append(bkt)
+            out_t.append(_transition(g[cost].to_numpy(np.int64), size).tolist())
+        yield pd.DataFrame({user: out_u, "_bkt": out_b, "_t": out_t})
 
     tschema = f"{user} long, _bkt long, _t array<long>"
-    tab = cand.select(user, "_bkt", ts, tie, cost).groupBy(user, "_bkt").applyInPandas(tables, tschema)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bkt")
-        b = int(pdf["_b0"].iat[0])
-        starts = []
-        for t in pdf["_t"]:
-            starts.append(b)
-            b = int(t[b])
-        return pd.DataFrame({user: pdf[user].to_numpy(), "_bkt": pdf["_bkt"].to_numpy(), "_start": starts})
-
-    # one row per (user, bucket) with a table of at most max_cost + 1 longs
-    starts = tab.join(first, user).groupBy(user).applyInPandas(compose, f"{user} long, _bkt long, _start long")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie])
-        b = int(pdf["_start"].iat[0])
-        acc, after = [], []
-        for c in pdf[cost].to_numpy(np.int64):
-            ok = b >= c
-            if ok:
-                b -= int(c)
-            acc.append(bool(ok))
-            after.append(b)
-        return pdf[[user, ts, tie, cost]].assign(accepted=acc, balance_after=after)
-
-    cand_s = cand.join(starts, [user, "_bkt"]).select(user, ts, tie, cost, "_bkt", "_start")
+    tab = (cand.select(user, "_bkt", ts, tie, cost)
+           .repartition(nparts, user, "_bkt").sortWithinPartitions(user, "_bkt", ts, tie)
+           .mapInPandas(tables, tschema))
+
+    def compose(it):
+        us, bs, ss = [], [], []
+        for (u,), g in chunks(it, [user]):
+            b = int(g["_b0"].iat[0])
+            for bkt, t in zip(g["_bkt"].to_numpy(), g["_t"]):
+                us.append(u)
+                bs.append(int(bkt))
+                ss.append(b)
+                b = int(t[b])
+        yield pd.DataFrame({user: us, "_bkt": bs, "_start": ss})
+
+    # one row per (user, bucket), each a table of at most max_cost + 1 longs
+    starts = (tab.join(first, user).repartition(nparts, user).sortWithinPartitions(user, "_bkt")
+              .mapInPandas(compose, f"{user} long, _bkt long, _start long"))
+
     out_schema = StructType(requests.select(user, ts, tie, cost).schema.fields
                             + [StructField("accepted", BooleanType()), StructField("balance_after", LongType())])
-    replayed = cand_s.groupBy(user, "_bkt").applyInPandas(replay, out_schema)
+
+    def replay(it):
+        parts = []
+        for _key, g in chunks(it, [user, "_bkt"]):
+            b = int(g["_start"].iat[0])
+            acc, after = [], []
+            for c in g[cost].to_numpy(np.int64):
+                ok = b >= c
+                if ok:
+                    b -= int(c)
+                acc.append(bool(ok))
+                after.append(b)
+            parts.append(g[[user, ts, tie, cost]].assign(accepted=acc, balance_after=after))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+    replayed = (cand.join(starts, [user, "_bkt"]).select(user, ts, tie, cost, "_bkt", "_start")
+                .repartition(nparts, user, "_bkt").sortWithinPartitions(user, "_bkt", ts, tie)
+                .mapInPandas(replay, out_schema))
     # hopeless rows keep the balance of the last earlier candidate (or the shortfall balance)
     hop = hopeless.select(user, ts, tie, cost, F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("balance_after"))
     allrows = head.unionByName(replayed).unionByName(hop)
