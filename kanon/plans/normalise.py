@@ -103,10 +103,8 @@ select doc_id,
        {D.phone_json('l')} as phones_json
 from dist""")
 def q_norm_phone_types(spark, sf):
-    ps = C.phone_set("text")
-    return _docs(spark, sf).select(
-        "doc_id", ps["mobile"].alias("phone_mobile"), ps["landline"].alias("phone_landline"),
-        ps["json"].alias("phones_json"))
+    d = C.with_phone_columns(_docs(spark, sf).select("doc_id", "text"), F.col("text"))
+    return d.select("doc_id", "phone_mobile", "phone_landline", "phones_json")
 
 
 @query("norm_digits", f"select doc_id, {D.digits('text')} as digits, {D.digits('text', 10)} as digits10 from documents")
