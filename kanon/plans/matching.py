@@ -245,3 +245,21 @@ def q_name_candidates(spark, sf):
     f"select id, nip, regon from current_rows where ({P('nip')} or {P('regon')}) and not {P('krs_number')}"))
 def q_enrichment_worklist(spark, sf):
     return MG.enrichment_worklist(current(spark, sf)).select("id", "nip", "regon")
+
+
+@query("backfill_paths", with_bindings(
+    "select b_id, county, 'POLSKA' as country from registry_b", "registry_b"))
+def q_backfill_paths(spark, sf):
+    """Blank address columns of court rows filled from JSON paths of their raw excerpt
+    (seat first, then address)."""
+    from kanon.plans.landing import excerpt_payloads
+
+    b = registry_b(spark, sf)
+    master = b.select("b_id", F.when(F.col("b_id") % 3 == 0, F.lit("")).otherwise(F.col("county")).alias("county"),
+                      F.lit(None).cast("string").alias("country"))
+    raw = excerpt_payloads(spark, sf).select(F.col("page_key").alias("b_id"), F.col("content").alias("raw_krs_payload"))
+    paths = {
+        "county": ("$.odpis.dane.dzial1.siedzibaIAdres.siedziba.powiat", "$.odpis.dane.dzial1.siedzibaIAdres.adres.powiat"),
+        "country": ("$.odpis.dane.dzial1.siedzibaIAdres.adres.kraj", "$.odpis.dane.dzial1.siedzibaIAdres.siedziba.kraj"),
+    }
+    return MG.backfill_paths(master.join(raw, "b_id"), "raw_krs_payload", paths).select("b_id", "county", "country")

@@ -210,3 +210,35 @@ def q_multi_format_date(spark, sf):
          .when(k % 5 == 2, F.date_format(d, "dd-MM-yyyy")).when(k % 5 == 3, F.date_format(d, "yyyyMMdd"))
          .otherwise(F.concat(F.lit("n/a "), k.cast("string"))))
     return o.select("o_orderkey", s.alias("date_text")).withColumn("parsed", parse_date("date_text"))
+
+
+# ------------------------------------------------------------------ H15 / W6
+@query("renormalize", with_bindings(f"""
+select id, {D.digits('nip')} as nip, {D.digits('regon')} as regon, {D.digits('krs_number', 10)} as krs_number,
+       {D.clean('name')} as name, upper({D.clean('status')}) as status, {D.voivodeship('voivodeship')} as voivodeship,
+       {D.title('county')} as county, {D.title('city')} as city, {D.legal_form('legal_form')} as legal_form,
+       {D.activity_code('main_pkd_code')} as main_pkd_code, {D.country('country')} as country, {D.street('street')} as street,
+       {D.join_or_null(D.ordered_distinct(D.phone_list_raw('phone')))} as phone,
+       {D.join_or_null(D.email_list_raw('email'))} as email, {D.join_or_null(D.website_list_raw('website'))} as website
+from company_history""", "company_history"))
+def q_renormalize(spark, sf):
+    """Every stored company row re-normalised with the write-time rules."""
+    from kanon.operators.renormalize import renormalize
+
+    cols = ["id", "nip", "regon", "krs_number", "name", "status", "voivodeship", "county", "city", "legal_form",
+            "main_pkd_code", "country", "street", "phone", "email", "website"]
+    return renormalize(company_history(spark, sf).select(*cols)).select(*cols)
+
+
+@query("split_ordinal", f"""
+with p as (select doc_id, {D.join_or_null(D.ordered_distinct(D.phone_list_raw('text')))} as phones from documents)
+select doc_id, ordinal, item from (
+  select doc_id, unnest(generate_series(1, len(string_split_regex(phones, '\s*,\s*')))) as ordinal,
+         unnest(string_split_regex(phones, '\s*,\s*')) as item
+  from p where phones is not null)""")
+def q_split_ordinal(spark, sf):
+    """Each document's normalised phone list split back into (ordinal, number) rows."""
+    from kanon.operators.renormalize import split_ordinal
+
+    d = _docs(spark, sf).select("doc_id", C.phone_list("text").alias("phones"))
+    return split_ordinal(d, "doc_id", "phones")
