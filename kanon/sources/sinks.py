@@ -71,7 +71,12 @@ def read_snapshot(spark: SparkSession, root: str, current_only: bool = False,
     if not fs.exists(p):
         return None
     df = spark.read.parquet(f"{root.rstrip('/')}/v={v}")
-    return df.filter(F.col("is_current")) if current_only else df
+    if "is_current" not in df.columns:
+        return df
+    # partition discovery types ``is_current=true`` as a string: prune on the raw value, then cast
+    if current_only:
+        df = df.filter(F.col("is_current").cast("string") == "true")
+    return df.withColumn("is_current", F.col("is_current").cast("boolean"))
 
 
 def append_events(df: DataFrame, path: str, partition_by: str | None = None) -> None:
