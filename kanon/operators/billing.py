@@ -136,7 +136,8 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
             out_u.append(u)
             out_b.append(bkt)
             out_t.append(_transition(g[cost].to_numpy(np.int64), size).tolist())
-        yield pd.DataFrame({user: out_u, "_bkt": out_b, "_t": out_t})
+        if out_u:  # an empty frame would carry float columns Arrow cannot turn into list<long>
+            yield pd.DataFrame({user: out_u, "_bkt": out_b, "_t": out_t})
 
     tschema = f"{user} long, _bkt long, _t array<long>"
     tab = (cand.select(user, "_bkt", ts, tie, cost)
@@ -152,7 +153,8 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
                 bs.append(int(bkt))
                 ss.append(b)
                 b = int(t[b])
-        yield pd.DataFrame({user: us, "_bkt": bs, "_start": ss})
+        if us:
+            yield pd.DataFrame({user: us, "_bkt": bs, "_start": ss})
 
     # one row per (user, bucket), each a table of at most max_cost + 1 longs
     starts = (tab.join(first, user).repartition(nparts, user).sortWithinPartitions(user, "_bkt")
