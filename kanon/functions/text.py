@@ -135,12 +135,12 @@ def voivodeship(c) -> Column:
 # ------------------------------------------------------------------ H10 codes / status / legal form
 def activity_code(c) -> Column:
     """Alphanumerics only, upper; empty → NULL (``62.01.Z`` → ``6201Z``)."""
-    return F.nullif(F.upper(F.regexp_replace(clean_text(c), "[^0-9A-Za-z]", "")), F.lit(""))
+    return F.nullif(F.upper(F.regexp_replace(clean_text(c), "[^0-9A-Za-z]+", "")), F.lit(""))
 
 
 def digits(c, pad: int | None = None) -> Column:
     """H9: digits only (Unicode decimal digits), NULL when none; left-pad to ``pad`` but never truncate."""
-    d = F.nullif(F.regexp_replace(clean_text(c), r"(?U)\D", ""), F.lit(""))
+    d = F.nullif(F.regexp_replace(clean_text(c), r"(?U)\D+", ""), F.lit(""))
     if pad is None:
         return d
     return F.when(F.length(d) < pad, F.lpad(d, pad, "0")).otherwise(d)
