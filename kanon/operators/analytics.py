@@ -2,14 +2,15 @@
 
 Distribution plan: one scan → partial hash aggregate per bucket → shuffle of
 (bucket, count) rows only → HAVING → TakeOrderedAndProject(limit). The total
-is the sum of the group counts taken *before* HAVING, attached as a scalar
-subquery over the grouped rows (no join at all; the subquery shares the
-grouped shuffle through exchange reuse).
+is the sum of the group counts taken *before* HAVING: a window over the
+*grouped* rows (one row per distinct bucket — bounded by the dimension's
+cardinality, not by the data), so the data is aggregated in a single pass
+with no join and no second evaluation of the input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kanon.functions.common import blank_null, clamp, percent, present
@@ -80,12 +81,12 @@ def distribution(df: DataFrame, dim: str | Column, limit: int | None = 20, min_b
         F.count(F.lit(1)).alias("companies"),
         F.count_if(is_active()).alias("active_companies"),
     )
-    total = grouped.select(F.sum("companies").cast("bigint")).scalar()
+    everything = Window.partitionBy()
     return (
-        grouped.filter(F.col("companies") >= min_bucket)
+        grouped.withColumn("total_count", F.sum("companies").over(everything).cast("bigint"))
+        .filter(F.col("companies") >= min_bucket)
         .orderBy(F.col("companies").desc(), F.col("bucket_key").asc())
         .limit(limit)
-        .withColumn("total_count", total)
         .select("bucket_key", "companies", "active_companies", "total_count",
                 percent("companies", "total_count").alias("share_pct"))
     )

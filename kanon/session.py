@@ -40,11 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (HDFS / object store) folder and is
-    read as-is. Only when it is unset — local tests — a scratch folder is made.
+    read as-is — from the running context, the session conf or the launch conf.
+    Only when it is unset everywhere (local tests) a scratch folder is made.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    current = current or spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not current:
         current = tempfile.mkdtemp(prefix="kanon-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set(CHECKPOINT_CONF, current)
+        except Exception:  # noqa: BLE001 — some deployments reject core confs at runtime
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
