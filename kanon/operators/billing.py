@@ -8,10 +8,10 @@ is not a plain cumulative sum. Exact and skew-safe plan:
 2. every request whose running cost stays within the grant is accepted — exact,
    since no earlier request can have been rejected;
 3. after a user's first shortfall the balance is below one request's cost, i.e.
-   below ``MAX_COST``; later requests costing more than that balance are rejected
+   below that request's cost; later requests costing more than that balance are rejected
    outright. The rest (the "tail") is cut into (user, time bucket) chunks; each
    chunk computes, vectorised, its transition table ``start balance → end
-   balance`` over ``0..MAX_COST``; the tables (one per user and bucket) are
+   balance`` over ``0..shortfall balance`` (< one request's cost); the tables (one per user and bucket) are
    composed in bucket order to give every chunk its exact start balance; a last
    pass replays each chunk from that balance. No task ever holds more than one
    bucket of one user.
@@ -90,15 +90,13 @@ def _transition(costs: np.ndarray, size: int) -> np.ndarray:
 
 
 def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, grant: int = GRANT,
-               max_cost: int | None = None, bucket_seconds: int = 86400) -> DataFrame:
+               bucket_seconds: int = 86400) -> DataFrame:
     """Per request ``accepted`` and ``balance_after`` under "debit only if balance >= cost"."""
-    if max_cost is None:
-        max_cost = int(requests.agg(F.max(cost)).first()[0] or 0) + 1
     rs = running_sum(requests, user, ts, tie, F.col(cost), "_cum", bucket_seconds)
     head_ok = F.col("_cum") <= grant
     head = rs.filter(head_ok).select(user, ts, tie, cost, F.lit(True).alias("accepted"),
                                      (F.lit(grant) - F.col("_cum")).alias("balance_after"))
-    # first shortfall per user: balance before it is grant - (cum - cost) < cost <= max_cost
+    # first shortfall per user: the balance before it, grant - (cum - cost), is below that cost
     first = (rs.filter(~head_ok).groupBy(user)
              .agg(F.min(F.struct(F.col(ts), F.col(tie), (F.lit(grant) - F.col("_cum") + F.col(cost)).alias("b")))
                   .alias("f"))
@@ -108,7 +106,6 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
     cand = tail.filter(F.col(cost) <= F.col("_b0")).withColumn(
         "_bkt", F.floor(micros_ntz(ts) / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
 
-    size = max_cost + 1
     nparts = requests.sparkSession.conf.get("spark.sql.shuffle.partitions")
     nparts = int(nparts) if nparts and nparts.isdigit() else 200
 
@@ -135,12 +132,14 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
         for (u, bkt), g in chunks(it, [user, "_bkt"]):
             out_u.append(u)
             out_b.append(bkt)
+            # after the shortfall the balance never exceeds _b0, so states 0.._b0 suffice
+            size = int(g["_b0"].iat[0]) + 1
             out_t.append(_transition(g[cost].to_numpy(np.int64), size).tolist())
         if out_u:  # an empty frame would carry float columns Arrow cannot turn into list<long>
             yield pd.DataFrame({user: out_u, "_bkt": out_b, "_t": out_t})
 
     tschema = f"{user} long, _bkt long, _t array<long>"
-    tab = (cand.select(user, "_bkt", ts, tie, cost)
+    tab = (cand.select(user, "_bkt", ts, tie, cost, "_b0")
            .repartition(nparts, user, "_bkt").sortWithinPartitions(user, "_bkt", ts, tie)
            .mapInPandas(tables, tschema))
 
@@ -156,7 +155,7 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
         if us:
             yield pd.DataFrame({user: us, "_bkt": bs, "_start": ss})
 
-    # one row per (user, bucket), each a table of at most max_cost + 1 longs
+    # one row per (user, bucket), each a table of shortfall balance + 1 longs (< one request cost)
     starts = (tab.join(first, user).repartition(nparts, user).sortWithinPartitions(user, "_bkt")
               .mapInPandas(compose, f"{user} long, _bkt long, _start long"))
 

@@ -217,7 +217,7 @@ select request_id, user_id, accepted, bal as balance_after from fold where rn >
     "usage_log", extra={"req": _REQ_SQL}))
 def q_debit_fold(spark, sf):
     r = requests_with_cost(spark, sf).select("user_id", "ts", "request_id", "cost")
-    out = B.debit_fold(r, "user_id", "ts", "request_id", "cost", B.GRANT, max_cost=None)
+    out = B.debit_fold(r, "user_id", "ts", "request_id", "cost", B.GRANT)
     return out.select("request_id", "user_id", "accepted", "balance_after")
 
 
