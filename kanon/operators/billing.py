@@ -27,6 +27,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from kanon.functions.common import micros_ntz
 from kanon.operators.aggregates import running_sum
+from kanon.session import ensure_checkpoint_dir
 
 # Pricing constants.
 GRANT = 5000                      # tokens granted on sign-up
@@ -92,7 +93,11 @@ def _transition(costs: np.ndarray, size: int) -> np.ndarray:
 def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, grant: int = GRANT,
                bucket_seconds: int = 86400) -> DataFrame:
     """Per request ``accepted`` and ``balance_after`` under "debit only if balance >= cost"."""
-    rs = running_sum(requests, user, ts, tie, F.col(cost), "_cum", bucket_seconds)
+    # the running cost feeds four branches below: cut the lineage once (reliable checkpoint in the
+    # shared spark.checkpoint.dir, so a lost executor re-reads files instead of recomputing)
+    ensure_checkpoint_dir(requests.sparkSession)
+    rs = running_sum(requests.select(user, ts, tie, cost), user, ts, tie, F.col(cost), "_cum",
+                     bucket_seconds).checkpoint(eager=True)
     head_ok = F.col("_cum") <= grant
     head = rs.filter(head_ok).select(user, ts, tie, cost, F.lit(True).alias("accepted"),
                                      (F.lit(grant) - F.col("_cum")).alias("balance_after"))
@@ -109,34 +114,28 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
     nparts = requests.sparkSession.conf.get("spark.sql.shuffle.partitions")
     nparts = int(nparts) if nparts and nparts.isdigit() else 200
 
-    def chunks(it, key_cols):
-        """Yield (key tuple, pandas rows) for consecutive equal keys of a partition sorted by key_cols,
-        across Arrow batch boundaries."""
-        carry = None
-        for pdf in it:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            keys = pdf[key_cols].to_numpy()
-            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            bounds = [0, *change.tolist(), len(pdf)]
-            for lo, hi in zip(bounds[:-2], bounds[1:-1]):
-                yield tuple(keys[lo]), pdf.iloc[lo:hi]
-            carry = pdf.iloc[bounds[-2]:]
-        if carry is not None and not carry.empty:
-            yield tuple(carry[key_cols].to_numpy()[0]), carry
-
+    # The three passes below stream over partitions sorted by (user, bucket, ts, id): state for the
+    # current chunk is carried across Arrow batches, so memory stays one batch and no per-group
+    # pandas objects are built.
     def tables(it):
-        out_u, out_b, out_t = [], [], []
-        for (u, bkt), g in chunks(it, [user, "_bkt"]):
-            out_u.append(u)
-            out_b.append(bkt)
-            # after the shortfall the balance never exceeds _b0, so states 0.._b0 suffice
-            size = int(g["_b0"].iat[0]) + 1
-            out_t.append(_transition(g[cost].to_numpy(np.int64), size).tolist())
-        if out_u:  # an empty frame would carry float columns Arrow cannot turn into list<long>
-            yield pd.DataFrame({user: out_u, "_bkt": out_b, "_t": out_t})
+        cur, table = None, None
+        for pdf in it:
+            us, bs, ss, ts_ = [], [], [], []
+            u, k = pdf[user].to_numpy(), pdf["_bkt"].to_numpy()
+            c, b0 = pdf[cost].to_numpy(np.int64), pdf["_b0"].to_numpy(np.int64)
+            for i in range(len(pdf)):
+                key = (u[i], k[i])
+                if key != cur:
+                    if cur is not None:
+                        us.append(cur[0]); bs.append(cur[1]); ts_.append(table.tolist())
+                    # after the shortfall the balance never exceeds _b0, so states 0.._b0 suffice
+                    cur, table = key, np.arange(int(b0[i]) + 1, dtype=np.int64)
+                ci = c[i]
+                table = np.where(table >= ci, table - ci, table)
+            if us:  # an empty frame would carry float columns Arrow cannot turn into list<long>
+                yield pd.DataFrame({user: us, "_bkt": bs, "_t": ts_})
+        if cur is not None:
+            yield pd.DataFrame({user: [cur[0]], "_bkt": [cur[1]], "_t": [table.tolist()]})
 
     tschema = f"{user} long, _bkt long, _t array<long>"
     tab = (cand.select(user, "_bkt", ts, tie, cost, "_b0")
@@ -144,16 +143,17 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
            .mapInPandas(tables, tschema))
 
     def compose(it):
-        us, bs, ss = [], [], []
-        for (u,), g in chunks(it, [user]):
-            b = int(g["_b0"].iat[0])
-            for bkt, t in zip(g["_bkt"].to_numpy(), g["_t"]):
-                us.append(u)
-                bs.append(int(bkt))
-                ss.append(b)
-                b = int(t[b])
-        if us:
-            yield pd.DataFrame({user: us, "_bkt": bs, "_start": ss})
+        cur, b = None, None
+        for pdf in it:
+            u, k, b0, tabs = pdf[user].to_numpy(), pdf["_bkt"].to_numpy(), pdf["_b0"].to_numpy(), pdf["_t"]
+            starts = np.empty(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                if u[i] != cur:
+                    cur, b = u[i], int(b0[i])
+                starts[i] = b
+                b = int(tabs.iat[i][b])
+            if len(pdf):
+                yield pd.DataFrame({user: u, "_bkt": k, "_start": starts})
 
     # one row per (user, bucket), each a table of shortfall balance + 1 longs (< one request cost)
     starts = (tab.join(first, user).repartition(nparts, user).sortWithinPartitions(user, "_bkt")
@@ -163,19 +163,22 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
                             + [StructField("accepted", BooleanType()), StructField("balance_after", LongType())])
 
     def replay(it):
-        parts = []
-        for _key, g in chunks(it, [user, "_bkt"]):
-            b = int(g["_start"].iat[0])
-            acc, after = [], []
-            for c in g[cost].to_numpy(np.int64):
-                ok = b >= c
+        cur, b = None, None
+        for pdf in it:
+            u, k = pdf[user].to_numpy(), pdf["_bkt"].to_numpy()
+            c, st = pdf[cost].to_numpy(np.int64), pdf["_start"].to_numpy(np.int64)
+            acc = np.empty(len(pdf), dtype=bool)
+            after = np.empty(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                key = (u[i], k[i])
+                if key != cur:
+                    cur, b = key, int(st[i])
+                ok = b >= c[i]
                 if ok:
-                    b -= int(c)
-                acc.append(bool(ok))
-                after.append(b)
-            parts.append(g[[user, ts, tie, cost]].assign(accepted=acc, balance_after=after))
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+                    b -= int(c[i])
+                acc[i], after[i] = ok, b
+            if len(pdf):
+                yield pdf[[user, ts, tie, cost]].assign(accepted=acc, balance_after=after)
 
     replayed = (cand.join(starts, [user, "_bkt"]).select(user, ts, tie, cost, "_bkt", "_start")
                 .repartition(nparts, user, "_bkt").sortWithinPartitions(user, "_bkt", ts, tie)
