@@ -55,25 +55,29 @@ def fold_accents(c, fold_l_stroke: bool = False) -> Column:
 # ------------------------------------------------------------------ H2 Polish title case
 # A word starts at a letter and runs through letters, marks, numbers and apostrophes;
 # every other character separates words (the culture title-casing rule).
-TITLE_TOKEN = r"(\p{L}[\p{L}\p{M}\p{N}']*|[^\p{L}]+)"
 # Regex word boundaries: word characters are letters, non-spacing marks, digits, connectors.
 WORD_TOKEN = r"([\p{L}\p{Mn}\p{Nd}\p{Pc}]+|[^\p{L}\p{Mn}\p{Nd}\p{Pc}]+)"
 ROMAN = r"^(?i)[IVXLCDM]{2,}$"
 
 
-def _upper_first(t: Column) -> Column:
-    """Upper-case the first character by a one-to-one mapping only (``ß`` stays ``ß``, not ``SS``)."""
-    first = F.substr(t, F.lit(1), F.lit(1))
-    up = F.upper(first)
-    return F.concat(F.when((F.length(up) == 1) & (first != "ß"), up).otherwise(first), F.substr(t, F.lit(2)))
+# Private-use characters used as in-flight markers (never present in registry text).
+_WORD_MARK = "\ue000"
+_SHARP_S_PARKED = "\ue001"
+# the first letter of each run of letters / marks / digits / apostrophes
+# (the parked ``ß`` counts as a letter)
+TITLE_START = "(^|[^\\p{L}\\p{M}\\p{N}'" + _SHARP_S_PARKED + "])([\\p{M}\\p{N}']*)([\\p{L}" + _SHARP_S_PARKED + "])"
 
 
 def title_case(c) -> Column:
     """H2: lower, capitalise every word (also after hyphens / digits), then whole words made only of
-    ``IVXLCDM`` (2+ letters) upper-cased. ``initcap`` differs (``Jastrzębie-zdrój``, ``Ii``)."""
-    low = F.lower(clean_text(c))
-    words = F.regexp_extract_all(low, F.lit(TITLE_TOKEN), 1)
-    titled = F.array_join(F.transform(words, lambda t: F.when(t.rlike(r"^\p{L}"), _upper_first(t)).otherwise(t)), "")
+    ``IVXLCDM`` (2+ letters) upper-cased. ``initcap`` alone differs (``Jastrzębie-zdrój``, ``Ii``).
+
+    The word pass runs natively: a marker + space is put before the first letter of every run,
+    ``initcap`` (which capitalises after spaces) does the casing, the markers are removed. ``ß`` is
+    parked on a private-use character meanwhile, because ``initcap`` would turn it into ``Ss``."""
+    low = F.translate(F.lower(clean_text(c)), "ß", _SHARP_S_PARKED)
+    marked = F.regexp_replace(low, TITLE_START, "$1$2" + _WORD_MARK + " $3")
+    titled = F.translate(F.regexp_replace(F.initcap(marked), _WORD_MARK + " ", ""), _SHARP_S_PARKED, "ß")
     toks = F.regexp_extract_all(titled, F.lit(WORD_TOKEN), 1)
     return F.array_join(F.transform(toks, lambda t: F.when(t.rlike(ROMAN), F.upper(t)).otherwise(t)), "")
 
