@@ -230,7 +230,7 @@ def q_renormalize(spark, sf):
     return renormalize(company_history(spark, sf).select(*cols)).select(*cols)
 
 
-@query("split_ordinal", f"""
+@query("split_ordinal", rf"""
 with p as (select doc_id, {D.join_or_null(D.ordered_distinct(D.phone_list_raw('text')))} as phones from documents)
 select doc_id, ordinal, item from (
   select doc_id, unnest(generate_series(1, len(string_split_regex(phones, '\s*,\s*')))) as ordinal,
