@@ -220,18 +220,18 @@ def name_key(c) -> Column:
     return F.lower(F.regexp_replace(fold_accents(c, True), r"[^\p{L}\p{N}]+", ""))
 
 
-def name_candidates(a: DataFrame, b: DataFrame, a_name: str, b_name: str, block: Column | None = None,
+def name_candidates(a: DataFrame, b: DataFrame, a_name: str, b_name: str, block_a: Column, block_b: Column,
                     max_distance: int = 8) -> DataFrame:
     """Audit-only name pairs: equal blocking key, then ``levenshtein(folded) <= max_distance``.
-    Both sides are reduced to distinct (block, name) first, so a popular name costs one row."""
-    def prep(df, name):
-        k = name_key(F.col(name))
-        blk = block if block is not None else F.substr(k, F.lit(1), F.lit(3))
-        return df.select(blk.alias("_blk"), k.alias("_nk"), F.col(name).alias("_raw")).distinct()
-
-    pa = prep(a, a_name).withColumnRenamed("_nk", "a_key").withColumnRenamed("_raw", "a_name")
-    pb = prep(b, b_name).withColumnRenamed("_nk", "b_key").withColumnRenamed("_raw", "b_name")
-    j = pa.join(pb, "_blk")
+
+    The blocking key is the caller's choice and must be selective (an identifier fragment, a
+    postal code, a core-name key): pairs are formed only inside a block. Both sides are first
+    reduced to distinct (block, name), so a name repeated on many rows costs one row."""
+    def prep(df, name, blk, tag):
+        return df.select(blk.alias("_blk"), name_key(F.col(name)).alias(f"{tag}_key"),
+                         F.col(name).alias(f"{tag}_name")).distinct()
+
+    j = prep(a, a_name, block_a, "a").join(prep(b, b_name, block_b, "b"), "_blk")
     d = F.levenshtein(F.col("a_key"), F.col("b_key"))
     return j.select("a_name", "b_name", d.alias("distance")).filter(F.col("distance") <= max_distance)
 

@@ -237,8 +237,8 @@ select a_name, b_name, distance from (
         from company_history) b on a.blk = b.blk)
 where distance <= 8""", "registry_b", "company_history"))
 def q_name_candidates(spark, sf):
-    blk = F.regexp_extract(F.col("name"), r"([0-9]+)$", 1)
-    return MG.name_candidates(registry_b(spark, sf), company_history(spark, sf), "name", "name", block=blk)
+    blk = F.regexp_extract(F.col("name"), r"([0-9]+)$", 1)  # the registry number embedded in the name
+    return MG.name_candidates(registry_b(spark, sf), company_history(spark, sf), "name", "name", blk, blk)
 
 
 @query("enrichment_worklist", with_flagged(
