@@ -127,12 +127,12 @@ def q_norm_code(spark, sf):
 @query("norm_postal", f"""
 select 'part' as src, p_partkey as key, {D.postal("cast(p_partkey * 7 as varchar)")} as postal from part
 union all
-select 'doc' as src, doc_id as key, {D.postal('text')} as postal from documents where n_chars < 200""")
+select 'doc' as src, doc_id as key, {D.postal('text')} as postal from documents""")
 def q_norm_postal(spark, sf):
     p = read_table(spark, sf, "part").select(
         F.lit("part").alias("src"), F.col("p_partkey").alias("key"),
         T.postal_code((F.col("p_partkey") * 7).cast("string")).alias("postal"))
-    d = read_table(spark, sf, "documents").filter(F.col("n_chars") < 200).select(
+    d = read_table(spark, sf, "documents").select(
         F.lit("doc").alias("src"), F.col("doc_id").alias("key"), T.postal_code("text").alias("postal"))
     return p.unionByName(d)
 
