@@ -32,5 +32,9 @@ def spread(df: DataFrame) -> DataFrame:
     parquet row group per file) is redistributed round-robin over that many partitions. Larger
     inputs are returned untouched: at scale the scan already has more splits than cores and no
     shuffle is added. Counting the splits plans the scan only (file listing, no job)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — e.g. a Spark Connect session has no RDD view: leave the scan as is
+        return df
+    return df.repartition(target) if splits < target else df
