@@ -58,6 +58,10 @@ def fold_accents(c, fold_l_stroke: bool = False) -> Column:
 # Regex word boundaries: word characters are letters, non-spacing marks, digits, connectors.
 WORD_TOKEN = r"([\p{L}\p{Mn}\p{Nd}\p{Pc}]+|[^\p{L}\p{Mn}\p{Nd}\p{Pc}]+)"
 ROMAN = r"^(?i)[IVXLCDM]{2,}$"
+_W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
+# a whole word (maximal run of word characters) made only of roman-numeral letters
+ROMAN_WORD = rf"(?i)(?<!{_W})([IVXLCDM]{{2,}})(?!{_W})"
+_ROMAN_OPEN, _ROMAN_CLOSE = "\ue002", "\ue003"
 
 
 # Private-use characters used as in-flight markers (never present in registry text).
@@ -78,8 +82,13 @@ def title_case(c) -> Column:
     low = F.translate(F.lower(clean_text(c)), "ß", _SHARP_S_PARKED)
     marked = F.regexp_replace(low, TITLE_START, "$1$2" + _WORD_MARK + " $3")
     titled = F.translate(F.regexp_replace(F.initcap(marked), _WORD_MARK + " ", ""), _SHARP_S_PARKED, "ß")
-    toks = F.regexp_extract_all(titled, F.lit(WORD_TOKEN), 1)
-    return F.array_join(F.transform(toks, lambda t: F.when(t.rlike(ROMAN), F.upper(t)).otherwise(t)), "")
+    # roman pass: bracket every roman-only word, split on the opening bracket (usually one part),
+    # upper-case the bracketed prefix of each later part
+    bracketed = F.regexp_replace(titled, ROMAN_WORD, _ROMAN_OPEN + "$1" + _ROMAN_CLOSE)
+    parts = F.split(bracketed, _ROMAN_OPEN)
+    fixed = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
+        F.upper(F.substring_index(p, _ROMAN_CLOSE, 1)), F.substr(p, F.instr(p, _ROMAN_CLOSE) + 1))))
+    return F.array_join(fixed, "")
 
 
 person_name = title_case
