@@ -30,6 +30,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(load(spark, sf_dir, "documents"))
 
 
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kanon.llm.ngram_jaccard import jaccard_components
+
+    return jaccard_components(load(spark, sf_dir, "documents"))
+
+
 _OP3_SQL = r"""
 with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations where conv_id is not null),
 last as (select conv_id, max(turn) filter (where role = 'assistant') as lt from t group by conv_id),
@@ -150,3 +157,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kanon.llm.decontaminate import contamination
 
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("item_ids", "byte_spans")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
