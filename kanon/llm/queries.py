@@ -164,3 +164,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kanon.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(load(spark, sf_dir, "documents")).drop("spans")
