@@ -164,7 +164,7 @@ def licences(docs: DataFrame, directory: Column | None = None, header_min: float
 
 def inherit(found: DataFrame) -> DataFrame:
     """Nearest-ancestor inheritance over (doc_id, directory, own, own_score, as_file, file_score)."""
-    files = found.where("as_file is not null").groupBy("directory").agg(F.min(F.struct((-F.col("file_score")).alias("s"), "doc_id", "as_file")).alias("f"))
+    files = found.where("as_file is not null").groupBy("directory").agg(F.min(F.struct((-F.round("file_score", 9)).alias("s"), "doc_id", "as_file")).alias("f"))
     files = files.select(F.col("directory").alias("ancestor"), F.col("f.as_file").alias("inherited"))
     # Directories, not documents, are expanded to their ancestors, so a hot directory counts once.
     parts = F.split("directory", "/")
