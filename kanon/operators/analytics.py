@@ -2,15 +2,14 @@
 
 Distribution plan: one scan → partial hash aggregate per bucket → shuffle of
 (bucket, count) rows only → HAVING → TakeOrderedAndProject(limit). The total
-is the sum of the group counts taken *before* HAVING: a window over the
-*grouped* rows (one row per distinct bucket — bounded by the dimension's
-cardinality, not by the data), so the data is aggregated in a single pass
-with no join and no second evaluation of the input.
+is a scalar subquery: the one-row sum over the same grouping, taken *before*
+HAVING. Its exchange is the one of the main branch (reused), so the data is
+aggregated once and no task ever holds all buckets of a free-text dimension.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kanon.functions.common import blank_null, clamp, percent, present
@@ -81,9 +80,9 @@ def distribution(df: DataFrame, dim: str | Column, limit: int | None = 20, min_b
         F.count(F.lit(1)).alias("companies"),
         F.count_if(is_active()).alias("active_companies"),
     )
-    everything = Window.partitionBy()
+    total = grouped.agg(F.sum("companies").cast("bigint")).scalar()
     return (
-        grouped.withColumn("total_count", F.sum("companies").over(everything).cast("bigint"))
+        grouped.withColumn("total_count", total)
         .filter(F.col("companies") >= min_bucket)
         .orderBy(F.col("companies").desc(), F.col("bucket_key").asc())
         .limit(limit)

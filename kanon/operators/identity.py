@@ -8,8 +8,9 @@ an aggregate + join-back instead of ``row_number() over (partition by identity)`
   of all rows is reduced to one row per map task before the shuffle (a window
   would sort that whole group inside one task);
 * only narrow columns (key + ordering struct) go through that shuffle;
-* the flag is attached by joining on the unique row ``id``, which is uniformly
-  distributed whatever the identity skew.
+* the flag is attached by joining the one winner per identity back on the
+  identity (AQE splits a skewed side) and comparing ids null-safely, so a NULL id can
+  win; if an id is used twice inside one identity, one of the copies wins.
 
 ``flag_current_window`` is the literal window form, kept for tests/small data.
 """
@@ -86,13 +87,15 @@ def flag_current(df: DataFrame, row_id: str = "id", updated: str = "updated_at")
     keyed = df.withColumn("identity_key", identity_key(row_id=row_id)).withColumn("current_rank", status_rank())
     winners = (
         keyed.groupBy("identity_key")
-        .agg(F.min(_order_struct(keyed, row_id, updated)).alias("w"))
-        .select(F.col("w.id").alias("_win_id"))
+        .agg(F.min(_order_struct(keyed, row_id, updated)).alias("_win"))
     )
+    same = _order_struct(keyed, row_id, updated).eqNullSafe(F.col("_win"))
+    copies = Window.partitionBy("identity_key", row_id, "_wins").orderBy(F.lit(0))
     return (
-        keyed.join(winners, keyed[row_id] == winners["_win_id"], "left")
-        .withColumn("is_current", F.col("_win_id").isNotNull())
-        .drop("_win_id")
+        keyed.join(winners, "identity_key")
+        .withColumn("_wins", same)
+        .withColumn("is_current", F.col("_wins") & (F.row_number().over(copies) == 1))
+        .select(*keyed.columns, "is_current")
     )
 
 

@@ -2,18 +2,17 @@
 
 Plan shape for matching (J1/J9): the reference matches with one OR-predicate
 (``number = … or nip = … or regon = …``), which Spark would run as a
-nested-loop join. Here each key is its own equi-join, and the master side is
-first *aggregated per key value* (min / max target id): one row per key, so
-a key held by a third of the master rows costs one partial-aggregated row in
-the shuffle and never multiplies the join output. The per-key (min, max)
-pair also decides ambiguity exactly: a row is linked to one master iff every
-matching key names a single master and all of them name the same one.
+nested-loop join. Here each side is read once and exploded to its (rule, key)
+pairs, the master side is *aggregated per pair* (min / max target id), and one
+equi-join on the pair follows: a key held by a third of the master rows costs
+one partial-aggregated row in the shuffle and never multiplies the join
+output. The (min, max) pair also decides ambiguity exactly: a row is linked to
+one master iff every matching key names a single master and all of them name
+the same one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +23,18 @@ from kanon.functions.text import fold_accents
 MATCH_KEYS = ((1, "krs_number"), (2, "nip"), (3, "regon"))
 
 
-def _per_key_targets(master: DataFrame, key: str, master_id: str) -> DataFrame:
-    return (master.filter(present(key))
-            .groupBy(F.trim(F.col(key)).alias("_k"))
-            .agg(F.min(master_id).alias("_min_id"), F.max(master_id).alias("_max_id")))
+def _rule_keys(df: DataFrame, row_id: str, keys) -> DataFrame:
+    """(row id, rule, key) for every non-blank key of a row."""
+    pairs = [F.when(present(k), F.struct(F.lit(rule).alias("rule"), F.trim(F.col(k)).alias("_k"))) for rule, k in keys]
+    return df.select(F.col(row_id), F.explode(F.array_compact(F.array(*pairs))).alias("p")).select(row_id, "p.*")
 
 
 def match_candidates(incoming: DataFrame, master: DataFrame, in_id: str, master_id: str = "id",
                      keys=MATCH_KEYS) -> DataFrame:
     """All (in_id, rule, min target, max target) per matching key; NULL / blank keys never match."""
-    parts = []
-    for rule, key in keys:
-        tgt = _per_key_targets(master, key, master_id)
-        src = incoming.filter(present(key)).select(F.col(in_id), F.trim(F.col(key)).alias("_k"))
-        parts.append(src.join(tgt, "_k").select(in_id, F.lit(rule).alias("rule"), "_min_id", "_max_id"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    targets = (_rule_keys(master, master_id, keys).groupBy("rule", "_k")
+               .agg(F.min(master_id).alias("_min_id"), F.max(master_id).alias("_max_id")))
+    return _rule_keys(incoming, in_id, keys).join(targets, ["rule", "_k"]).select(in_id, "rule", "_min_id", "_max_id")
 
 
 def match_entities(incoming: DataFrame, master: DataFrame, in_id: str, master_id: str = "id",
@@ -87,19 +83,26 @@ def dedupe_latest(batch: DataFrame, key: str, order_cols: list[str]) -> DataFram
             .select(key, "r.*"))
 
 
-def upsert_overwrite(master: DataFrame, batch: DataFrame, key: str, protected: tuple[str, ...] = ()) -> DataFrame:
+def upsert_overwrite(master: DataFrame, batch: DataFrame, key: str, protected: tuple[str, ...] = (),
+                     unions: tuple[str, ...] = (), newest: str | None = None) -> DataFrame:
     """Keyed upsert, last write wins: every non-protected column is replaced by the batch value
-    (even NULL) when the key is in the batch; protected columns keep the master value when present."""
+    (even NULL) when the key is in the batch; ``protected`` columns keep the master value and the arrays of
+    ``unions`` grow. With ``newest`` a batch row older by that column than its master row changes nothing."""
     m = master.select(*[F.col(c).alias(f"m_{c}") for c in master.columns])
     b = batch.select(*[F.col(c).alias(f"b_{c}") for c in batch.columns])
     j = m.join(b, m[f"m_{key}"] == b[f"b_{key}"], "full_outer")
     in_batch = F.col(f"b_{key}").isNotNull()
     in_master = F.col(f"m_{key}").isNotNull()
+    if newest:
+        in_batch = in_batch & ~F.coalesce(F.col(f"b_{newest}") < F.col(f"m_{newest}"), F.lit(False))
     out = [F.coalesce(F.col(f"m_{key}"), F.col(f"b_{key}")).alias(key)]
     for c in master.columns:
         if c == key:
             continue
-        if c in protected:
+        if c in unions:
+            both = F.array_union(F.coalesce(F.col(f"m_{c}"), F.array()), F.coalesce(F.col(f"b_{c}"), F.array()))
+            out.append(F.array_sort(both).alias(c))
+        elif c in protected:
             out.append(F.when(in_master, F.col(f"m_{c}")).otherwise(F.col(f"b_{c}")).alias(c))
         else:
             out.append(F.when(in_batch, F.col(f"b_{c}")).otherwise(F.col(f"m_{c}")).alias(c))
@@ -159,10 +162,12 @@ def _is_str(df: DataFrame, c: str) -> bool:
 def backfill(master: DataFrame, derived: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Fill blank master columns from a derived table (one row per key) — left join + coalesce."""
     d = derived.select(F.col(key).alias("_dk"), *[F.col(c).alias(f"_d_{c}") for c in cols])
-    j = master.join(d, master[key] == d["_dk"], "left")
-    for c in cols:
-        j = j.withColumn(c, F.coalesce(blank_null(c), F.col(f"_d_{c}")))
-    return j.drop("_dk", *[f"_d_{c}" for c in cols])
+    # rows without a key find nothing: they stay out of the shuffle, where they would share one partition
+    keyed, rest = master.filter(F.col(key).isNotNull()), master.filter(F.col(key).isNull())
+    j = keyed.join(d, keyed[key] == d["_dk"], "left")
+    fill = lambda df, other: df.select(*[F.coalesce(blank_null(c), other(c)).alias(c) if c in cols else F.col(c)
+                                         for c in master.columns])
+    return fill(j, lambda c: F.col(f"_d_{c}")).unionByName(fill(rest, lambda c: F.lit(None).cast("string")))
 
 
 def backfill_paths(master: DataFrame, json_col: str, targets: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -225,11 +230,12 @@ def name_candidates(a: DataFrame, b: DataFrame, a_name: str, b_name: str, block_
     """Audit-only name pairs: equal blocking key, then ``levenshtein(folded) <= max_distance``.
 
     The blocking key is the caller's choice and must be selective (an identifier fragment, a
-    postal code, a core-name key): pairs are formed only inside a block. Both sides are first
-    reduced to distinct (block, name), so a name repeated on many rows costs one row."""
+    postal code, a core-name key): pairs are formed only inside a block, and a blank block is no
+    block (its rows have no candidates). Both sides are first reduced to distinct (block, name),
+    so a name repeated on many rows costs one row."""
     def prep(df, name, blk, tag):
         return df.select(blk.alias("_blk"), name_key(F.col(name)).alias(f"{tag}_key"),
-                         F.col(name).alias(f"{tag}_name")).distinct()
+                         F.col(name).alias(f"{tag}_name")).filter(blank_null("_blk").isNotNull()).distinct()
 
     j = prep(a, a_name, block_a, "a").join(prep(b, b_name, block_b, "b"), "_blk")
     d = F.levenshtein(F.col("a_key"), F.col("b_key"))

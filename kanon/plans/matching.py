@@ -234,7 +234,7 @@ select a_name, b_name, distance from (
   from (select distinct regexp_extract(name, '([0-9]+)$', 1) as blk, {_name_key_sql('name')} as a_key, name as a_name
         from registry_b) a
   join (select distinct regexp_extract(name, '([0-9]+)$', 1) as blk, {_name_key_sql('name')} as b_key, name as b_name
-        from company_history) b on a.blk = b.blk)
+        from company_history) b on a.blk = b.blk and a.blk <> '')
 where distance <= 8""", "registry_b", "company_history"))
 def q_name_candidates(spark, sf):
     blk = F.regexp_extract(F.col("name"), r"([0-9]+)$", 1)  # the registry number embedded in the name

@@ -12,15 +12,9 @@ from kanon.plans.catalog import query
 from kanon.sources.bindings import company_history, with_bindings
 from kanon.sources.tables import read_table
 
-ACCENT_LANGS = ("fr", "de", "es")
 
-
-def _docs(spark, sf, langs=None):
-    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return d.filter(F.col("lang").isin(*langs)) if langs else d
-
-
-_LANG_SQL = "lang in ('fr', 'de', 'es')"
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
 @query("norm_clean", f"select doc_id, {D.clean('text')} as text_clean from documents")
@@ -31,11 +25,11 @@ def q_norm_clean(spark, sf):
 @query("norm_title", f"""
 select 'part' as src, p_partkey as key, {D.title('upper(p_name)')} as value from part
 union all
-select 'doc' as src, doc_id as key, {D.title('text')} as value from documents where {_LANG_SQL}""")
+select 'doc' as src, doc_id as key, {D.title('text')} as value from documents""")
 def q_norm_title(spark, sf):
     parts = read_table(spark, sf, "part").select(
         F.lit("part").alias("src"), F.col("p_partkey").alias("key"), T.title_case(F.upper("p_name")).alias("value"))
-    docs = _docs(spark, sf, ACCENT_LANGS).select(
+    docs = _docs(spark, sf).select(
         F.lit("doc").alias("src"), F.col("doc_id").alias("key"), T.title_case("text").alias("value"))
     return parts.unionByName(docs)
 
@@ -140,12 +134,12 @@ def q_norm_postal(spark, sf):
 @query("norm_legal_form", with_bindings(f"""
 select 'row' as src, id as key, {D.legal_form('legal_form')} as legal_form from company_history
 union all
-select 'doc' as src, doc_id as key, {D.legal_form('text')} as legal_form from documents where {_LANG_SQL}""",
+select 'doc' as src, doc_id as key, {D.legal_form('text')} as legal_form from documents""",
     "company_history"))
 def q_norm_legal_form(spark, sf):
     h = company_history(spark, sf).select(
         F.lit("row").alias("src"), F.col("id").alias("key"), T.legal_form("legal_form").alias("legal_form"))
-    d = _docs(spark, sf, ACCENT_LANGS).select(
+    d = _docs(spark, sf).select(
         F.lit("doc").alias("src"), F.col("doc_id").alias("key"), T.legal_form("text").alias("legal_form"))
     return h.unionByName(d)
 
@@ -166,9 +160,9 @@ def q_content_hash(spark, sf):
 
 
 @query("fold_accents", f"""
-select doc_id, {D.fold('text')} as folded, {D.fold('text', True)} as folded_l from documents where {_LANG_SQL}""")
+select doc_id, {D.fold('text')} as folded, {D.fold('text', True)} as folded_l from documents""")
 def q_fold_accents(spark, sf):
-    return _docs(spark, sf, ACCENT_LANGS).select(
+    return _docs(spark, sf).select(
         "doc_id", T.fold_accents("text").alias("folded"), T.fold_accents("text", True).alias("folded_l"))
 
 

@@ -41,12 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a shared (HDFS / object store) folder and is
     read as-is — from the running context, the session conf or the launch conf.
-    Only when it is unset everywhere (local tests) a scratch folder is made.
+    Only on a local master (tests) may it be unset: a scratch folder is made then.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     current = current or spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="kanon-ckpt-")
         try:
             spark.conf.set(CHECKPOINT_CONF, current)

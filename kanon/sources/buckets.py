@@ -1,0 +1,63 @@
+"""Bucketed master table: immutable files per (version, bucket) and one manifest per version.
+
+Rows are hashed to :data:`BUCKETS` buckets by identity, so all rows of an identity share one. A new version writes
+only the buckets that changed; its manifest maps every bucket to the version whose files hold it. The
+manifest is written last: readers see the old version or the new one. Re-running a version rewrites its own
+files and manifest only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kanon.sources.sinks import _fs, _read_text, _write_text, latest_version, POINTER
+
+BUCKETS = 64
+
+
+def bucket_of(identity: str) -> Column:
+    return F.pmod(F.xxhash64(identity), F.lit(BUCKETS)).cast("int")
+
+
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict[int, int]:
+    """bucket -> version that holds it; empty if there is no such version (latest if unset)."""
+    version = latest_version(spark, root) if version is None else version
+    text = None if version is None else _read_text(spark, f"{root}/manifest-{version}")
+    return {int(b): int(v) for b, v in (x.split(":") for x in text.split(",") if x)} if text else {}
+
+
+def read_buckets(spark: SparkSession, root: str, buckets: dict[int, int] | None = None) -> DataFrame | None:
+    """Rows of the given buckets (the latest manifest if unset); None if there are none."""
+    buckets = manifest(spark, root) if buckets is None else buckets
+    paths = [f"{root}/v={v}/bucket={b}" for b, v in sorted(buckets.items())]
+    if not paths:
+        return None
+    # versions may differ in columns: the union of them, by name
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
+def write_buckets(df: DataFrame, root: str, version: int, kept: dict[int, int]) -> None:
+    """Write ``df`` by bucket as ``version``; buckets of ``kept`` stay where they are."""
+    spark = df.sparkSession
+    path = f"{root}/v={version}"
+    df.withColumn("bucket", bucket_of("identity_key")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    fs, p = _fs(spark, path)
+    own = {int(s.getPath().getName().split("=")[1]): version for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
+    _write_text(spark, f"{root}/manifest-{version}", ",".join(f"{b}:{v}" for b, v in sorted({**kept, **own}.items())))
+    _write_text(spark, f"{root}/{POINTER}", str(version))
+
+
+def expire(spark: SparkSession, root: str, version: int, keep: int) -> None:
+    """Remove bucket folders that the manifests of the last ``keep`` versions do not name, and older manifests."""
+    named = {(b, v) for n in range(max(1, version - keep + 1), version + 1) for b, v in manifest(spark, root, n).items()}
+    fs, p = _fs(spark, root)
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith("manifest-") and int(name.split("-")[1]) <= version - keep:
+            fs.delete(s.getPath(), False)
+        elif name.startswith("v=") and int(name[2:]) <= version - keep:
+            for b in fs.listStatus(s.getPath()):
+                bucket = b.getPath().getName()
+                if bucket.startswith("bucket=") and (int(bucket.split("=")[1]), int(name[2:])) not in named:
+                    fs.delete(b.getPath(), True)

@@ -14,27 +14,8 @@ TABLES = (
 ).split()
 
 
-# Fixed-size dimensions: never worth spreading.
-DIMENSIONS = ("region", "nation")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Plain scan; parallelism comes from the file layout and ``spark.sql.files.maxPartitionBytes``."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df if name in DIMENSIONS else spread(df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy, shuffle-free work at least one task per core.
-
-    A scan split into fewer partitions than the cluster's default parallelism (small files, or one
-    parquet row group per file) is redistributed round-robin over that many partitions. Larger
-    inputs are returned untouched: at scale the scan already has more splits than cores and no
-    shuffle is added. Counting the splits plans the scan only (file listing, no job)."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 — e.g. a Spark Connect session has no RDD view: leave the scan as is
-        return df
-    return df.repartition(target) if splits < target else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

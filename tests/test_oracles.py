@@ -11,8 +11,9 @@ import __spark_entry__ as E  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 from oracle_check import canon, duck  # noqa: E402
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from kanon.plans.catalog import load_all  # noqa: E402
+
+QUERIES, ORACLES = load_all()  # the training-data queries have their own tests
 
 
 @pytest.fixture(scope="module")
