@@ -3,12 +3,12 @@
 The vocabulary is a SentencePiece model file (its path is a parameter; production uses the public
 32,000-piece file). That file holds BPE pieces whose stored score is minus the merge rank, which is no
 probability, so the log score of a piece is ``-ln(rank + 1)`` (Zipf's law over the ranks; ``scores="model"``
-takes the stored numbers instead). The best segmentation maximises the sum of log scores; among equal
-sums the earlier, then longer, piece wins.
+takes the stored numbers instead), held as an integer of millionths so that sums are exact. The best
+segmentation maximises the sum; among equal sums the one whose last piece starts first (the longest) wins.
 
 Text becomes pieces as follows: a space is the marker U+2581, a non-empty text gets one marker in front,
 characters without a piece, and a literal U+2581, fall back to the byte pieces of their UTF-8 form at
-``min score - 10`` per character. Decoding reverses every step, so each text comes back exactly.
+the least score minus 10 per character. Decoding reverses every step, so each text comes back exactly.
 
 No piece has a marker after another character, so a segmentation never crosses the border before a marker: the
 text is cut there and each unit is segmented once per task and remembered (bounded memory; the result
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
-BYTE_PENALTY = 10.0
-CACHE_UNITS = 400_000
+UNIT = 1_000_000
+BYTE_PENALTY = 10 * UNIT
+CACHE_UNITS = 800_000
+LONG_UNIT = 96  # bytes; longer units are segmented one by one
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -146,21 +148,21 @@ class Unigram:
         normal = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind in (1, 4) and p]
         if scores == "zipf":
             rank = {i: r for r, (i, _, _) in enumerate(sorted(normal, key=lambda x: (-x[2], x[0])))}
-            self.score = {i: -math.log(rank[i] + 1) for i, _, _ in normal}
+            self.score = {i: -round(math.log(rank[i] + 1) * UNIT) for i, _, _ in normal}
         else:
-            self.score = {i: s for i, _, s in normal}
-        self.fallback = min(self.score.values(), default=0.0) - BYTE_PENALTY
+            self.score = {i: round(s * UNIT) for i, _, s in normal}
+        self.fallback = min(self.score.values(), default=0) - BYTE_PENALTY
         self.trie = DoubleArray({p.encode(): i for i, p, _ in normal})
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for _, p, _ in normal)
         self.normal = {i for i, _, _ in normal}
 
     def viterbi(self, unit: str) -> list[int]:
-        """Ids of the best segmentation; ``\\ue000`` stands for a literal U+2581 (see :func:`escape`)."""
+        """Ids of the best segmentation of one unit."""
         raw = unit.encode()
         n = len(raw)
-        best = [-math.inf] * (n + 1)
+        best: list[float] = [-math.inf] * (n + 1)
         back: list[tuple[int, int] | None] = [None] * (n + 1)
-        best[0] = 0.0
+        best[0] = 0
         at = 0
         for ch in unit:
             width = len(ch.encode())
@@ -180,6 +182,87 @@ class Unigram:
             at = start
         return out[::-1]
 
+    def viterbi_batch(self, units: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of many units: the same recurrence as :meth:`viterbi`, one array step for all of them."""
+        raws = [u.encode() for u in units]
+        out: list[bytes] = [b""] * len(units)
+        order = sorted(range(len(units)), key=lambda k: len(raws[k]))
+        for at in range(0, len(order), 8192):
+            chunk = order[at : at + 8192]
+            short = [k for k in chunk if len(raws[k]) <= LONG_UNIT]
+            for k in chunk[len(short) :]:
+                out[k] = np.array(self.viterbi(units[k]), np.int32).tobytes()
+            if short:
+                for k, ids in zip(short, self._batch([raws[k] for k in short]), strict=True):
+                    out[k] = ids
+        return out
+
+    def _batch(self, raws: list[bytes]) -> list[bytes]:
+        base, check, value, score, byte_id = self.arrays
+        n, size = len(raws), len(raws[-1])
+        length = np.fromiter(map(len, raws), np.int64, n)
+        text = np.frombuffer(b"".join(r.ljust(size, b"\0") for r in raws), np.uint8).reshape(n, size).astype(np.int64)
+        starts = (text & 0xC0) != 0x80
+        best = np.full((n, size + 1), np.iinfo(np.int64).min)  # every character's start gets a score before it is read
+        best[:, 0] = 0
+        piece = np.full((n, size + 1), -1, np.int64)
+        prev = np.tile(np.arange(-1, size), (n, 1))
+        for i in range(size):
+            row = np.flatnonzero((length > i) & starts[:, i])
+            if not len(row):
+                continue
+            width = 1 + (text[row, i] >= 0xC0) + (text[row, i] >= 0xE0) + (text[row, i] >= 0xF0)
+            whole = np.zeros(len(row), bool)
+            live, state = np.arange(len(row)), np.zeros(len(row), np.int64)
+            for j in range(i, size):
+                t = base[state] + text[row[live], j] + 1
+                ok = (check[t] == state) & (length[row[live]] > j)
+                live, state = live[ok], t[ok]
+                if not len(live):
+                    break
+                v = value[state]
+                hit = v >= 0
+                if hit.any():
+                    k, v = live[hit], v[hit]
+                    r = row[k]
+                    whole[k] |= width[k] == j + 1 - i
+                    new = best[r, i] + score[v]
+                    up = new > best[r, j + 1]
+                    r, v = r[up], v[up]
+                    best[r, j + 1], piece[r, j + 1], prev[r, j + 1] = new[up], v, i
+            r = row[~whole]
+            if len(r):
+                end = i + width[~whole]
+                new = best[r, i] + self.fallback
+                up = new > best[r, end]
+                r, end = r[up], end[up]
+                best[r, end], piece[r, end], prev[r, end] = new[up], -1, end - 1
+        tokens = np.zeros((n, size), np.int32)  # filled from the right; a fallback walks back byte by byte
+        place, count = length.copy(), np.zeros(n, np.int64)
+        live = np.arange(n)
+        while len(live):
+            p = place[live]
+            v = piece[live, p]
+            count[live] += 1
+            tokens[live, size - count[live]] = np.where(v >= 0, v, byte_id[text[live, p - 1]])
+            place[live] = prev[live, p]
+            live = live[place[live] > 0]
+        return [tokens[k, size - c :].tobytes() for k, c in enumerate(count.tolist())]
+
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        score = np.zeros(len(self.pieces), np.int64)
+        score[list(self.score)] = list(self.score.values())
+        byte_id = np.zeros(256, np.int32)
+        byte_id[list(self.byte_id)] = list(self.byte_id.values())
+        check = np.array(self.trie.check)
+        check[0] = -2  # the root is nobody's child
+        return np.array(self.trie.base), check, np.array(self.trie.value), score, byte_id
+
+    @cached_property
+    def piece_bytes(self) -> dict[int, bytes]:
+        return {i: bytes((self.id_byte[i],)) if i in self.id_byte else p.encode() for i, p in enumerate(self.pieces)}
+
     def units(self, text: str) -> list[str]:
         """Parts of the marked text that are segmented by themselves."""
         if not text:
@@ -223,33 +306,29 @@ def encode_documents(docs: DataFrame, path: str = DEFAULT_MODEL, scores: str = "
         m = model(path, scores)
         is_byte = np.zeros(len(m.pieces), bool)
         is_byte[list(m.id_byte)] = True
-        known: dict[str, int] = {}
-        flat: list[np.ndarray] = []
-        back: list[bool] = []
+        known: dict[str, bytes] = {}
+        wrong: set[str] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column(1).to_pylist()
                 if len(known) > CACHE_UNITS:
-                    known, flat, back = {}, [], []
+                    known = {}
+                cut = [None if t is None or MARK in t else m.units(t) for t in texts]
+                new = list({u for units in cut if units for u in units if u not in known})
+                for u, ids in zip(new, m.viterbi_batch(new), strict=True):
+                    known[u] = ids
+                    if b"".join(map(m.piece_bytes.__getitem__, np.frombuffer(ids, np.int32).tolist())) != u.encode():
+                        wrong.add(u)
                 rows = []
-                for text in texts:
+                for text, units in zip(texts, cut, strict=True):
                     if text is None:
                         rows.append((None, True))
-                    elif MARK in text:
+                    elif units is None:
                         ids = m.encode(text)
                         rows.append((np.array(ids, np.int32), m.decode(ids) == text))
                     else:
-                        numbers = []
-                        for u in m.units(text):
-                            k = known.get(u)
-                            if k is None:
-                                k = known[u] = len(flat)
-                                ids = m.viterbi(u)
-                                flat.append(np.array(ids, np.int32))
-                                back.append(" " + m.decode(ids) == u.replace(MARK, " ") if u[0] == MARK else m.decode([*m.viterbi(MARK), *ids]) == u)
-                            numbers.append(k)
-                        rows.append((np.concatenate([flat[k] for k in numbers]) if numbers else np.zeros(0, np.int32), all(back[k] for k in numbers)))
+                        rows.append((np.frombuffer(b"".join([known[u] for u in units]), np.int32), not wrong or wrong.isdisjoint(units)))
                 sizes = [0 if r[0] is None else len(r[0]) for r in rows]
                 values = np.concatenate([r[0] for r in rows if r[0] is not None] or [np.zeros(0, np.int32)])
                 ends = np.concatenate(([0], np.cumsum(sizes)))
