@@ -82,14 +82,6 @@ def reconcile(ledger: DataFrame, users: DataFrame, user: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T9 conditional debit
-def _transition(costs: np.ndarray, size: int) -> np.ndarray:
-    """End balance for every start balance 0..size-1 after the conditional debits ``costs``."""
-    b = np.arange(size, dtype=np.int64)
-    for c in costs:
-        b = np.where(b >= c, b - c, b)
-    return b
-
-
 def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, grant: int = GRANT,
                bucket_seconds: int = 86400) -> DataFrame:
     """Per request ``accepted`` and ``balance_after`` under "debit only if balance >= cost"."""

@@ -123,9 +123,9 @@ def fold_incoming(incoming: DataFrame, group: str, seq: str, policy: dict[str, s
         if kind == OVERWRITE:
             aggs.append(F.max_by(F.col(c), ordered).alias(c))
         elif kind == PREFER_INCOMING:
-            aggs.append(F.max_by(F.col(c), F.when(blank_null(c).isNotNull(), ordered)).alias(c))
+            aggs.append(F.max_by(F.col(c), F.when(_filled(incoming, c), ordered)).alias(c))
         elif kind == KEEP_EXISTING:
-            aggs.append(F.min_by(F.col(c), F.when(blank_null(c).isNotNull(), ordered)).alias(c))
+            aggs.append(F.min_by(F.col(c), F.when(_filled(incoming, c), ordered)).alias(c))
         elif kind == UNION:
             aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col(c))))).alias(c))
     return incoming.groupBy(group).agg(*aggs)
@@ -148,13 +148,52 @@ def merge_survivorship(master: DataFrame, incoming: DataFrame, key: str, policy:
             out.append(F.when(present(mc), mc).otherwise(ic).alias(c) if _is_str(master, c)
                        else F.coalesce(mc, ic).alias(c))
         elif kind == PREFER_INCOMING:
-            out.append(F.when(present(ic), ic).otherwise(mc).alias(c) if _is_str(master, c)
+            out.append(F.when(present(ic), ic).otherwise(F.nullif(mc, F.lit(""))).alias(c) if _is_str(master, c)
                        else F.coalesce(ic, mc).alias(c))
         elif kind == UNION:
             out.append(F.array_sort(F.array_union(F.coalesce(mc, F.array()), F.coalesce(ic, F.array()))).alias(c))
     return j.select(*out)
 
 
+# What a court row does to each column of the company row that it matches.
+COURT_POLICY = (
+    dict.fromkeys(("krs_number", "krs_register_type", "krs_court_name", "krs_last_entry_date", "krs_representatives",
+                   "raw_krs_payload", "krs_updated_at"), OVERWRITE)
+    | dict.fromkeys(("source_detail_url", "last_detail_source_hash", "nip", "regon", "name", "status"), KEEP_EXISTING)
+    | dict.fromkeys(("legal_form", "registered_on", "electronic_delivery_address", "country", "voivodeship", "county",
+                     "municipality", "city", "street", "building", "unit", "postal_code", "main_pkd_code", "pkd_codes"),
+                    PREFER_INCOMING)
+    | {"registry_sources": UNION}
+)
+
+
+def minted_id(in_id: str, number: str = "krs_number") -> Column:
+    """Deterministic id of a court row without a company row: the hash of its court number (else of its own id)."""
+    own = F.when(present(number), F.concat(F.lit("krs:"), F.trim(F.col(number)))).otherwise(
+        F.concat(F.lit("row:"), F.col(in_id).cast("string")))
+    return F.sha2(own, 256)
+
+
+def merge_registry(master: DataFrame, incoming: DataFrame, in_id: str, policy: dict[str, str] = COURT_POLICY,
+                   master_id: str = "id") -> DataFrame:
+    """J5 ∪ J6: the whole company table after a court batch. Matched rows are merged by ``policy``, the others of
+    the master stay, and court rows without a match become rows of their own (one per court number) with a
+    minted id. ``master_id`` is a string."""
+    matched = match_entities(incoming, master, in_id, master_id).select(in_id, F.col("master_id").alias(master_id))
+    folded = fold_incoming(incoming.join(matched, in_id), master_id, in_id, policy)
+    updated = merge_survivorship(master, folded, master_id, policy)
+    untouched = master.join(folded.select(master_id), master_id, "left_anti").select(*master.columns)
+    alone = incoming.join(matched.select(in_id), in_id, "left_anti").withColumn(master_id, minted_id(in_id))
+    types = dict(master.dtypes)
+    new = fold_incoming(alone, master_id, in_id, policy)
+    new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(types[c]).alias(c) for c in master.columns])
+    return updated.unionByName(untouched).unionByName(new)
+
+
+def _filled(df: DataFrame, c: str) -> Column:
+    return blank_null(c).isNotNull() if _is_str(df, c) else F.col(c).isNotNull()
+
+
 def _is_str(df: DataFrame, c: str) -> bool:
     return dict(df.dtypes)[c] == "string"
 
@@ -178,6 +217,18 @@ def backfill_paths(master: DataFrame, json_col: str, targets: dict[str, tuple[st
     return out
 
 
+SOLE_TRADER = "JEDNOOSOBOWA DZIAŁALNOŚĆ GOSPODARCZA"
+
+
+def backfill_profile(df: DataFrame) -> DataFrame:
+    """Blank legal form from the court's, else the sole-trader form for trader rows; registered-on from
+    started-on."""
+    trader = F.when(F.array_contains("registry_sources", "CEIDG"), F.lit(SOLE_TRADER))
+    court = blank_null("krs_legal_form") if "krs_legal_form" in df.columns else F.lit(None).cast("string")
+    return (df.withColumn("legal_form", F.coalesce(F.nullif(F.col("legal_form"), F.lit("")), court, trader))
+              .withColumn("registered_on", F.coalesce("registered_on", "started_on")))
+
+
 # ------------------------------------------------------------------ D1 / D6 diffs
 def row_hash(cols: list[str]) -> Column:
     """Stable content hash of the listed columns (NULL-aware, order-sensitive)."""

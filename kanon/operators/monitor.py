@@ -152,6 +152,19 @@ def pending_work(planned: DataFrame, done: DataFrame, keys: list[str], day: str,
     return open_units.unionByName(recent).distinct()
 
 
+def resume_units(planned: DataFrame, checkpoints: DataFrame, key: str) -> DataFrame:
+    """T3 inside a unit: where each planned unit goes on. ``checkpoints`` holds ``completed``, the next page (from 1)
+    and item (from 0) and the counters so far; finished units are dropped, new ones start at page 1, item 0 with
+    zero counters."""
+    counters = ("imported_count", "skipped_count", "failed_count")
+    j = planned.join(checkpoints.select(key, "completed", "next_page", "next_item", *counters), key, "left")
+    zero = F.lit(0).cast("bigint")
+    return j.filter(~F.coalesce("completed", F.lit(False))).select(
+        *planned.columns, F.greatest(F.coalesce("next_page", F.lit(1)), F.lit(1)).alias("start_page"),
+        F.greatest(F.coalesce("next_item", F.lit(0)), F.lit(0)).alias("start_item"),
+        *[F.coalesce(c, zero).cast("bigint").alias(c) for c in counters])
+
+
 def upsert_replace(current: DataFrame, batch: DataFrame, key: str, order_by: str) -> DataFrame:
     """Keyed replace — per key keep the newest row by ``order_by`` (batch wins ties)."""
     tagged = current.withColumn("_prio", F.lit(0)).unionByName(batch.withColumn("_prio", F.lit(1)))

@@ -26,6 +26,7 @@ _MODULES = (
     "kanon.plans.aggregates",
     "kanon.plans.billing",
     "kanon.plans.streams",
+    "kanon.plans.roundtrips",
 )
 
 

@@ -9,8 +9,9 @@ from kanon.operators import merge as MG
 from kanon.operators.search import text_cast
 from kanon.plans import duck_norm as D
 from kanon.plans.catalog import query
-from kanon.plans.company import current, flagged
-from kanon.plans.sqlbits import SOURCE_PROFILE_SQL, present_sql as P, with_flagged
+from kanon.plans.company import current
+from kanon.operators.identity import flag_current
+from kanon.plans.sqlbits import IDENTITY_SQL, RANK_SQL, SOURCE_PROFILE_SQL, present_sql as P, with_flagged
 from kanon.sources.bindings import BINDING_SQL, company_history, registry_b, usage_log, with_bindings
 from kanon.sources.tables import read_table
 
@@ -68,69 +69,141 @@ def q_semi_existing(spark, sf):
 
 
 # ------------------------------------------------------------------ J5 / J6
-POLICY = {
-    "krs_number": MG.OVERWRITE,
-    "nip": MG.KEEP_EXISTING, "regon": MG.KEEP_EXISTING, "name": MG.KEEP_EXISTING, "status": MG.KEEP_EXISTING,
-    "county": MG.PREFER_INCOMING,
-    "registry_sources": MG.UNION,
+# Court rows and the company columns that the court policy touches, as SQL text that both engines read
+# (a binding like those of sources/bindings.py; the folding and merging under test are not in it).
+_COURT_COLS = {
+    "krs_number": "krs_number", "nip": "nip", "regon": "regon",
+    "krs_register_type": "'RejP'", "krs_court_name": "concat('SAD ', county)",
+    "krs_last_entry_date": "cast(concat('20', lpad(cast(b_id % 20 as string), 2, '0'), '-03-15') as date)",
+    "krs_representatives": "concat('{\"osoba\":', cast(b_id as string), '}')",
+    "raw_krs_payload": "concat('{\"odpis\":', cast(b_id as string), '}')",
+    "krs_updated_at": "cast(concat('2024-02-', lpad(cast(1 + b_id % 28 as string), 2, '0'), ' 06:00:00') as timestamp)",
+    "source_detail_url": "concat('https://example.invalid/odpis/', cast(b_id as string))",
+    "last_detail_source_hash": "concat('hash-', cast(b_id as string))",
+    "legal_form": "case when b_id % 3 = 0 then null when b_id % 3 = 1 then '' else 'Spolka Akcyjna' end",
+    "registered_on": "case when b_id % 5 <> 0 then cast(concat('199', cast(b_id % 10 as string), '-07-01') as date) end",
+    "electronic_delivery_address": "case when b_id % 2 = 0 then concat('AE:PL-', cast(b_id as string)) end",
+    "country": "case when b_id % 4 <> 0 then 'PL' end", "voivodeship": "cast(null as string)",
+    "municipality": "case when b_id % 7 = 0 then 'Centrum' end", "city": "case when b_id % 3 <> 0 then 'Warszawa' else ' ' end",
+    "street": "case when b_id % 2 = 1 then 'Polna' end", "building": "cast(b_id as string)", "unit": "cast(null as string)",
+    "postal_code": "case when b_id % 6 = 0 then '00-001' end", "main_pkd_code": "case when b_id % 4 = 1 then '6201Z' end",
+    "pkd_codes": "case when b_id % 4 = 1 then '[{\"kod\":\"6201Z\"}]' end",
 }
-_MERGE_COLS = ["id", "krs_number", "nip", "regon", "name", "status", "county", "registry_sources"]
+_MASTER_COLS = {
+    "krs_register_type": "cast(null as string)", "krs_court_name": "cast(null as string)", "krs_last_entry_date": "cast(null as date)",
+    "krs_representatives": "cast(null as string)", "raw_krs_payload": "cast(null as string)", "krs_updated_at": "cast(null as timestamp)",
+    "source_detail_url": "case when id % 3 = 0 then concat('https://example.invalid/firma/', cast(id as string)) when id % 3 = 1 then '' end",
+    "last_detail_source_hash": "case when id % 2 = 0 then concat('detail-', cast(id as string)) end",
+    "registered_on": "case when id % 2 = 0 then started_on end", "electronic_delivery_address": "case when id % 4 = 0 then '' end",
+    "municipality": "case when id % 5 = 0 then 'Stara' end", "building": "case when id % 2 = 0 then '1' end", "unit": "case when id % 3 = 0 then '2' end",
+    "postal_code": "case when id % 2 = 1 then '30-002' end", "pkd_codes": "cast(null as string)",
+}
+_POLICY = MG.COURT_POLICY
+_DATES = ("registered_on", "krs_last_entry_date", "krs_updated_at")
+_OWN = ["id", "ceidg_id", "started_on", "removed_on", "updated_at"]
 
 
-def _incoming(spark, sf):
+def court_rows(spark, sf):
+    """Court registry rows with every column of the policy (normalised name, status, county)."""
     b = registry_b(spark, sf)
-    return b.select("b_id", "krs_number", "nip", "regon", T.clean_text("name").alias("name"),
-                    T.source_status("source_status").alias("status"), T.place_name("county").alias("county"),
-                    F.array(F.lit("KRS")).alias("registry_sources"))
-
-
-_INCOMING_SQL = (f"select b_id, krs_number, nip, regon, {D.clean('name')} as name, "
-                 f"{D.source_status('source_status')} as status, {D.title('county')} as county from registry_b")
-_CUR_SQL = f"select *, string_split({SOURCE_PROFILE_SQL}, '+') as registry_sources from current_rows"
-
-
-@query("merge_survivorship", with_flagged(f"""
-select m.id,
-       f.krs_number,
-       case when {P('m.nip')} then m.nip else f.nip end as nip,
-       case when {P('m.regon')} then m.regon else f.regon end as regon,
-       case when {P('m.name')} then m.name else f.name end as name,
-       case when {P('m.status')} then m.status else f.status end as status,
-       case when {P('f.county')} then f.county else m.county end as county,
-       '{{' || array_to_string(list_sort(list_distinct(list_concat(m.registry_sources, ['KRS']))), ',') || '}}' as registry_sources
-from cur m join (
-  select master_id,
-         first(krs_number order by b_id desc) as krs_number,
-         arg_min(nip, b_id) filter (where {P('nip')}) as nip,
-         arg_min(regon, b_id) filter (where {P('regon')}) as regon,
-         arg_min(name, b_id) filter (where {P('name')}) as name,
-         arg_min(status, b_id) filter (where {P('status')}) as status,
-         arg_max(county, b_id) filter (where {P('county')}) as county
-  from (select i.*, best.master_id from incoming i join best on best.b_id = i.b_id)
-  group by master_id) f on f.master_id = m.id""",
-    extra={"cur": _CUR_SQL, "registry_b": BINDING_SQL["registry_b"],
-           "incoming": _INCOMING_SQL, "cand": _cand_sql("cur"), "best": _BEST_SQL}))
+    shared = [F.expr(e.replace("as timestamp", "as timestamp_ntz")).alias(c) for c, e in _COURT_COLS.items()]
+    return b.select("b_id", T.clean_text("name").alias("name"), T.source_status("source_status").alias("status"),
+                    T.place_name("county").alias("county"), F.array(F.lit("KRS")).alias("registry_sources"), *shared)
+
+
+def company_rows(spark, sf):
+    """Current company rows (string id) with every column of the policy."""
+    c = current(spark, sf)
+    shared = [F.expr(e.replace("as timestamp", "as timestamp_ntz")).alias(k) for k, e in _MASTER_COLS.items()]
+    own = [F.col(k).cast("string").alias(k) if k == "id" else F.col(k) for k in _OWN]
+    return c.select(*own, *[k for k in _POLICY if k not in _MASTER_COLS], *shared)
+
+
+_COURT_SQL = (f"select b_id, {D.clean('name')} as name, {D.source_status('source_status')} as status, {D.title('county')} as county, "
+              "['KRS'] as registry_sources, " + ", ".join(f"{e} as {c}" for c, e in _COURT_COLS.items()) + " from registry_b")
+_MASTER_SQL = ("select * replace (cast(id as varchar) as id), " + ", ".join(f"{e} as {c}" for c, e in _MASTER_COLS.items())
+               + f", string_split({SOURCE_PROFILE_SQL}, '+') as registry_sources from current_rows")
+
+
+def _has(c: str, x: str) -> str:
+    return f"{x}.{c} is not null" if c in _DATES else P(f"{x}.{c}")
+
+
+def _fold_sql(c: str) -> str:
+    kind = _POLICY[c]
+    if kind == MG.OVERWRITE:
+        return f"first(i.{c} order by i.b_id desc) as {c}"
+    if kind == MG.UNION:
+        return f"['KRS'] as {c}"
+    return f"{'arg_min' if kind == MG.KEEP_EXISTING else 'arg_max'}(i.{c}, i.b_id) filter (where {_has(c, 'i')}) as {c}"
+
+
+def _merge_sql(c: str) -> str:
+    kind = _POLICY[c]
+    if kind == MG.OVERWRITE:
+        return f"f.{c} as {c}"
+    if kind == MG.UNION:
+        return f"list_sort(list_distinct(list_concat(m.{c}, f.{c}))) as {c}"
+    if kind == MG.KEEP_EXISTING:
+        return f"case when {_has(c, 'm')} then m.{c} else f.{c} end as {c}"
+    rest = f"m.{c}" if c in _DATES else f"nullif(m.{c}, '')"
+    return f"case when {_has(c, 'f')} then f.{c} else {rest} end as {c}"
+
+
+_MINT_SQL = f"sha256(case when {P('i.krs_number')} then 'krs:' || trim(i.krs_number) else 'row:' || cast(i.b_id as varchar) end)"
+_MERGE_CTES = {
+    "cur": _MASTER_SQL, "registry_b": BINDING_SQL["registry_b"], "incoming": _COURT_SQL, "cand": _cand_sql("cur"),
+    "best": _BEST_SQL,
+    "folded": "select best.master_id, " + ", ".join(map(_fold_sql, _POLICY)) + " from incoming i join best on best.b_id = i.b_id group by 1",
+    "updated": "select m.id, m.ceidg_id, m.started_on, m.removed_on, m.updated_at, " + ", ".join(map(_merge_sql, _POLICY))
+               + " from cur m join folded f on f.master_id = m.id",
+    "inserted": f"select {_MINT_SQL} as id, " + ", ".join(map(_fold_sql, _POLICY))
+                + " from incoming i where i.b_id not in (select b_id from cand) group by 1",
+}
+_TEXT_SOURCES = "'{' || array_to_string(registry_sources, ',') || '}' as registry_sources"
+_SHOWN = ["id", *_POLICY]
+
+
+def _shown(df, *more):
+    return df.select(*[text_cast(F.col(c), df.schema[c].dataType).alias(c) if c == "registry_sources" else F.col(c)
+                       for c in (*_SHOWN, *more)])
+
+
+@query("merge_survivorship", with_flagged(
+    f"select * replace ({_TEXT_SOURCES}) from (select {', '.join(_SHOWN)} from updated)", extra=_MERGE_CTES))
 def q_merge_survivorship(spark, sf):
-    master = current(spark, sf).select(*_MERGE_COLS)
-    inc = _incoming(spark, sf)
+    """Company rows that a court row matches, every column by the court policy."""
+    master, inc = company_rows(spark, sf), court_rows(spark, sf)
     matched = MG.match_entities(inc, master, "b_id").select("b_id", F.col("master_id").alias("id"))
-    folded = MG.fold_incoming(inc.join(matched, "b_id"), "id", "b_id", POLICY)
-    merged = MG.merge_survivorship(master, folded, "id", POLICY)
-    return merged.withColumn("registry_sources", text_cast(F.col("registry_sources"), master.schema["registry_sources"].dataType))
+    folded = MG.fold_incoming(inc.join(matched, "b_id"), "id", "b_id", _POLICY)
+    return _shown(MG.merge_survivorship(master, folded, "id", _POLICY))
 
 
-@query("insert_unmatched", with_flagged(f"""
-select i.b_id, i.krs_number, i.nip, i.regon, i.name, i.status, i.county, '{{KRS}}' as registry_sources
-from incoming i where not exists (select 1 from cand c where c.b_id = i.b_id)""",
-    extra={"cur": _CUR_SQL, "registry_b": BINDING_SQL["registry_b"],
-           "incoming": _INCOMING_SQL, "cand": _cand_sql("cur")}))
+@query("insert_unmatched", with_flagged(
+    f"select * replace ({_TEXT_SOURCES}) from (select {', '.join(_SHOWN)} from inserted)", extra=_MERGE_CTES))
 def q_insert_unmatched(spark, sf):
-    """Court rows without a match become new rows with sources {KRS}."""
-    master = current(spark, sf)
-    inc = _incoming(spark, sf)
+    """Court rows without a match become rows of their own with sources {KRS} and a minted id."""
+    master, inc = company_rows(spark, sf), court_rows(spark, sf)
     matched = MG.match_entities(inc, master, "b_id").select("b_id")
-    new = inc.join(matched, "b_id", "left_anti")
-    return new.withColumn("registry_sources", F.lit("{KRS}"))
+    new = inc.join(matched, "b_id", "left_anti").withColumn("id", MG.minted_id("b_id"))
+    return _shown(MG.fold_incoming(new, "id", "b_id", _POLICY))
+
+
+_MERGED_SQL = ("select id, ceidg_id, started_on, removed_on, updated_at, " + ", ".join(_POLICY) + " from updated union all by name select id, ceidg_id, started_on, removed_on, updated_at, "
+               + ", ".join(_POLICY) + " from cur where id not in (select id from updated) union all by name select * from inserted")
+_MERGED_EVENT = "coalesce(removed_on, registered_on, started_on, cast(updated_at as date), date '0001-01-01')"
+
+
+@query("merged_master", with_flagged(f"""
+select id, {', '.join(c for c in _POLICY if c != 'registry_sources')}, {_TEXT_SOURCES}, identity_key,
+       id = first(id order by {RANK_SQL}, {_MERGED_EVENT} desc, updated_at desc nulls first, id) over (partition by identity_key
+            order by {RANK_SQL}, {_MERGED_EVENT} desc, updated_at desc nulls first, id
+            rows between unbounded preceding and unbounded following) as is_current
+from (select *, {IDENTITY_SQL} as identity_key from merged)""", extra=_MERGE_CTES | {"merged": _MERGED_SQL}))
+def q_merged_master(spark, sf):
+    """J5 ∪ J6 ∪ untouched rows, then one current row per identity (W1) over the result."""
+    merged = MG.merge_registry(company_rows(spark, sf), court_rows(spark, sf), "b_id")
+    return _shown(flag_current(merged), "identity_key", "is_current")
 
 
 @query("backfill_join", with_flagged(f"""
@@ -247,19 +320,46 @@ def q_enrichment_worklist(spark, sf):
     return MG.enrichment_worklist(current(spark, sf)).select("id", "nip", "regon")
 
 
-@query("backfill_paths", with_bindings(
-    "select b_id, county, 'POLSKA' as country from registry_b", "registry_b"))
-def q_backfill_paths(spark, sf):
-    """Blank address columns of court rows filled from JSON paths of their raw excerpt
-    (seat first, then address)."""
-    from kanon.plans.landing import excerpt_payloads
+# Court address paths per column, first present wins.
+_SEAT = "$.odpis.dane.dzial1.siedzibaIAdres"
+COURT_PATHS = {
+    "country": (f"{_SEAT}.adres.kraj", f"{_SEAT}.siedziba.kraj"),
+    "voivodeship": (f"{_SEAT}.siedziba.wojewodztwo", f"{_SEAT}.adres.wojewodztwo"),
+    "county": (f"{_SEAT}.siedziba.powiat", f"{_SEAT}.adres.powiat"),
+    "municipality": (f"{_SEAT}.siedziba.gmina", f"{_SEAT}.adres.gmina"),
+    "city": (f"{_SEAT}.adres.miejscowosc", f"{_SEAT}.siedziba.miejscowosc", f"{_SEAT}.adres.poczta"),
+    "street": (f"{_SEAT}.adres.ulica",), "building": (f"{_SEAT}.adres.nrDomu",), "unit": (f"{_SEAT}.adres.nrLokalu",),
+    "postal_code": (f"{_SEAT}.adres.kodPocztowy",),
+    "electronic_delivery_address": (f"{_SEAT}.adresDoDoreczenElektronicznychWpisanyDoBAE",),
+}
+
 
+@query("backfill_paths", with_bindings("""
+select b_id, case when b_id % 3 = 0 then 'POLSKA' else 'PL' end as country, case when b_id % 2 = 0 then 'mazowieckie' end as voivodeship,
+       county, case when b_id % 2 = 1 then 'Gmina ' || cast(b_id as varchar) end as municipality, 'WARSZAWA' as city,
+       'ul. Polna' as street, cast(b_id as varchar) as building, case when b_id % 4 = 0 then '7' end as unit, '00-001' as postal_code,
+       'AE:PL-' || cast(b_id as varchar) as electronic_delivery_address,
+       case when b_id % 3 = 0 then 'Spółka' else 'JEDNOOSOBOWA DZIAŁALNOŚĆ GOSPODARCZA' end as legal_form,
+       case when b_id % 5 = 0 then date '2001-01-01' else date '1999-09-09' end as registered_on
+from registry_b""", "registry_b"))
+def q_backfill_paths(spark, sf):
+    """Blank columns of court rows filled from JSON paths of their raw excerpt, legal form and registered-on
+    from the row's other columns."""
+    k = F.col("b_id")
     b = registry_b(spark, sf)
-    master = b.select("b_id", F.when(F.col("b_id") % 3 == 0, F.lit("")).otherwise(F.col("county")).alias("county"),
-                      F.lit(None).cast("string").alias("country"))
-    raw = excerpt_payloads(spark, sf).select(F.col("page_key").alias("b_id"), F.col("content").alias("raw_krs_payload"))
-    paths = {
-        "county": ("$.odpis.dane.dzial1.siedzibaIAdres.siedziba.powiat", "$.odpis.dane.dzial1.siedzibaIAdres.adres.powiat"),
-        "country": ("$.odpis.dane.dzial1.siedzibaIAdres.adres.kraj", "$.odpis.dane.dzial1.siedzibaIAdres.siedziba.kraj"),
-    }
-    return MG.backfill_paths(master.join(raw, "b_id"), "raw_krs_payload", paths).select("b_id", "county", "country")
+    seat = F.struct(F.struct(F.when(k % 2 == 0, "mazowieckie").alias("wojewodztwo"), F.col("county").alias("powiat"),
+                             F.lit("POLSKA").alias("kraj")).alias("siedziba"),
+                    F.struct(F.when(k % 2 == 1, F.concat(F.lit("Gmina "), k.cast("string"))).alias("gmina"),
+                             F.lit("WARSZAWA").alias("poczta"), F.lit("ul. Polna").alias("ulica"), k.cast("string").alias("nrDomu"),
+                             F.when(k % 4 == 0, 7).alias("nrLokalu"), F.lit("00-001").alias("kodPocztowy")).alias("adres"),
+                    F.concat(F.lit("AE:PL-"), k.cast("string")).alias("adresDoDoreczenElektronicznychWpisanyDoBAE"))
+    raw = F.to_json(F.struct(F.struct(F.struct(F.struct(seat.alias("siedzibaIAdres")).alias("dzial1")).alias("dane")).alias("odpis")))
+    blank = {c: F.lit("") if i % 2 else F.lit(None).cast("string") for i, c in enumerate(COURT_PATHS)}
+    blank["country"] = F.when(k % 3 != 0, "PL").otherwise("")
+    blank["county"] = F.when(k % 3 == 0, "").otherwise(F.col("county"))
+    rows = b.select("b_id", *[e.alias(c) for c, e in blank.items()], raw.alias("raw_krs_payload"),
+                    F.when(k % 3 == 1, "").alias("legal_form"), F.when(k % 3 == 0, "Spółka").alias("krs_legal_form"),
+                    F.array(F.lit("CEIDG")).alias("registry_sources"), F.when(k % 5 == 0, F.lit("2001-01-01").cast("date")).alias("registered_on"),
+                    F.lit("1999-09-09").cast("date").alias("started_on"))
+    out = MG.backfill_profile(MG.backfill_paths(rows, "raw_krs_payload", COURT_PATHS))
+    return out.select("b_id", *COURT_PATHS, "legal_form", "registered_on")
