@@ -57,7 +57,6 @@ def fold_accents(c, fold_l_stroke: bool = False) -> Column:
 # every other character separates words (the culture title-casing rule).
 # Regex word boundaries: word characters are letters, non-spacing marks, digits, connectors.
 WORD_TOKEN = r"([\p{L}\p{Mn}\p{Nd}\p{Pc}]+|[^\p{L}\p{Mn}\p{Nd}\p{Pc}]+)"
-ROMAN = r"^(?i)[IVXLCDM]{2,}$"
 _W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 # a whole word (maximal run of word characters) made only of roman-numeral letters
 ROMAN_WORD = rf"(?i)(?<!{_W})([IVXLCDM]{{2,}})(?!{_W})"

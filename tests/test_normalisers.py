@@ -44,7 +44,7 @@ def test_country(spark, raw, expected):
 
 @pytest.mark.parametrize("raw,expected", [
     ("600 100 200", "+48600100200"),
-    ("+48600100201, 700100202, 880100203", "+48600100201, +48700100202, +48880100203"),
+    ("+48600100201, 730100202, 880100203", "+48600100201, +48730100202, +48880100203"),
     ("510100204 510100205", "+48510100204, +48510100205"),
     ("+48 22 1000206", "+48 22 100 02 06"),
     ("121000207", "+48 12 100 02 07"),
