@@ -1,11 +1,11 @@
 """Ordered aggregates and small set / top-k operators (A9–A12, U2, L3–L5), plus a skew-safe running sum.
 
-``running_sum`` is the building block for every order-dependent running
+``running_sums`` is the building block for every order-dependent running
 value (ledger balance W7, request-rate windows W8, debit fold T9): a window
 ``partitionBy(key).orderBy(ts)`` puts a whole key into one task, so instead
-rows are cut into time buckets, each bucket is ranked / summed on its own
-(bounded task size), and the per-bucket totals — one row per key and bucket —
-are turned into offsets with a small window. Result = offset + in-bucket sum.
+rows are summed within one second of a key, and the totals — one row per key
+and second — become offsets through two more levels, seconds of an hour and
+hours of a key. Result = offset + sum within the second.
 """
 
 from __future__ import annotations
@@ -66,20 +66,65 @@ def cap(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
     return df.orderBy(*order).limit(n) if n else df
 
 
-# ------------------------------------------------------------------ skew-safe running sums
-def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: Column, out: str,
-                bucket_seconds: int = 3600) -> DataFrame:
-    """Running ``sum(value)`` per ``key`` in (ts, tie) order, inclusive of the current row.
-
-    Two levels: rank/sum inside (key, bucket) partitions, then add the total of all earlier buckets
-    of the key (computed on one row per key and bucket)."""
-    b = F.floor(micros_ntz(ts) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
-    x = df.withColumn("_bkt", b).withColumn("_val", value)
-    per_bucket = x.groupBy(key, "_bkt").agg(F.sum("_val").alias("_bsum"))
-    wb = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bsum").over(wb), F.lit(0))).drop("_bsum")
-    wi = Window.partitionBy(key, "_bkt").orderBy(F.col(ts), F.col(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    inner = x.withColumn("_in", F.sum("_val").over(wi))
-    return (inner.join(offsets, [key, "_bkt"])
-            .withColumn(out, F.col("_off") + F.col("_in"))
-            .drop("_bkt", "_val", "_in", "_off"))
+# ------------------------------------------------------------------ skew-safe running values
+SECOND, HOUR = 1_000_000, 3600
+
+
+def bucket(ts) -> Column:
+    """Whole seconds of a naive timestamp."""
+    return F.floor(micros_ntz(ts) / F.lit(SECOND)).cast("bigint")
+
+
+def exclusive_scan(per: DataFrame, key: str, b: str, values: dict[str, str]) -> DataFrame:
+    """``per`` has one row per (key, second ``b``). Adds, per value column, what all earlier seconds of the key carry:
+    kind ``sum`` their total (0 if none), kind ``last`` the latest non-NULL value. Two levels, seconds within
+    an hour and hours within a key, so no window holds more than 3,600 rows of the first or the key's hours."""
+    x = per.withColumn("_hour", F.floor(F.col(b) / HOUR).cast("bigint"))
+    inside = Window.partitionBy(key, "_hour").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+
+    def over(c: str, kind: str, w) -> Column:
+        return F.sum(c).over(w) if kind == "sum" else F.last(c, ignorenulls=True).over(w)
+
+    def hourly(c: str, kind: str) -> Column:
+        return (F.sum(c) if kind == "sum" else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(b)))).alias(c)
+
+    hours = x.groupBy(key, "_hour").agg(*[hourly(c, k) for c, k in values.items()])
+    hours = hours.select(key, "_hour", *[over(c, k, before).alias(f"_h_{c}") for c, k in values.items()])
+    x = x.select("*", *[over(c, k, inside).alias(f"_s_{c}") for c, k in values.items()]).join(hours, [key, "_hour"])
+    zero = F.lit(0)
+    done = [(F.coalesce(f"_s_{c}", zero) + F.coalesce(f"_h_{c}", zero) if k == "sum" else F.coalesce(f"_s_{c}", f"_h_{c}")).alias(f"_off_{c}")
+            for c, k in values.items()]
+    return x.select(key, b, *done)
+
+
+def running_sums(df: DataFrame, key: str, ts: str, tie: str, values: dict[str, Column]) -> DataFrame:
+    """Running sum per ``key`` in (ts, tie) order, inclusive of the current row, for every ``out: value``.
+
+    Rows are summed inside (key, second) partitions; the totals of all earlier seconds come from
+    :func:`exclusive_scan` over one row per key and second. However many rows a key or an hour holds, a task
+    sees one second of one key at a time."""
+    x = df.withColumn("_bkt", bucket(ts)).withColumns({f"_v_{o}": v for o, v in values.items()})
+    sums = {f"_v_{o}": "sum" for o in values}
+    per = x.groupBy(key, "_bkt").agg(*[F.sum(c).alias(c) for c in sums])
+    offsets = exclusive_scan(per, key, "_bkt", sums)
+    own = Window.partitionBy(key, "_bkt").orderBy(F.col(ts), F.col(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    inner = x.select(*df.columns, "_bkt", *[F.sum(c).over(own).alias(c) for c in sums])
+    out = inner.join(offsets, [key, "_bkt"])
+    return out.select(*df.columns, *[(F.col(f"_off__v_{o}") + F.col(f"_v_{o}")).alias(o) for o in values])
+
+
+def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: Column, out: str) -> DataFrame:
+    """:func:`running_sums` of one value."""
+    return running_sums(df, key, ts, tie, {out: value})
+
+
+def running_last(df: DataFrame, key: str, ts: str, tie: str, col: str) -> DataFrame:
+    """Fill NULLs of ``col`` with the last non-NULL earlier value per ``key``."""
+    x = df.withColumn("_bkt", bucket(ts))
+    own = Window.partitionBy(key, "_bkt").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_fill", F.last(F.col(col), ignorenulls=True).over(own))
+    per = x.groupBy(key, "_bkt").agg(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(ts, tie))).alias("_last"))
+    carried = exclusive_scan(per, key, "_bkt", {"_last": "last"})
+    return (x.join(carried, [key, "_bkt"]).withColumn(col, F.coalesce("_fill", "_off__last"))
+            .select(*df.columns))

@@ -4,17 +4,17 @@ usage roll-ups (B5, A14), key / user joins (J11) and the conditional debit fold
 T9 is order dependent (a request is debited only if the balance covers it), so it
 is not a plain cumulative sum. Exact and skew-safe plan:
 
-1. running cost per user (two-level bucketed prefix sum, no per-user task);
+1. running cost and rank per user (multi-level prefix sums, no per-user task);
 2. every request whose running cost stays within the grant is accepted — exact,
    since no earlier request can have been rejected;
 3. after a user's first shortfall the balance is below one request's cost, i.e.
    below that request's cost; later requests costing more than that balance are rejected
-   outright. The rest (the "tail") is cut into (user, time bucket) chunks; each
+   outright. The rest (the "tail") is cut into chunks of at most ``CHUNK_ROWS`` requests of a user, by rank; each
    chunk computes, vectorised, its transition table ``start balance → end
-   balance`` over ``0..shortfall balance`` (< one request's cost); the tables (one per user and bucket) are
-   composed in bucket order to give every chunk its exact start balance; a last
-   pass replays each chunk from that balance. No task ever holds more than one
-   bucket of one user.
+   balance`` over ``0..shortfall balance`` (< one request's cost); the tables (one per chunk) are
+   composed in chunk order to give every chunk its exact start balance; a last
+   pass replays each chunk from that balance. Chunks are bounded by rows, however
+   dense a user's requests are.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from kanon.functions.common import micros_ntz
-from kanon.operators.aggregates import running_sum
+from kanon.operators.aggregates import running_last, running_sum, running_sums
 from kanon.session import ensure_checkpoint_dir
 
 # Pricing constants.
+CHUNK_ROWS = 4096
 GRANT = 5000                      # tokens granted on sign-up
 ANALYTICS_COST = 25               # flat cost of an analytics call
 CONTACT_COLUMNS = ("phone", "phoneMobile", "phoneLandline", "phonesJson", "email", "website",
@@ -63,10 +63,9 @@ def unit_prices(packages: DataFrame) -> DataFrame:
     return packages.select("code", "name", "tokens", "price", ppk.alias("price_per_1000"), tpu.alias("tokens_per_unit"))
 
 
-def running_balance(ledger: DataFrame, user: str, ts: str, tie: str, delta: str, opening: Column,
-                    bucket_seconds: int = 3600) -> DataFrame:
+def running_balance(ledger: DataFrame, user: str, ts: str, tie: str, delta: str, opening: Column) -> DataFrame:
     """``balance_after = opening + running sum(delta)`` per user in (ts, id) order."""
-    r = running_sum(ledger, user, ts, tie, F.col(delta), "_cum", bucket_seconds)
+    r = running_sum(ledger, user, ts, tie, F.col(delta), "_cum")
     return r.withColumn("balance_after", opening + F.col("_cum")).drop("_cum")
 
 
@@ -83,13 +82,13 @@ def reconcile(ledger: DataFrame, users: DataFrame, user: str) -> DataFrame:
 
 # ------------------------------------------------------------------ T9 conditional debit
 def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, grant: int = GRANT,
-               bucket_seconds: int = 86400) -> DataFrame:
+               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per request ``accepted`` and ``balance_after`` under "debit only if balance >= cost"."""
     # the running cost feeds four branches below: cut the lineage once (reliable checkpoint in the
     # shared spark.checkpoint.dir, so a lost executor re-reads files instead of recomputing)
     ensure_checkpoint_dir(requests.sparkSession)
-    rs = running_sum(requests.select(user, ts, tie, cost), user, ts, tie, F.col(cost), "_cum",
-                     bucket_seconds).checkpoint(eager=True)
+    rs = running_sums(requests.select(user, ts, tie, cost), user, ts, tie,
+                      {"_cum": F.col(cost), "_rank": F.lit(1)}).checkpoint(eager=True)
     head_ok = F.col("_cum") <= grant
     head = rs.filter(head_ok).select(user, ts, tie, cost, F.lit(True).alias("accepted"),
                                      (F.lit(grant) - F.col("_cum")).alias("balance_after"))
@@ -101,7 +100,7 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
     tail = rs.filter(~head_ok).join(first, user)
     hopeless = tail.filter(F.col(cost) > F.col("_b0"))           # can never be covered again
     cand = tail.filter(F.col(cost) <= F.col("_b0")).withColumn(
-        "_bkt", F.floor(micros_ntz(ts) / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
+        "_bkt", F.floor((F.col("_rank") - 1) / F.lit(chunk_rows)).cast("bigint"))
 
     nparts = requests.sparkSession.conf.get("spark.sql.shuffle.partitions")
     nparts = int(nparts) if nparts and nparts.isdigit() else 200
@@ -119,7 +118,7 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
                 key = (u[i], k[i])
                 if key != cur:
                     if cur is not None:
-                        us.append(cur[0]); bs.append(cur[1]); ts_.append(table.tolist())
+                        us.append(cur[0]); bs.append(cur[1]); ts_.append(table)
                     # after the shortfall the balance never exceeds _b0, so states 0.._b0 suffice
                     cur, table = key, np.arange(int(b0[i]) + 1, dtype=np.int64)
                 ci = c[i]
@@ -127,7 +126,7 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
             if us:  # an empty frame would carry float columns Arrow cannot turn into list<long>
                 yield pd.DataFrame({user: us, "_bkt": bs, "_t": ts_})
         if cur is not None:
-            yield pd.DataFrame({user: [cur[0]], "_bkt": [cur[1]], "_t": [table.tolist()]})
+            yield pd.DataFrame({user: [cur[0]], "_bkt": [cur[1]], "_t": [table]})
 
     tschema = f"{user} long, _bkt long, _t array<long>"
     tab = (cand.select(user, "_bkt", ts, tie, cost, "_b0")
@@ -178,23 +177,5 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
     # hopeless rows keep the balance of the last earlier candidate (or the shortfall balance)
     hop = hopeless.select(user, ts, tie, cost, F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("balance_after"))
     allrows = head.unionByName(replayed).unionByName(hop)
-    filled = running_last(allrows, user, ts, tie, "balance_after", bucket_seconds)
+    filled = running_last(allrows, user, ts, tie, "balance_after")
     return filled
-
-
-def running_last(df: DataFrame, user: str, ts: str, tie: str, col: str, bucket_seconds: int) -> DataFrame:
-    """Fill NULLs of ``col`` with the last non-NULL earlier value per user (bucketed like running_sum)."""
-    from pyspark.sql import Window
-
-    b = F.floor(micros_ntz(ts) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
-    x = df.withColumn("_bkt", b)
-    last_in = F.last(F.col(col), ignorenulls=True)
-    wi = Window.partitionBy(user, "_bkt").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_fill", last_in.over(wi))
-    per = x.groupBy(user, "_bkt").agg(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(ts, tie)))
-                                      .alias("_blast"))
-    wb = Window.partitionBy(user).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_prev", F.last("_blast", ignorenulls=True).over(wb)).drop("_blast")
-    return (x.join(per, [user, "_bkt"])
-            .withColumn(col, F.coalesce(F.col("_fill"), F.col("_prev")))
-            .drop("_bkt", "_fill", "_prev"))

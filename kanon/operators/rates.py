@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kanon.functions.common import micros_ntz
-from kanon.operators.aggregates import running_sum
+from kanon.operators.aggregates import bucket, exclusive_scan, running_sum
 
 
-def rate_audit(events: DataFrame, key: str, ts: str, tie: str, windows: dict[str, int],
-               bucket_seconds: int = 3600) -> DataFrame:
+def rate_audit(events: DataFrame, key: str, ts: str, tie: str, windows: dict[str, int]) -> DataFrame:
     """Per request: ``windows`` name → count of same-source requests in the trailing window (incl. itself),
     plus ``gap_seconds`` since the previous request of the source (NULL for the first)."""
     base = events.select(F.col(key), F.col(ts), F.col(tie))
@@ -30,27 +29,24 @@ def rate_audit(events: DataFrame, key: str, ts: str, tie: str, windows: dict[str
                           F.col(tie).alias("_rid"), F.lit(name).alias("_probe"), F.lit(0).alias("_one"))
               for name, w in windows.items()]
     allrows = reduce(lambda a, b: a.unionByName(b), [req, *probes])
-    cum = running_sum(allrows, key, ts, "_ord", F.col("_one"), "_cum", bucket_seconds)
+    cum = running_sum(allrows, key, ts, "_ord", F.col("_one"), "_cum")
     at_req = cum.filter(F.col("_probe").isNull()).select(key, F.col("_rid").alias(tie), F.col(ts), F.col("_cum").alias("_c"))
     at_probe = (cum.filter(F.col("_probe").isNotNull())
                 .groupBy(F.col("_rid").alias(tie)).pivot("_probe", list(windows)).agg(F.first("_cum")))
     out = at_req.join(at_probe, tie)
     for name in windows:
         out = out.withColumn(name, F.col("_c") - F.col(name))
-    gaps = previous_gap(base, key, ts, tie, bucket_seconds)
+    gaps = previous_gap(base, key, ts, tie)
     return out.drop("_c").join(gaps, tie)
 
 
-def previous_gap(events: DataFrame, key: str, ts: str, tie: str, bucket_seconds: int) -> DataFrame:
-    """Seconds since the previous event of the same key, in (ts, tie) order — lag inside time buckets,
-    the previous bucket's last event for the first row of a bucket."""
-    b = F.floor(micros_ntz(ts) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
-    x = events.withColumn("_bkt", b)
-    w = Window.partitionBy(key, "_bkt").orderBy(ts, tie)
-    x = x.withColumn("_prev", F.lag(ts).over(w))
-    last = x.groupBy(key, "_bkt").agg(F.max_by(F.col(ts), F.struct(ts, tie)).alias("_blast"))
-    wb = Window.partitionBy(key).orderBy("_bkt")
-    last = last.withColumn("_pb", F.lag("_blast").over(wb)).drop("_blast")
-    prev = F.coalesce(F.col("_prev"), F.col("_pb"))
+def previous_gap(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """Seconds since the previous event of the same key, in (ts, tie) order: lag within a second of the key, the
+    latest earlier second's last event for its first row."""
+    x = events.withColumn("_bkt", bucket(ts))
+    x = x.withColumn("_prev", F.lag(ts).over(Window.partitionBy(key, "_bkt").orderBy(ts, tie)))
+    per = x.groupBy(key, "_bkt").agg(F.max(ts).alias("_last"))
+    carried = exclusive_scan(per, key, "_bkt", {"_last": "last"})
+    prev = F.coalesce(F.col("_prev"), F.col("_off__last"))
     gap = (micros_ntz(ts) - micros_ntz(prev)) / F.lit(1_000_000.0)
-    return x.join(last, [key, "_bkt"]).select(tie, gap.alias("gap_seconds"))
+    return x.join(carried, [key, "_bkt"]).select(tie, gap.alias("gap_seconds"))

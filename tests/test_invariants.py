@@ -80,7 +80,7 @@ def test_running_sum_matches_window(spark):
     from pyspark.sql import Window
 
     e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    a = AG.running_sum(e, "user_id", "ts", "event_id", F.col("value"), "cum", bucket_seconds=7200)
+    a = AG.running_sum(e, "user_id", "ts", "event_id", F.col("value"), "cum")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     b = e.withColumn("cum2", F.sum("value").over(w))
     j = a.join(b.select("event_id", "cum2"), "event_id")
@@ -105,14 +105,14 @@ def test_debit_fold_matches_sequential(spark):
             for i, u in enumerate(random.choices([1, 2, 3], weights=[8, 1, 1], k=400))]
     df = spark.createDataFrame(data, "user_id long, ts timestamp_ntz, request_id long, cost long")
     got = {r["request_id"]: (r["accepted"], r["balance_after"])
-           for r in B.debit_fold(df, "user_id", "ts", "request_id", "cost", 5000, bucket_seconds=86400).collect()}
+           for r in B.debit_fold(df, "user_id", "ts", "request_id", "cost", 5000).collect()}
     assert got == _brute_debit(data, 5000)
 
 
 def test_rate_audit_matches_brute_force(spark):
     e = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "event_type", "ts")
     got = {r["event_id"]: (r["n5"], r["n60"]) for r in
-           R.rate_audit(e, "event_type", "ts", "event_id", {"n5": 3000, "n60": 36000}, bucket_seconds=3600).collect()}
+           R.rate_audit(e, "event_type", "ts", "event_id", {"n5": 3000, "n60": 36000}).collect()}
     ev = [(r["event_id"], r["event_type"], r["ts"]) for r in e.collect()]
     for eid, typ, ts in ev[:150]:
         same = [(t, i) for i, ty, t in ev if ty == typ and (t, i) <= (ts, eid)]
