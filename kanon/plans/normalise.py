@@ -224,6 +224,54 @@ def q_renormalize(spark, sf):
     return renormalize(company_history(spark, sf).select(*cols)).select(*cols)
 
 
+# Stored values that tell the batch rules from the write-time rules, as SQL text that both engines read.
+_STORED = {
+    "email": "case id % 4 when 0 then concat(' Ola ', cast(id as string), ' @Mail.TEST ') when 1 then 'brak' when 2 then '  ' end",
+    "website": "case id % 5 when 0 then 'Sklep' when 1 then ' WWW.Sklep.test// ' when 2 then 'HTTP://A.test/X/' when 3 then '' end",
+    "street": "case id % 6 when 0 then 'UL. POLNA-LESNA 4A' when 1 then 'ulica lipowa' when 2 then 'AL. NIEPODLEGLOSCI' when 3 then 'bulw. odry' when 4 then 'Ul.' end",
+    "country": "case id % 4 when 0 then ' polska ' when 1 then 'Oesterreich' when 2 then 'de' else '' end",
+    "postal_code": "case id % 3 when 0 then '00950' when 1 then ' 12-34 ' else '' end",
+    "legal_form": "case id % 3 when 0 then 'SPOLKA Z O.O. W LIKWIDACJI I INNE' when 1 then ' fundacja ' end",
+    "city": "case id % 2 when 0 then 'BIELSKO-BIALA' else 'nowy  dwor 2maja' end",
+    "krs_number": "case id % 3 when 0 then '12-34' when 1 then 'brak' end", "status": "case id % 2 when 0 then ' aktywny' else '' end",
+    "main_pkd_code": "case id % 2 when 0 then '47.11.z' else '--' end", "nip": "case id % 2 when 0 then '555-000 11.22' else 'x' end",
+}
+
+
+def _cap_sql(c: str) -> str:
+    runs = f"regexp_extract_all(lower(trim(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')"
+    return f"array_to_string(list_transform({runs}, lambda r: upper(r[1]) || r[2:]), '')"
+
+
+_ONLY_DIGITS = "regexp_replace(coalesce({0}, ''), '[^0-9]', '', 'g')"
+_STREET_SQL = _cap_sql("street")
+for _p in ("Ul", "Al", "Pl", "Bulw", "Os"):
+    _STREET_SQL = f"regexp_replace({_STREET_SQL}, '^{_p}\\.', '{_p.lower()}.')"
+
+
+@query("renormalize_batch", with_bindings(f"""
+select id, nullif(lower(regexp_replace(trim(email), '\\s', '', 'g')), '') as email,
+       case when trim(website) = '' then null when regexp_matches(lower(trim(website)), '^https?://') then lower(rtrim(trim(website), '/'))
+            when contains(website, '.') then 'https://' || lower(rtrim(trim(website), '/')) else lower(trim(website)) end as website,
+       nullif(trim(regexp_replace({_STREET_SQL}, '^(ul\\.|ulica)\\s*', '', 'i')), '') as street,
+       case when upper(trim(country)) in ('PL', 'POLSKA', 'RP', 'RZECZPOSPOLITA POLSKA') then 'PL' else nullif(upper(trim(country)), '') end as country,
+       case when length({_ONLY_DIGITS.format('postal_code')}) = 5
+            then left({_ONLY_DIGITS.format('postal_code')}, 2) || '-' || right({_ONLY_DIGITS.format('postal_code')}, 3)
+            else nullif(trim(postal_code), '') end as postal_code,
+       nullif(replace(replace(replace({_cap_sql('legal_form')}, ' Z ', ' z '), ' W ', ' w '), ' I ', ' i '), '') as legal_form,
+       nullif({_cap_sql('city')}, '') as city,
+       case when {_ONLY_DIGITS.format('krs_number')} <> '' then lpad({_ONLY_DIGITS.format('krs_number')}, 10, '0') end as krs_number,
+       nullif(upper(trim(status)), '') as status, nullif(upper(regexp_replace(main_pkd_code, '[^0-9A-Za-z]', '', 'g')), '') as main_pkd_code,
+       nullif({_ONLY_DIGITS.format('nip')}, '') as nip
+from stored""", extra={"stored": "select o_orderkey as id, " + ", ".join(f"{e.replace('id', 'o_orderkey')} as {c}" for c, e in _STORED.items()) + " from orders"}))
+def q_renormalize_batch(spark, sf):
+    """H15 with the batch rules over stored values that tell them from the write-time rules."""
+    from kanon.operators.renormalize import renormalize_batch
+
+    rows = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return renormalize_batch(rows.select("id", *[F.expr(e).alias(c) for c, e in _STORED.items()]))
+
+
 @query("split_ordinal", rf"""
 with p as (select doc_id, {D.join_or_null(D.ordered_distinct(D.phone_list_raw('text')))} as phones from documents)
 select doc_id, ordinal, item from (
