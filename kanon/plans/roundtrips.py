@@ -10,7 +10,7 @@ from kanon.operators import aggregates as AG
 from kanon.operators import monitor as M
 from kanon.plans.catalog import query
 from kanon.plans.company import current, flagged
-from kanon.plans.sqlbits import with_flagged
+from kanon.plans.sqlbits import IDENTITY_SQL, RANK_SQL, with_flagged
 from kanon.sources import landing as L
 from kanon.sources import sinks as S
 from kanon.sources.bindings import import_checkpoint, registry_b, with_bindings
@@ -120,3 +120,54 @@ def q_independent_sources(spark, sf):
     parts = [spark.read.parquet(f"{root}/out/{n}").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).select(F.lit(n).alias("source"), "n", "ids")
              for n in tables]
     return parts[0].unionByName(parts[1])
+
+
+# ------------------------------------------------------------------ T4
+_T = ("2024-03-01 00:00:00", "2024-04-01 00:00:00", "2024-05-01 00:00:00")
+_REPLAY_STATE = f"""
+select sha256(upper(ceidg_id)) as id, upper(ceidg_id) as ceidg_id, nip, nullif(regon, '') as regon,
+       case when id % 5 = 0 then lpad(cast(id as varchar), 10, '0') end as krs_number,
+       case when id % 4 = 0 then 'ZAWIESZONY' else status end as status, started_on, removed_on,
+       cast(case when id % 4 = 0 then '{_T[2]}' else '{_T[1]}' end as timestamp) as updated_at,
+       cast('{_T[1]}' as timestamp) as first_seen_at,
+       case when id % 5 = 0 then 'FUNDACJA' else 'JEDNOOSOBOWA DZIAŁALNOŚĆ GOSPODARCZA' end as legal_form,
+       case when id % 5 = 0 then '{{CEIDG,KRS}}' else '{{CEIDG}}' end as registry_sources
+from company_history"""
+
+
+@query("ingest_replay", with_bindings(f"""
+select ceidg_id, krs_number, status, updated_at, first_seen_at, legal_form, registry_sources, identity_key,
+       order_tuple = min(order_tuple) over (partition by identity_key) as is_current
+from (select *, {IDENTITY_SQL} as identity_key,
+             {{'r': {RANK_SQL}, 'd': date '9999-12-31' - coalesce(removed_on, started_on), 'u': -epoch_us(updated_at), 'id': id}} as order_tuple
+      from state)""", "company_history", extra={"state": _REPLAY_STATE}))
+def q_ingest_replay(spark, sf):
+    """T4: a first feed, a court merge of every fifth row, then a feed with newer fetches of every fourth row, older
+    fetches of every sixth, an error page and a payload without id."""
+    from kanon.operators.identity import flag_current
+    from kanon.plans.landing import detail_payloads
+    from kanon.streaming.jobs import detail_rows, refresh
+
+    root = _fresh(spark, "replay")
+
+    def kept(df, name):
+        """As in the stream, each step reads what the one before has written."""
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    at = lambda df, t: df.withColumn("fetched_at", F.lit(t).cast("timestamp_ntz"))
+    pages = kept(detail_payloads(spark, sf).repartition("page_key"), "pages")
+    rows = kept(detail_rows(at(pages, _T[1]))[0], "rows")
+    number = F.substr("ceidg_id", F.lit(2)).cast("bigint")
+    court = number % 5 == 0
+    master = kept(flag_current(rows.withColumn("krs_number", F.when(court, F.lpad(number.cast("string"), 10, "0")))
+                          .withColumn("legal_form", F.when(court, "FUNDACJA").otherwise(F.col("legal_form")))
+                          .withColumn("registry_sources", F.when(court, F.array(F.lit("CEIDG"), F.lit("KRS"))).otherwise(F.col("registry_sources")))), "master")
+    status = lambda s: F.regexp_replace("content", '"status":"[A-Z]+"', f'"status":"{s}"')
+    newer = at(pages.filter("page_key % 4 = 0").withColumn("content", status("ZAWIESZONY")), _T[2])
+    older = at(pages.filter("page_key % 6 = 0").withColumn("content", status("WYKRESLONY")), _T[0])
+    broken = at(spark.range(2).select((-F.col("id") - 1).alias("page_key"), F.when(F.col("id") == 0, "<html>").otherwise("{}").alias("content")), _T[2])
+    again = kept(detail_rows(newer.unionByName(older).unionByName(broken))[0], "again")
+    out = refresh(master, again)
+    return out.select("ceidg_id", "krs_number", "status", "updated_at", "first_seen_at", "legal_form",
+                      F.concat(F.lit("{"), F.array_join("registry_sources", ","), F.lit("}")).alias("registry_sources"), "identity_key", "is_current")
