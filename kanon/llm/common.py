@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kanon.session import CHECKPOINT_CONF, ensure_checkpoint_dir
+
 #: Rows that one call of a row function sees at once; bounds Python memory, not the result.
 SLICE_ROWS = 512
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,26 +22,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, which driver and executors share.
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, which driver and executors share. Only a session on
+    a local master may go without the setting (tests); a cluster without it is an error."""
+    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    return (path or ensure_checkpoint_dir(spark)).rstrip("/")
 
-    Only a session on a local master may go without the setting (tests): there the warehouse folder
-    is used. A cluster without the setting is an error, never a machine-local folder.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+#: Spark removes the shuffle files of a SQL execution at its end; what was written is all that is read later.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back: lineage ends there, so a
-    lost executor costs no recomputation, and every later use sees the same rows."""
+    lost executor costs no recomputation, every later use sees the same rows, and the shuffle files behind
+    the table are freed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,13 +1,13 @@
 """N-gram Jaccard join with a token-group matrix (operator 2).
 
 A document's set holds its distinct word ``size``-grams as 64-bit hashes; equal sets are one node. Similar
-nodes are partitioned into groups of bounded size; the token-group matrix stores each group's tokens.
-A query meets only the groups that hold enough of its tokens, the group's full token union bounds the
-overlap a second time, and only qualifying groups are opened and their members compared exactly.
+nodes are partitioned by leader into groups of bounded size; the token-group matrix stores the tokens of
+each leader's groups. A query meets only groups whose row holds enough of its tokens, the group's full token
+union bounds the overlap a second time, and only qualifying groups are opened, their members compared exactly.
 
 Candidate search is exact. Tokens have one global order (those frequent in a bounded sample last, then by
-value). If two sets reach the threshold ``t``, each one's first ``n - ceil(t n) + L`` tokens hold at least
-``min(L, ceil(t n))`` common ones, so the matrix is built over these prefixes alone. The sample only
+value). If two sets reach the threshold ``t``, each one's first ``n - ceil(t n) + L(n)`` tokens hold at least
+``min(L, ceil(t n))`` common ones (the least over both), so the matrix is built over these prefixes alone. The sample only
 affects the order, never the result.
 
 Only components are wanted, so work on a family of near copies is linear in its size: first every node is
@@ -36,9 +36,11 @@ from kanon.llm.common import map_arrow, written
 from kanon.llm.components import components
 
 SIZE, PERCENT = 4, 85
-COMMON = 3  # L: common prefix tokens that a pair must have
+# L: common prefix tokens that a pair must have. Unlike texts share some short phrases, the more the longer they are.
+COMMON, COMMON_SHARE = 4, 50
 GROUP = 64  # members of a group
 QUERIES = 256  # queries that meet one copy of a group
+PRUNING = 2  # rounds that remove nodes without a possible partner; they save work only
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4096, 8, 20_000
 
 
@@ -64,13 +66,18 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_common(n: int) -> int:
+    """L for a set of ``n``."""
+    return COMMON + n // COMMON_SHARE
+
+
 def prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The first ``n - least_overlap + L`` tokens in the global order."""
+    """The first ``n - least_overlap + least_common`` tokens in the global order."""
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         late = frequent[at] == tokens
         tokens = np.concatenate((tokens[~late], tokens[late]))
-    return tokens[: len(tokens) - least_overlap(len(tokens), percent) + COMMON]
+    return tokens[: len(tokens) - least_overlap(len(tokens), percent) + least_common(len(tokens))]
 
 
 SIGNATURE = StructType([StructField("doc_id", LongType()), StructField("node", LongType()), StructField("n", LongType()), StructField("prefix", ArrayType(LongType()))])
@@ -107,7 +114,7 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
 
 def _need(*n: Column, percent: int) -> Column:
     """Common prefix tokens that sets of these sizes must have."""
-    return F.least(F.lit(COMMON), *(F.ceil(F.lit(percent) * x / 100) for x in n))
+    return F.least(*(F.lit(COMMON) + F.floor(x / COMMON_SHARE) for x in n), *(F.ceil(F.lit(percent) * x / 100) for x in n))
 
 
 VERIFIED = StructType([StructField("a", LongType()), StructField("b", LongType())])
@@ -167,9 +174,11 @@ def _links(docs: DataFrame, sig: DataFrame, classes: DataFrame, size: int, perce
     """Enough links (a, b) between nodes to connect every component."""
     # One row per set, whatever the number of copies: the row of the smallest id speaks for its class.
     one = sig.where("node is not null").join(classes.select("node", "first"), "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    tokens = one.select("node", F.explode("prefix").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    shared = written(tokens.join(counts, "token").distinct().join(classes.select("node", "n"), "node"), "shared")
+    tokens = one.select("node", "n", F.explode("prefix").alias("token"))
+    repeated = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    shared = written(tokens.join(repeated, "token"), "shared")
+    for _ in range(PRUNING):
+        shared = written(_pruned(shared, percent), "shared")
 
     # Leaders: per token the node with the largest share of repeated tokens; per node its most frequent leader.
     central = shared.groupBy("node").agg((F.count("*") / F.first("n")).alias("share"))
@@ -183,37 +192,46 @@ def _links(docs: DataFrame, sig: DataFrame, classes: DataFrame, size: int, perce
     parts = nodes.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     grouped = written(nodes.join(parts, "leader").select("node", "n", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("g")), "groups")
 
-    # Sets of the nodes that share tokens with another node at all.
-    wanted = classes.join(_candidates(shared, percent), "node").select("node", F.col("first").alias("doc_id"))
+    # Sets of the nodes that are left.
+    wanted = classes.join(shared.select("node").distinct(), "node").select("node", F.col("first").alias("doc_id"))
     sets = written(_sets(docs, wanted, size), "sets")
 
     queries = star.select(F.col("leader").alias("g"), "node", F.col("node").alias("comp"))
     members = star.select(F.col("leader").alias("g"), F.col("leader").alias("node"), F.col("leader").alias("comp")).distinct()
     first = written(verify(queries, members, sets, percent), "links")
 
-    # The matrix over tokens where components still meet, and the queries against it.
+    # The matrix over tokens where components still meet: a row per token and leader. Queries that hold enough of
+    # a leader's tokens meet its groups.
     comps = components(first)
-    state = written(grouped.join(comps, "node", "left").select("node", "n", "g", F.coalesce("comp", "node").alias("comp")), "state")
+    state = written(grouped.join(comps, "node", "left").select("node", "n", "leader", "g", F.coalesce("comp", "node").alias("comp")), "state")
     cells = shared.select("token", "node").join(state, "node")
     mixed = cells.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    open_cells = written(cells.join(mixed, "token").select("token", "node", "n", "g", "comp"), "cells")
-    matrix = open_cells.groupBy("token", "g").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.struct("n", "node")).alias("top")
-    )
-    met = open_cells.select("token", "node", "n", "comp").join(matrix, "token").where("(c0 <> comp or c1 <> comp) and top > struct(n, node)")
-    met = met.where(f"{percent} * n0 <= 100 * n and {percent} * n <= 100 * n1")
-    pairs = met.groupBy("node", "comp", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("n0").alias("n0")).where(F.col("c") >= _need(F.col("n"), F.col("n0"), percent=percent))
-    second = verify(pairs.select("g", "node", "comp"), state.select("g", "node", "comp"), sets, percent)
+    open_cells = written(cells.join(mixed, "token").select("token", "node", "n", "leader", "comp"), "cells")
+    ranges = (F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.struct("n", "node")).alias("top"))
+    meets = f"(c0 <> comp or c1 <> comp) and top > struct(n, node) and {percent} * n0 <= 100 * n and {percent} * n <= 100 * n1"
+    matrix = open_cells.groupBy("token", "leader").agg(*ranges)
+    met = open_cells.select("token", "node", "n", "comp").join(matrix, "token").where(meets)
+    pairs = met.groupBy("node", "n", "comp", "leader").agg(F.count("*").alias("c"), F.min("n0").alias("n0")).where(F.col("c") >= _need(F.col("n"), F.col("n0"), percent=percent))
+    groups = state.groupBy("leader", "g").agg(*ranges)
+    opened = pairs.select("node", "n", "comp", "leader").join(groups, "leader").where(meets).select("g", "node", "comp")
+    second = written(verify(opened, state.select("g", "node", "comp"), sets, percent), "links")
     return first.unionByName(second)
 
 
-def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """Nodes with enough repeated prefix tokens to have a partner."""
-    return shared.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _need(F.col("n"), F.floor(F.col("n") * percent / 100), percent=percent)).select("node")
+def _pruned(shared: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, n, token) without the nodes that hold too few repeated tokens to have a partner, and then without
+    the tokens that are left on one node. Nothing that could link is lost; unlike texts, which share a few
+    phrases each, mostly go."""
+    enough = shared.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("_n")).where(
+        F.col("c") >= _need(F.col("_n"), F.floor(F.col("_n") * percent / 100), percent=percent)).select("node")
+    kept = shared.join(enough, "node").select("node", "n", "token")
+    again = kept.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+    return kept.join(again, "token").select("node", "n", "token")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, tokens) of the wanted (node, doc_id): the texts are read again, so only ids were kept in between."""
+    """(node, tokens) of the wanted (node, doc_id): the texts are read again, so only ids were kept in between.
+    A row that the table repeats may give its set twice; that costs work in :func:`verify`, not correctness."""
     schema = StructType([StructField("node", LongType()), StructField("tokens", BinaryType())])
 
     def run(rows: list[tuple]) -> list[tuple]:
@@ -225,7 +243,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 out[node] = t  # another text under the same id is not this node
         return list(out.items())
 
-    return map_arrow(docs.join(wanted, "doc_id").select("node", "text"), run, schema).dropDuplicates(["node"])
+    return map_arrow(docs.join(wanted, "doc_id").select("node", "text"), run, schema)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
