@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 MARK = "▁"
 UNIT = 1_000_000
 BYTE_PENALTY = 10 * UNIT
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 LONG_UNIT = 96  # bytes; longer units are segmented one by one
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
