@@ -9,6 +9,9 @@ base64 and hex candidates are decoded and reported only if the bytes parse as a
                small version INTEGER (PKCS#1, PKCS#8, SEC1) or an algorithm SEQUENCE (public key);
 * ``ssh_key``  the length-prefixed strings of an SSH public key or an ``openssh-key-v1`` private key.
 
+The length that the encoding states says where a base64 key ends, so text that follows it does not matter; its
+lines may be wrapped, indented or joined by an escaped line break (``\\n``).
+
 Defined cases: null text is empty and has no spans; spans are code-point offsets with the end
 exclusive; the same place may be reported under several kinds, once each; every row is scanned by
 itself, so repeated rows give equal results; other columns are not read.
@@ -37,9 +40,13 @@ MIN_SECRET = 6
 
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 # An SSH blob starts with a 4-byte length (AAAA), a DER SEQUENCE with 0x30 (base64 M, hex 30).
-BASE64_BODY = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|b3BlbnNzaC1rZXktdjE|M[A-P])[A-Za-z0-9+/]{28,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+BASE64_START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:AAAA|b3BlbnNzaC1rZXktdjE|M[A-P])[A-Za-z0-9+/]{28,}")
+NEXT_LINE = re.compile(r"[ \t]*(?:(?:\r?\n|(?:\\+r)?\\+n)(?:[ \t]|\\+t)*)+([A-Za-z0-9+/]+)")
 HEX_BODY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com")
+# Strings of a public key by its type, the type included.
+SSH_TYPES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3}
+SSH_PRIVATE = b"openssh-key-v1\0"
+MAX_PRIVATE_KEYS = 8
 
 
 def _b64(s: str, urlsafe: bool = False) -> bytes | None:
@@ -102,20 +109,95 @@ def is_der_key(b: bytes) -> bool:
     return first[0] == 0x30 and b[first[1] : first[1] + 1] == b"\x06" and second[0] == 0x03
 
 
-def is_ssh_key(b: bytes) -> bool:
-    """Length-prefixed strings that fill the bytes and start with a known key type, or the private-key magic
-    followed by cipher and key-derivation names."""
-    private = b.startswith(b"openssh-key-v1\0")
-    at, parts = 15 if private else 0, []
-    while at + 4 <= len(b) and len(parts) < 8:
-        n = int.from_bytes(b[at : at + 4], "big")
-        if at + 4 + n > len(b):
-            return False
-        parts.append(b[at + 4 : at + 4 + n])
+def _read(text: str, m: re.Match[str], size: int) -> tuple[bytes, int] | None:
+    """The first ``size`` bytes of the base64 body that starts at ``m`` and the end of their characters; None if the
+    body has fewer."""
+    need = -(-size * 4 // 3)
+    if need > len(text) - m.start():
+        return None
+    parts = []
+    a, b = m.span()
+    while b - a < need:
+        parts.append(text[a:b])
+        need -= b - a
+        line = NEXT_LINE.match(text, b)
+        if line is None:
+            return None
+        a, b = line.span(1)
+    s = "".join(parts) + text[a : a + need]
+    return base64.b64decode(s + "=" * (-len(s) % 4))[:size], a + need
+
+
+def _strings(text: str, m: re.Match[str], at: int, most: int) -> tuple[list[bytes], int]:
+    """At most ``most`` length-prefixed strings from byte ``at`` of the body, as far as they are whole, and the byte
+    after them."""
+    parts: list[bytes] = []
+    while len(parts) < most:
+        head = _read(text, m, at + 4)
+        n = head and int.from_bytes(head[0][at:], "big")
+        got = None if n is None else _read(text, m, at + 4 + n)
+        if got is None:
+            break
+        parts.append(got[0][at + 4 :])
         at += 4 + n
-        if private and len(parts) == 3:
-            return parts[0].isascii() and parts[1] in (b"none", b"bcrypt")
-    return not private and at == len(b) and len(parts) >= 2 and parts[0] in SSH_TYPES
+    return parts, at
+
+
+def _der_size(text: str, m: re.Match[str]) -> int | None:
+    """Bytes of the DER key at ``m``."""
+    head = _read(text, m, 6)
+    top = head and _tlv(head[0], 0, 1 << 40)
+    got = top and _read(text, m, top[2])
+    return top[2] if got and is_der_key(got[0]) else None
+
+
+def _ssh_size(text: str, m: re.Match[str]) -> int | None:
+    """Bytes of the SSH key at ``m``: strings that start with a known key type, as many as the type has (or two or
+    more that end with the body), or the private-key magic followed by cipher and key-derivation names. A private
+    key that is cut off reaches as far as its lines do."""
+    if not m[0].startswith("AAAA"):
+        head = _read(text, m, len(SSH_PRIVATE))
+        if head is None or head[0] != SSH_PRIVATE:
+            return None
+        names, at = _strings(text, m, len(SSH_PRIVATE), 3)
+        if len(names) < 3 or not names[0].isascii() or names[1] not in (b"none", b"bcrypt"):
+            return None
+        count = _read(text, m, at + 4)
+        n = int.from_bytes(count[0][at:], "big") if count else 0
+        keys, end = _strings(text, m, at + 4, n + 1) if 1 <= n <= MAX_PRIVATE_KEYS else ([], 0)
+        return end if len(keys) == n + 1 else _body_size(text, m)
+    kind, _ = _strings(text, m, 0, 1)
+    if not kind or kind[0] not in SSH_TYPES:
+        return None
+    parts, at = _strings(text, m, 0, SSH_TYPES[kind[0]])
+    whole = len(parts) == SSH_TYPES[kind[0]] or len(parts) >= 2 and _read(text, m, at + 1) is None
+    return at if whole else None
+
+
+def _body_size(text: str, m: re.Match[str]) -> int:
+    """Bytes of all lines of the body that starts at ``m``."""
+    n, line = len(m[0]), NEXT_LINE.match(text, m.end())
+    while line is not None:
+        n, line = n + len(line[1]), NEXT_LINE.match(text, line.end())
+    return n * 3 // 4
+
+
+def base64_keys(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in base64, their padding included."""
+    found = []
+    m = BASE64_START.search(text)
+    while m is not None:
+        at = m.end()
+        kind, size = ("der_key", _der_size(text, m)) if m[0][0] == "M" else ("ssh_key", _ssh_size(text, m))
+        got = size and _read(text, m, size)
+        if got:
+            at = got[1]
+            pad = -size % 3
+            while pad and text[at : at + 1] == "=":
+                at, pad = at + 1, pad - 1
+            found.append((kind, m.start(), at))
+        m = BASE64_START.search(text, at)
+    return found
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -130,12 +212,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m[0])]
-    for m in BASE64_BODY.finditer(text):
-        b = _b64(m[0])
-        if b and is_der_key(b):
-            found.append(("der_key", *m.span()))
-        elif b and is_ssh_key(b):
-            found.append(("ssh_key", *m.span()))
+    found += base64_keys(text)
     if "30" in text:
         found += [("der_key", *m.span()) for m in HEX_BODY.finditer(text) if is_der_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -124,6 +124,29 @@ def test_structures_are_confirmed():
     assert S.scan(base64.b64encode(part(b"not-a-type!") + part(b"\x07" * 32)).decode()) == []
 
 
+def test_keys_end_where_their_encoding_says():
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda s, by: by.join(s[k : k + 64] for k in range(0, len(s), 64))
+    ed = b64(part(b"ssh-ed25519") + part(b"\x07" * 32))
+    rsa = part(b"ssh-rsa") + part(b"\x01\0\x01") + part(b"\0" + b"\x93" * 256)
+    secret = part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(part(b"ssh-ed25519") + part(b"\x07" * 32)) + part(b"\x05" * 140)
+    private = b64(b"openssh-key-v1\0" + secret)
+    for n in range(60, 70):  # every kind of padding, and last lines of one to four characters
+        key = b64(der(0x30, der(2, b"\0") + der(2, b"\x01" * n) + der(2, b"\x01\0\x01")))
+        bare = key.rstrip("=")
+        for body in (key, bare, wrap(key, "\n"), wrap(bare, "\r\n    "), wrap(key, "\\n"), wrap(bare, "\\r\\n"), wrap(key, "\n\t")):
+            for after in ("", "\nplease keep it\nsafe", "\\nplease", "\n  please", " x"):
+                text = "KEY-----\\n" + body + after
+                assert S.scan(text) == [("der_key", 10, 10 + len(body))], text
+    for kind, body in (("ssh_key", ed), ("ssh_key", b64(rsa)), ("ssh_key", private), ("ssh_key", wrap(private, "\n  ")), ("ssh_key", wrap(private, "\\n"))):
+        for after in ("", "\nplease send it", "\n" + "word" * 9 + "\nmore", "\\nplease", " me@host"):
+            assert S.scan("key " + body + after) == [(kind, 4, 4 + len(body))], body + after
+    assert [s[0] for s in S.scan(f"{ed}\n{ed}\n" + "MA" + "x" * 40 + f"\n{ed}")] == ["ssh_key"] * 3
+    assert S.redact(f"ssh-ed25519 {ed}\nplease") == "ssh-ed25519 [SECRET]\nplease"
+    assert S.scan("MA" + "word" * 20 + "\n" + "AAAA" + "word" * 20) == []
+
+
 def test_redaction_takes_effect(docs):
     out = S.redact_documents(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
