@@ -63,10 +63,8 @@ def line_fails(line: str, words: list[bytes], r: LineRules) -> str | None:
     if n >= r.min_shout_words:
         if line.count("!!") > r.max_bang_share * n:
             return "punctuation"
-        if line[:40].upper() == line[:40]:
-            upper = sum(map(str.isupper, line))
-            if upper > r.max_shout_share * (upper + sum(map(str.islower, line))) and upper > 0:
-                return "punctuation"
+        if shouts(line, r.max_shout_share):
+            return "punctuation"
     if n >= r.min_repeat_words and (len(set(words)) < r.min_distinct_share * n or sum(map(eq, words, words[1:])) > r.max_stutter_share * n):
         return "boilerplate"
     if FURNITURE.search(line):
@@ -75,6 +73,20 @@ def line_fails(line: str, words: list[bytes], r: LineRules) -> str | None:
 
 
 _PLAIN = frozenset(SYMBOLS.encode())
+_UPPER, _LOWER = (bytes(range(a, a + 26)) for a in b"Aa")
+
+
+def shouts(line: str, share: float) -> bool:
+    """More than ``share`` of the cased letters of the whole line are capitals."""
+    raw = line.encode("utf-8", "replace")
+    lower = len(raw) - len(raw.translate(None, _LOWER))
+    if len(line) - lower <= share * len(line):  # were all other characters capitals
+        return False
+    if len(raw) == len(line):
+        upper = len(raw) - len(raw.translate(None, _UPPER))
+    else:
+        upper, lower = sum(map(str.isupper, line)), sum(map(str.islower, line))
+    return upper > 0 and upper > share * (upper + lower)
 
 
 def repeated_window_words(words: list[bytes], size: int = 5) -> int:

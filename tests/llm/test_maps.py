@@ -69,6 +69,20 @@ def test_each_line_rule(line, rule):
     assert R.line_fails(line, line.encode().split(), R.LineRules()) == rule
 
 
+@pytest.mark.parametrize("line", ["He said: BUY NOW AND SAVE MORE MONEY THAN EVER BEFORE IN YOUR LIFE", "iPHONES FOR EVERYONE AT HALF THE PRICE TODAY", "é NUR HEUTE GÜNSTIG ÜBERALL KAUFEN"])
+def test_capitals_count_over_the_whole_line(line):
+    assert R.line_fails(line, line.encode().split(), R.LineRules()) == "punctuation"
+
+
+def test_capitals_share_by_definition():
+    rng = random.Random(7)
+    for _ in range(3000):
+        line = "".join(rng.choice(rng.choice(["ABCDEFG", "abc", "ÀÉǅΣ𝐀", "éßσªʰ", " 1.,中"])) for _ in range(rng.randrange(1, 60)))
+        for share in (0.0, 0.5, 0.8, 1.0):
+            upper, lower = sum(c.isupper() for c in line), sum(c.islower() for c in line)
+            assert R.shouts(line, share) == (upper > 0 and upper > share * (upper + lower)), line
+
+
 def test_cleaning_keeps_columns_and_removes_lines(docs):
     out = R.clean_documents(docs)
     assert out.columns == docs.columns
