@@ -1,14 +1,15 @@
 """License scans (operator 1): sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every whole text, and every block of neighbouring licence-like lines, is compared with
-short licence notices by the cosine of TF-IDF vectors; the best one at ``header_min`` or more is the document's
-own licence. A document whose whole text reaches ``file_min`` is a licence file and speaks for its directory:
+Word windows of half to twice the length of each short licence notice slide over every whole text and are compared
+with it by the cosine of TF-IDF vectors; line breaks do not matter. The best one at ``header_min`` or more is the
+document's own licence. A document whose whole text reaches ``file_min`` is a licence file and speaks for its directory:
 documents without an own licence inherit from the nearest ancestor directory (their own first) that has a
 licence file.
 
 Document frequencies of the template words are counted over all documents; a word outside the templates
-weighs like a word found in one document. The bound that skips lines is exact: a cosine of ``header_min``
-needs one of the template's heaviest words, those without which the rest of its vector is too short.
+weighs like a word found in one document. The bounds that skip windows and templates are exact: a cosine of
+``header_min`` needs one of the template's heaviest words, those without which the rest of its vector is too short,
+and words of the text that make up enough of the template's vector.
 
 Defined cases: null text has no licence but inherits; null path parts become ``_``; among equal scores
 the template first in order wins, among licence files of one directory the best score, then the smallest
@@ -56,6 +57,9 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0."],
 }
 
+# Lengths of the windows, in words of the template.
+WINDOW_SHARES = (0.5, 0.75, 1, 1.25, 1.5, 2)
+
 WORD = re.compile(r"[a-z0-9][a-z0-9.]*[a-z0-9]|[a-z0-9]")
 
 
@@ -86,7 +90,10 @@ class Matcher:
     def __init__(self, df: dict[str, int], n: int, least: float = HEADER_MIN):
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in VOCABULARY}
         self.other = math.log((n + 1) / 2) + 1
+        self.least = least
         self.templates: list[tuple[str, dict[str, float]]] = []
+        self.own_needed: list[set[str]] = []
+        self.lengths: list[list[int]] = []
         self.needed: set[str] = set()
         for name, texts in TEMPLATES.items():
             for t in texts:
@@ -95,11 +102,16 @@ class Matcher:
                 v = {w: x / size for w, x in v.items()}
                 self.templates.append((name, v))
                 rest = 1.0
+                needed: set[str] = set()
                 for w, x in sorted(v.items(), key=lambda kv: (-kv[1], kv[0])):
                     if rest < least * least - 1e-9:
                         break
-                    self.needed.add(w)
+                    needed.add(w)
                     rest -= x * x
+                self.own_needed.append(needed)
+                self.needed |= needed
+                n_words = len(words_of(t))
+                self.lengths.append(sorted({max(1, round(n_words * k)) for k in WINDOW_SHARES}))
         self.quick = re.compile("|".join(map(re.escape, sorted(self.needed, key=lambda w: (-len(w), w)))))
 
     def best(self, words: list[str]) -> tuple[float, str | None]:
@@ -116,24 +128,57 @@ class Matcher:
                 top = (s, name)
         return top
 
+    def slide(self, words: list[str], k: int) -> float:
+        """Highest cosine of template ``k`` over the windows of ``words``."""
+        t, top = self.templates[k][1], 0.0
+        places = [i for i, w in enumerate(words) if w in self.own_needed[k]]
+        for length in self.lengths[k]:
+            end = 0
+            for n, p in enumerate(places):
+                if n and p - places[n - 1] < 2 * length - 1:  # covered by the stretch of an earlier place
+                    continue
+                last = n
+                while last + 1 < len(places) and places[last + 1] - places[last] < 2 * length - 1:
+                    last += 1
+                start, end = max(0, p - length + 1), min(len(words), places[last] + length)
+                top = max(top, self._stretch(words[start:end], length, t))
+        return top
+
+    def _stretch(self, words: list[str], length: int, t: dict[str, float]) -> float:
+        """Highest cosine over the windows of a stretch of words, which enter and leave one by one."""
+        count: dict[str, int] = {}
+        dot = size = top = 0.0
+        for i, w in enumerate(words):
+            if i >= length:
+                out = words[i - length]
+                c = count[out]
+                count[out] = c - 1
+                x = self.idf.get(out, self.other)
+                before, after = (1 + math.log(c)) * x, (1 + math.log(c - 1)) * x if c > 1 else 0.0
+                size += after * after - before * before
+                dot += (after - before) * t.get(out, 0.0)
+            c = count.get(w, 0)
+            count[w] = c + 1
+            x = self.idf.get(w, self.other)
+            before, after = (1 + math.log(c)) * x if c else 0.0, (1 + math.log(c + 1)) * x
+            size += after * after - before * before
+            dot += (after - before) * t.get(w, 0.0)
+            if (i >= length - 1 or i == len(words) - 1) and dot > 0 and dot * dot > top * top * size:
+                top = dot / math.sqrt(size)
+        return min(1.0, round(top, 9))
+
     def scan(self, text: str | None, header_min: float, file_min: float) -> tuple[str | None, float, str | None, float]:
         """(own licence, its score, licence as a file, its score) of a whole text."""
         low = (text or "").lower()
         if not self.quick.search(low):
             return None, 0.0, None, 0.0
+        words = WORD.findall(low)
+        held = set(words)
         own: tuple[float, str | None] = (0.0, None)
-        block: list[str] = []
-        every: list[str] = []
-        for line in [*low.split("\n"), ""]:
-            words = WORD.findall(line)
-            every += words
-            own = max(own, self.best(words), key=lambda x: x[0])
-            if words and sum(w in VOCABULARY for w in words) * 2 >= len(words):
-                block += words
-            else:
-                own = max(own, self.best(block), key=lambda x: x[0]) if block else own
-                block = []
-        whole = self.best(every)
+        for k, (name, t) in enumerate(self.templates):
+            if sum(t[w] * t[w] for w in held.intersection(t)) >= self.least * self.least - 1e-9:
+                own = max(own, (self.slide(words, k), name), key=lambda x: x[0])
+        whole = self.best(words)
         mine = own if own[0] >= header_min else (0.0, None)
         return mine[1], mine[0], *((whole[1], whole[0]) if whole[0] >= file_min else (None, 0.0))
 

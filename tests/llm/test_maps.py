@@ -362,3 +362,32 @@ def test_skipping_bound_is_exact():
         best = plain.best(words)
         if best[0] >= L.HEADER_MIN:
             assert m.best(words) == best
+
+
+def test_line_layout_does_not_decide():
+    m = L.Matcher({"the": 900, "of": 950, "to": 800}, 1000)
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["of", "to", "alpha", "beta", "gamma", "delta", "the"]) for _ in range(n))
+    assert m.scan("one sentence of prose. Released under the MIT License.", L.HEADER_MIN, L.FILE_MIN)[:2] == ("MIT", 1.0)
+    assert m.scan("Copyright 2020 Some One. Released under the MIT License. Contact us at the office.", L.HEADER_MIN, L.FILE_MIN)[0] == "MIT"
+    for name, texts in L.TEMPLATES.items():
+        for t in texts:
+            words = t.split()
+            for by in (" ", "\n", "\r\n * "):
+                got = m.scan(prose(40) + by + by.join(words) + by + prose(40), L.HEADER_MIN, L.FILE_MIN)
+                assert got[:2] == (name, 1.0), (t, got)
+
+
+def test_windows_by_definition():
+    m = L.Matcher({"the": 900, "of": 950, "to": 800}, 1000)
+    rng = random.Random(5)
+    for _ in range(60):
+        k = rng.randrange(len(m.templates))
+        words = rng.choices(sorted(m.templates[k][1]) + ["alpha", "beta"], k=rng.randrange(1, 90))
+        want = 0.0
+        for n in m.lengths[k]:
+            for i in range(max(1, len(words) - n + 1)):
+                v = {w: (1 + np.log(c)) * m.idf.get(w, m.other) for w, c in Counter(words[i : i + n]).items()}
+                want = max(want, sum(x * m.templates[k][1].get(w, 0) for w, x in v.items()) / np.sqrt(sum(x * x for x in v.values())))
+        if want >= L.HEADER_MIN:
+            assert abs(m.slide(words, k) - want) < 1e-8
