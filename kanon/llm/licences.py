@@ -2,7 +2,8 @@
 
 Word windows of half to twice the length of each short licence notice slide over every whole text and are compared
 with it by the cosine of TF-IDF vectors; line breaks do not matter. The best one at ``header_min`` or more is the
-document's own licence. A document whose whole text reaches ``file_min`` is a licence file and speaks for its directory:
+document's own licence. A document whose whole text reaches ``file_min`` against a notice or the text of a whole
+licence (``licence_texts``) is a licence file and speaks for itself and its directory:
 documents without an own licence inherit from the nearest ancestor directory (their own first) that has a
 licence file.
 
@@ -11,6 +12,11 @@ weighs like a word found in one document. The bounds that skip windows and templ
 ``header_min`` needs one of the template's heaviest words, those without which the rest of its vector is too short,
 and words of the text that make up enough of the template's vector.
 
+Neighbouring licences share most words, so words that tell them apart decide: a window counts for a notice only if it
+holds the notice's family name and version and no variant word (affero, lesser, sharealike, nd, clause ...) that the
+notice lacks. A GNU or Creative Commons notice without a version has no licence. Without a clause on endorsement, the
+BSD conditions are the two-clause licence.
+
 Defined cases: null text has no licence but inherits; null path parts become ``_``; among equal scores
 the template first in order wins, among licence files of one directory the best score, then the smallest
 id; repeated rows are kept; an empty table gives no rows; other columns are not read.
@@ -21,6 +27,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +39,22 @@ from kanon.llm.common import map_arrow, written
 HEADER_MIN = 0.75
 FILE_MIN = 0.6
 
+def _gnu(kind: str, what: str, version: str) -> list[str]:
+    letter = {"Affero ": "A", "": ""}.get(kind, "L")
+    return [
+        f"This work is licensed under the GNU {kind}General Public License, version {version}.",
+        f"Licensed under the GNU {letter}GPL v{version}.",
+        f"Licensed under the GNU {letter}GPLv{version}.",
+        f"SPDX-License-Identifier: {letter}GPL-{version if '.' in version else version + '.0'}-or-later",
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+    ]
+
+
+def _creative_commons(version: str, port: str) -> dict[str, list[str]]:
+    kinds = {"": "", "-SA": "-ShareAlike", "-ND": "-NoDerivatives", "-NC": "-NonCommercial", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+    return {f"CC-BY{k}-{version}": [f"Licensed under CC BY{k} {version}.", f"This work is licensed under a Creative Commons Attribution{name} {version} {port} License."] for k, name in kinds.items()}
+
+
 # Short notices of well-known licences, by SPDX id.
 TEMPLATES = {
     "MIT": [
@@ -42,18 +66,25 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "GPL-3.0": _gnu("", "program", "3"),
+    "GPL-2.0": _gnu("", "program", "2"),
+    "GPL-1.0": _gnu("", "program", "1"),
+    "AGPL-3.0": _gnu("Affero ", "program", "3"),
+    "LGPL-2.1": _gnu("Lesser ", "library", "2.1"),
+    "LGPL-3.0": _gnu("Lesser ", "library", "3"),
+    "LGPL-2.0": _gnu("Library ", "library", "2"),
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"],
+    **_creative_commons("4.0", "International"), **_creative_commons("3.0", "Unported"), **_creative_commons("2.5", "Generic"), **_creative_commons("2.0", "Generic"),
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0."],
 }
 
@@ -67,7 +98,33 @@ def words_of(line: str) -> list[str]:
     return WORD.findall(line.lower())
 
 
-VOCABULARY = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words_of(t))
+# Whole licence files, by SPDX id.
+TEXTS = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+VOCABULARY = frozenset(w for t in [*(t for texts in TEMPLATES.values() for t in texts), *TEXTS.values()] for w in words_of(t))
+
+# Words that name a family (a notice's must be there) and words that name a variant (no others may be).
+FAMILIES = {"mit": "mit", "apache": "apache", "bsd": "bsd", "isc": "isc", "mozilla": "mozilla", "mpl": "mozilla", "gnu": "gnu", "gpl": "gnu", "agpl": "gnu", "lgpl": "gnu", "cc": "cc", "creative": "cc", "cc0": "cc0"}
+VARIANTS = {
+    "affero": "affero", "agpl": "affero", "lesser": "lesser", "lgpl": "lesser", "sharealike": "sa", "alike": "sa", "sa": "sa", "noncommercial": "nc", "commercial": "nc",
+    "nc": "nc", "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "nd": "nd", "clause": "clause",
+}
+VERSION = re.compile(r"([al]?gpl|mpl)?v?\.?([0-9]+(?:\.[0-9]+)*)")
+
+
+@lru_cache(1 << 16)
+def _decider(word: str) -> tuple[str, str, str]:
+    """(family, variant, version) that a word names, "" for none."""
+    m = VERSION.fullmatch(word)
+    name = (m[1] or "") if m else word
+    return FAMILIES.get(name, ""), VARIANTS.get(name, ""), re.sub(r"(\.0)+$", "", m[2]) if m else ""
+
+
+def deciders(words: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Families and versions, and variants, that the words name."""
+    found = [_decider(w) for w in words]
+    library = {"library"} if any(a == "library" and b == "general" for a, b in zip(words, words[1:])) else set()
+    return frozenset({f for f, _, _ in found} | {v for _, _, v in found}) - {""}, frozenset({k for _, k, _ in found} | library) - {""}
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
@@ -91,16 +148,16 @@ class Matcher:
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in VOCABULARY}
         self.other = math.log((n + 1) / 2) + 1
         self.least = least
+        self.decide: list[tuple[frozenset[str], frozenset[str]]] = []
         self.templates: list[tuple[str, dict[str, float]]] = []
         self.own_needed: list[set[str]] = []
         self.lengths: list[list[int]] = []
         self.needed: set[str] = set()
         for name, texts in TEMPLATES.items():
             for t in texts:
-                v = {w: (1 + math.log(c)) * self.idf[w] for w, c in Counter(words_of(t)).items()}
-                size = math.sqrt(sum(x * x for x in v.values()))
-                v = {w: x / size for w, x in v.items()}
+                v = self._vector(t)
                 self.templates.append((name, v))
+                self.decide.append(deciders(words_of(t)))
                 rest = 1.0
                 needed: set[str] = set()
                 for w, x in sorted(v.items(), key=lambda kv: (-kv[1], kv[0])):
@@ -112,7 +169,17 @@ class Matcher:
                 self.needed |= needed
                 n_words = len(words_of(t))
                 self.lengths.append(sorted({max(1, round(n_words * k)) for k in WINDOW_SHARES}))
-        self.quick = re.compile("|".join(map(re.escape, sorted(self.needed, key=lambda w: (-len(w), w)))))
+        self.files = [(name, self._vector(t)) for name, t in TEXTS.items()]
+
+    def _vector(self, text: str) -> dict[str, float]:
+        v = {w: (1 + math.log(c)) * self.idf[w] for w, c in Counter(words_of(text)).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    def fits(self, k: int, words: list[str]) -> bool:
+        """The words name the family, the version and the variant of template ``k``."""
+        have, need = deciders(words), self.decide[k]
+        return have[0] >= need[0] and have[1] == need[1]
 
     def best(self, words: list[str]) -> tuple[float, str | None]:
         """Highest cosine over the templates and its name."""
@@ -121,16 +188,31 @@ class Matcher:
         v = {w: (1 + math.log(c)) * self.idf.get(w, self.other) for w, c in Counter(words).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         top: tuple[float, str | None] = (0.0, None)
-        for name, t in self.templates:
-            small, large = (v, t) if len(v) < len(t) else (t, v)
-            s = sum(x * large[w] for w, x in small.items() if w in large) / size
-            if s > top[0] + 1e-12:
+        for k, (name, t) in enumerate(self.templates):
+            s = _dot(v, t) / size
+            if s > top[0] + 1e-12 and self.fits(k, words):
                 top = (s, name)
         return top
 
+    def best_file(self, words: list[str], held: frozenset[str], file_min: float) -> tuple[float, str | None]:
+        """Highest cosine at ``file_min`` or more of a whole text over the whole licences, and its name."""
+        could = [(name, t) for name, t in self.files if _mass(t, held) >= file_min * file_min - 1e-9]
+        if not could:
+            return 0.0, None
+        v = {w: (1 + math.log(c)) * self.idf.get(w, self.other) for w, c in Counter(words).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        s, name = max(((_dot(v, t) / size, name) for name, t in could), key=lambda x: x[0])
+        if s < file_min:
+            return 0.0, None
+        if name == "GPL-3.0" and "affero" in words[:12]:  # the same text but for the title and one section
+            name = "AGPL-3.0"
+        if name.startswith("BSD-"):
+            name = _bsd(held)
+        return s, name
+
     def slide(self, words: list[str], k: int) -> float:
         """Highest cosine of template ``k`` over the windows of ``words``."""
-        t, top = self.templates[k][1], 0.0
+        top = 0.0
         places = [i for i, w in enumerate(words) if w in self.own_needed[k]]
         for length in self.lengths[k]:
             end = 0
@@ -141,12 +223,14 @@ class Matcher:
                 while last + 1 < len(places) and places[last + 1] - places[last] < 2 * length - 1:
                     last += 1
                 start, end = max(0, p - length + 1), min(len(words), places[last] + length)
-                top = max(top, self._stretch(words[start:end], length, t))
+                top = max(top, self._stretch(words[start:end], length, k))
         return top
 
-    def _stretch(self, words: list[str], length: int, t: dict[str, float]) -> float:
-        """Highest cosine over the windows of a stretch of words, which enter and leave one by one."""
+    def _stretch(self, words: list[str], length: int, k: int) -> float:
+        """Highest cosine over the windows of a stretch of words, which enter and leave one by one; 0 if none is
+        enough and fits."""
         count: dict[str, int] = {}
+        t, floor = self.templates[k][1], self.least * self.least - 1e-9
         dot = size = top = 0.0
         for i, w in enumerate(words):
             if i >= length:
@@ -163,30 +247,54 @@ class Matcher:
             before, after = (1 + math.log(c)) * x if c else 0.0, (1 + math.log(c + 1)) * x
             size += after * after - before * before
             dot += (after - before) * t.get(w, 0.0)
-            if (i >= length - 1 or i == len(words) - 1) and dot > 0 and dot * dot > top * top * size:
+            if (i >= length - 1 or i == len(words) - 1) and dot > 0 and dot * dot > max(floor, top * top) * size and self.fits(k, words[max(0, i - length + 1) : i + 1]):
                 top = dot / math.sqrt(size)
         return min(1.0, round(top, 9))
 
     def scan(self, text: str | None, header_min: float, file_min: float) -> tuple[str | None, float, str | None, float]:
         """(own licence, its score, licence as a file, its score) of a whole text."""
-        low = (text or "").lower()
-        if not self.quick.search(low):
-            return None, 0.0, None, 0.0
-        words = WORD.findall(low)
-        held = set(words)
+        words = words_of(text or "")
+        held = VOCABULARY.intersection(words)
         own: tuple[float, str | None] = (0.0, None)
+        floor = self.least * self.least - 1e-9
         for k, (name, t) in enumerate(self.templates):
-            if sum(t[w] * t[w] for w in held.intersection(t)) >= self.least * self.least - 1e-9:
+            if _mass(t, held) >= floor:
                 own = max(own, (self.slide(words, k), name), key=lambda x: x[0])
-        whole = self.best(words)
-        mine = own if own[0] >= header_min else (0.0, None)
-        return mine[1], mine[0], *((whole[1], whole[0]) if whole[0] >= file_min else (None, 0.0))
+        whole = self.best(words) if own[0] else (0.0, None)
+        file = self.best_file(words, held, file_min)
+        if file[0] > whole[0]:  # a whole licence speaks for itself
+            whole = own = file
+        mine = own if own[0] >= min(header_min, file_min if own is file else header_min) else (0.0, None)
+        named = lambda x: _bsd(held) if x[1] == "BSD-3-Clause" and not _three(words) else x[1]
+        return named(mine), mine[0], *((named(whole), whole[0]) if whole[0] >= file_min else (None, 0.0))
+
+
+def _dot(a: dict[str, float], b: dict[str, float]) -> float:
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    return sum(x * large[w] for w, x in small.items() if w in large)
+
+
+def _mass(t: dict[str, float], held: frozenset[str]) -> float:
+    """Squared length of the part of a template that the held words make up: no window has a larger squared cosine."""
+    return sum(t[w] * t[w] for w in held.intersection(t))
+
+
+def _bsd(held: frozenset[str]) -> str:
+    """BSD licence of a text that has the conditions: the third clause forbids endorsement."""
+    return "BSD-2-Clause" if "reproduce" in held and "endorse" not in held else "BSD-3-Clause"
+
+
+def _three(words: list[str]) -> bool:
+    return any(a == "3" and b == "clause" for a, b in zip(words, words[1:]))
 
 
 def document_path() -> Column:
-    """Directory of a document where the table has no path: source / language / block of 64 ids."""
+    """Directory of a document where the table has no path: source / language / block of 64 ids; every eighth document
+    lies in its language's directory and every 64th in its source's, so ancestors hold files."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-    return F.concat_ws("/", part("source"), part("lang"), F.coalesce(F.floor(F.col("doc_id") / 64).cast("string"), F.lit("_")))
+    i = F.col("doc_id")
+    block = F.coalesce(F.floor(i / 64).cast("string"), F.lit("_"))
+    return F.concat_ws("/", part("source"), F.when(i.isNull() | (F.pmod(i, F.lit(64)) != 0), part("lang")), F.when(i.isNull() | (F.pmod(i, F.lit(8)) != 0), block))
 
 
 SCHEMA = StructType(

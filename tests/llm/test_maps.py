@@ -386,8 +386,40 @@ def test_windows_by_definition():
         words = rng.choices(sorted(m.templates[k][1]) + ["alpha", "beta"], k=rng.randrange(1, 90))
         want = 0.0
         for n in m.lengths[k]:
-            for i in range(max(1, len(words) - n + 1)):
+            for i in (i for i in range(max(1, len(words) - n + 1)) if m.fits(k, words[i : i + n])):
                 v = {w: (1 + np.log(c)) * m.idf.get(w, m.other) for w, c in Counter(words[i : i + n]).items()}
                 want = max(want, sum(x * m.templates[k][1].get(w, 0) for w, x in v.items()) / np.sqrt(sum(x * x for x in v.values())))
         if want >= L.HEADER_MIN:
             assert abs(m.slide(words, k) - want) < 1e-8
+
+
+@pytest.mark.parametrize(
+    "notice, licence",
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under the GNU GPLv2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("Licensed under the GNU AGPL v3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY 3.0.", "CC-BY-3.0"), ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("Released under the Elder License.", None), ("Licensed under the Elder License, Version 2.0.", None),
+    ],
+)
+def test_words_that_tell_licences_apart_decide(notice, licence):
+    m = L.Matcher({"the": 900, "of": 950, "to": 800}, 1000)
+    for text in (notice, f"alpha beta gamma of the delta. {notice} Epsilon zeta to the eta."):
+        assert m.scan(text, L.HEADER_MIN, L.FILE_MIN)[0] == licence
+
+
+def test_whole_licence_files():
+    m = L.Matcher({"the": 900, "of": 950, "to": 800, "and": 900, "or": 700}, 1000)
+    for name, text in L.TEXTS.items():
+        got = m.scan("Copyright (c) 2020 Some One\n" + text, L.HEADER_MIN, L.FILE_MIN)
+        assert (got[0], got[2]) == (name, name) and got[3] > 0.9, (name, got)
+    affero = L.TEXTS["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1)
+    assert m.scan(affero, L.HEADER_MIN, L.FILE_MIN)[2] == "AGPL-3.0"
+
+
+def test_documents_without_a_path_lie_at_several_depths(docs):
+    got = {r.doc_id: r.directory.count("/") for r in docs.where("doc_id >= 0").select("doc_id", L.document_path().alias("directory")).collect()}
+    assert {got[0], got[24], got[3]} == {0, 1, 2}
