@@ -276,21 +276,45 @@ def name_key(c) -> Column:
     return F.lower(F.regexp_replace(fold_accents(c, True), r"[^\p{L}\p{N}]+", ""))
 
 
+def name_blocks(c) -> Column:
+    """Second blocking keys of a name: the folded name, its first and last five characters, its words and its
+    neighbouring words."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(fold_accents(c, True), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    key, n = name_key(c), F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.concat_ws(" ", F.lit("p:"), x, y))
+    ends = F.array(F.concat(F.lit("n:"), key), F.concat(F.lit("s:"), F.substring(key, 1, 5)), F.concat(F.lit("e:"), F.substring(key, -5, 5)))
+    return F.array_distinct(F.concat(ends, F.transform(words, lambda w: F.concat(F.lit("w:"), w)), pairs))
+
+
 def name_candidates(a: DataFrame, b: DataFrame, a_name: str, b_name: str, block_a: Column, block_b: Column,
-                    max_distance: int = 8) -> DataFrame:
-    """Audit-only name pairs: equal blocking key, then ``levenshtein(folded) <= max_distance``.
+                    max_distance: int = 8, max_names: int = 200) -> DataFrame:
+    """Audit-only name pairs: equal blocking key, then ``levenshtein(folded) <= max_distance``; each pair once.
 
     The blocking key is the caller's choice and must be selective (an identifier fragment, a
-    postal code, a core-name key): pairs are formed only inside a block, and a blank block is no
-    block (its rows have no candidates). Both sides are first reduced to distinct (block, name),
-    so a name repeated on many rows costs one row."""
+    postal code, a core-name key). A row with a blank block is paired with the rows of the other side, blank or
+    not, that share one of its ``name_blocks`` held by at most ``max_names`` names of each side; an equal folded name
+    always counts. Both sides are first reduced to distinct (block, name), so a name repeated on many rows costs one
+    row."""
     def prep(df, name, blk, tag):
-        return df.select(blk.alias("_blk"), name_key(F.col(name)).alias(f"{tag}_key"),
-                         F.col(name).alias(f"{tag}_name")).filter(blank_null("_blk").isNotNull()).distinct()
-
-    j = prep(a, a_name, block_a, "a").join(prep(b, b_name, block_b, "b"), "_blk")
+        return df.select(F.when(blank_null(blk).isNotNull(), blk).alias("_blk"), name_key(F.col(name)).alias(f"{tag}_key"),
+                         F.col(name).alias(f"{tag}_name")).filter(F.col(f"{tag}_key").isNotNull()).distinct()
+
+    def blocks(df, tag):
+        k = df.filter(F.col(f"{tag}_key") != "").select(F.col("_blk").isNull().alias(f"{tag}_blank"), f"{tag}_key", f"{tag}_name").distinct()
+        k = k.select("*", F.explode(name_blocks(F.col(f"{tag}_name"))).alias("_k"))
+        often = k.filter(~F.col("_k").startswith("n:")).groupBy("_k").agg(F.countDistinct(f"{tag}_name").alias("n"))
+        return k, often.filter(F.col("n") > max_names).select("_k")
+
+    pa, pb = prep(a, a_name, block_a, "a"), prep(b, b_name, block_b, "b")
+    (ka, often_a), (kb, often_b) = blocks(pa, "a"), blocks(pb, "b")
+    often = often_a.unionByName(often_b).distinct()
+    ka, kb = ka.join(often, "_k", "left_anti"), kb.join(often, "_k", "left_anti")
+    names = ["a_key", "a_name", "b_key", "b_name"]
+    pairs = (pa.join(pb, "_blk").select(names)
+             .unionByName(ka.filter("a_blank").join(kb, "_k").select(names))
+             .unionByName(ka.filter("not a_blank").join(kb.filter("b_blank"), "_k").select(names)))
     d = F.levenshtein(F.col("a_key"), F.col("b_key"))
-    return j.select("a_name", "b_name", d.alias("distance")).filter(F.col("distance") <= max_distance)
+    return pairs.select("a_name", "b_name", d.alias("distance")).filter(F.col("distance") <= max_distance).distinct()
 
 
 def enrichment_worklist(df: DataFrame) -> DataFrame:

@@ -119,3 +119,18 @@ def test_rate_audit_matches_brute_force(spark):
         n5 = sum(1 for t, _ in same if (ts - t).total_seconds() < 3000)
         n60 = sum(1 for t, _ in same if (ts - t).total_seconds() < 36000)
         assert got[eid] == (n5, n60)
+
+
+def test_names_without_a_block_have_candidates(spark):
+    a = ["Zakład Krawiecki Nowak", "Piekarnia Złoty Kłos", "Kowalski", "Firma 12", "!!", None] + [f"Sklep {c}{d}lwia" for c in "abcdefghijklmnop" for d in "abcdefghijklmnop"]
+    b = ["ZAKLAD KRAWIECKI NOWAK", "Piekarnia Zloty Klos 7", "Kowalsky", "Firma 12", "Firma 13", "Firma", "??", None]
+    df = lambda names: spark.createDataFrame([(n,) for n in names * 2], "name string")
+    blk = F.regexp_extract("name", "([0-9]+)$", 1)
+    got = rows(MG.name_candidates(df(a), df(b), "name", "name", blk, blk))
+    near = {(x, y): d for x, y, d in got}
+    assert len(got) == len(near)
+    assert near == {("Zakład Krawiecki Nowak", "ZAKLAD KRAWIECKI NOWAK"): 0, ("Piekarnia Złoty Kłos", "Piekarnia Zloty Klos 7"): 1,
+                    ("Kowalski", "Kowalsky"): 1, ("Firma 12", "Firma 12"): 0, ("Firma 12", "Firma"): 2}
+    common = [f"Sklep {c}" for c in "abcdefghijklmnop"]
+    got = rows(MG.name_candidates(df(common), df(common), "name", "name", blk, blk, max_names=3))
+    assert sorted(got) == [(n, n, 0) for n in common]
