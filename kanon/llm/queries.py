@@ -171,3 +171,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kanon.llm.suffix_dedup import repeated_spans
 
     return repeated_spans(load(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kanon.llm.spelling_variants import misspelled, variants, word_counts
+
+    return variants(word_counts(load(spark, sf_dir, "documents"), misspell=misspelled))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kanon.llm.periodic_runs import periodic_runs, replayed, run_digests
+
+    return run_digests(periodic_runs(load(spark, sf_dir, "documents"), replay=replayed))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kanon.llm.rp_forest import nearest
+
+    return nearest(load(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
