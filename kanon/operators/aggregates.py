@@ -117,14 +117,3 @@ def running_sums(df: DataFrame, key: str, ts: str, tie: str, values: dict[str, C
 def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: Column, out: str) -> DataFrame:
     """:func:`running_sums` of one value."""
     return running_sums(df, key, ts, tie, {out: value})
-
-
-def running_last(df: DataFrame, key: str, ts: str, tie: str, col: str) -> DataFrame:
-    """Fill NULLs of ``col`` with the last non-NULL earlier value per ``key``."""
-    x = df.withColumn("_bkt", bucket(ts))
-    own = Window.partitionBy(key, "_bkt").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_fill", F.last(F.col(col), ignorenulls=True).over(own))
-    per = x.groupBy(key, "_bkt").agg(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(ts, tie))).alias("_last"))
-    carried = exclusive_scan(per, key, "_bkt", {"_last": "last"})
-    return (x.join(carried, [key, "_bkt"]).withColumn(col, F.coalesce("_fill", "_off__last"))
-            .select(*df.columns))

@@ -8,10 +8,10 @@ is not a plain cumulative sum. Exact and skew-safe plan:
 2. every request whose running cost stays within the grant is accepted — exact,
    since no earlier request can have been rejected;
 3. after a user's first shortfall the balance is below one request's cost, i.e.
-   below that request's cost; later requests costing more than that balance are rejected
-   outright. The rest (the "tail") is cut into chunks of at most ``CHUNK_ROWS`` requests of a user, by rank; each
-   chunk computes, vectorised, its transition table ``start balance → end
-   balance`` over ``0..shortfall balance`` (< one request's cost); the tables (one per chunk) are
+   below that request's cost. From there on the requests (the "tail") are cut into chunks of at most ``CHUNK_ROWS``
+   requests of a user, by rank; each chunk computes, vectorised, its transition table ``start balance → end
+   balance`` over ``0..shortfall balance`` (< one request's cost; a request that costs more than that balance is
+   rejected whatever came before and leaves the table as it is); the tables (one per chunk) are
    composed in chunk order to give every chunk its exact start balance; a last
    pass replays each chunk from that balance. Chunks are bounded by rows, however
    dense a user's requests are.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from kanon.operators.aggregates import running_last, running_sum, running_sums
+from kanon.operators.aggregates import running_sum, running_sums
 from kanon.session import ensure_checkpoint_dir
 
 # Pricing constants.
@@ -82,24 +82,29 @@ def reconcile(ledger: DataFrame, users: DataFrame, user: str) -> DataFrame:
 
 # ------------------------------------------------------------------ T9 conditional debit
 def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, grant: int = GRANT,
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Per request ``accepted`` and ``balance_after`` under "debit only if balance >= cost"."""
+               chunk_rows: int = CHUNK_ROWS, opening: DataFrame | None = None) -> DataFrame:
+    """Per request ``accepted`` and ``balance_after`` under "debit only if balance >= cost". Users start with
+    ``grant``, or with their ``balance`` in ``opening`` (one row per user) if they have one there."""
     # the running cost feeds four branches below: cut the lineage once (reliable checkpoint in the
     # shared spark.checkpoint.dir, so a lost executor re-reads files instead of recomputing)
     ensure_checkpoint_dir(requests.sparkSession)
     rs = running_sums(requests.select(user, ts, tie, cost), user, ts, tie,
-                      {"_cum": F.col(cost), "_rank": F.lit(1)}).checkpoint(eager=True)
-    head_ok = F.col("_cum") <= grant
+                      {"_cum": F.col(cost), "_rank": F.lit(1)})
+    start = F.lit(grant).cast("long")
+    if opening is not None:
+        own = opening.select(F.col(user).alias("_user"), F.col("balance").cast("long").alias("_open"))
+        rs = rs.join(own, F.col(user) == F.col("_user"), "left").drop("_user")
+        start = F.coalesce("_open", start)
+    rs = rs.select(user, ts, tie, cost, "_cum", "_rank", start.alias("_open")).checkpoint(eager=True)
+    head_ok = F.col("_cum") <= F.col("_open")
     head = rs.filter(head_ok).select(user, ts, tie, cost, F.lit(True).alias("accepted"),
-                                     (F.lit(grant) - F.col("_cum")).alias("balance_after"))
-    # first shortfall per user: the balance before it, grant - (cum - cost), is below that cost
+                                     (F.col("_open") - F.col("_cum")).alias("balance_after"))
+    # first shortfall per user: the balance before it, opening - (cum - cost), is below that cost
     first = (rs.filter(~head_ok).groupBy(user)
-             .agg(F.min(F.struct(F.col(ts), F.col(tie), (F.lit(grant) - F.col("_cum") + F.col(cost)).alias("b")))
+             .agg(F.min(F.struct(F.col(ts), F.col(tie), (F.col("_open") - F.col("_cum") + F.col(cost)).alias("b")))
                   .alias("f"))
              .select(user, F.col("f.b").alias("_b0")))
-    tail = rs.filter(~head_ok).join(first, user)
-    hopeless = tail.filter(F.col(cost) > F.col("_b0"))           # can never be covered again
-    cand = tail.filter(F.col(cost) <= F.col("_b0")).withColumn(
+    cand = rs.filter(~head_ok).join(first, user).withColumn(
         "_bkt", F.floor((F.col("_rank") - 1) / F.lit(chunk_rows)).cast("bigint"))
 
     nparts = requests.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -122,7 +127,8 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
                     # after the shortfall the balance never exceeds _b0, so states 0.._b0 suffice
                     cur, table = key, np.arange(int(b0[i]) + 1, dtype=np.int64)
                 ci = c[i]
-                table = np.where(table >= ci, table - ci, table)
+                if ci <= b0[i]:
+                    table = np.where(table >= ci, table - ci, table)
             if us:  # an empty frame would carry float columns Arrow cannot turn into list<long>
                 yield pd.DataFrame({user: us, "_bkt": bs, "_t": ts_})
         if cur is not None:
@@ -174,8 +180,4 @@ def debit_fold(requests: DataFrame, user: str, ts: str, tie: str, cost: str, gra
     replayed = (cand.join(starts, [user, "_bkt"]).select(user, ts, tie, cost, "_bkt", "_start")
                 .repartition(nparts, user, "_bkt").sortWithinPartitions(user, "_bkt", ts, tie)
                 .mapInPandas(replay, out_schema))
-    # hopeless rows keep the balance of the last earlier candidate (or the shortfall balance)
-    hop = hopeless.select(user, ts, tie, cost, F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("balance_after"))
-    allrows = head.unionByName(replayed).unionByName(hop)
-    filled = running_last(allrows, user, ts, tie, "balance_after")
-    return filled
+    return head.unionByName(replayed)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kanon.functions.common import blank_null, present
 from kanon.functions.text import fold_accents
+from kanon.operators.names import near_pairs
 
 # Match rules in priority order (rule number, key column).
 MATCH_KEYS = ((1, "krs_number"), (2, "nip"), (3, "regon"))
@@ -175,11 +176,12 @@ def minted_id(in_id: str, number: str = "krs_number") -> Column:
 
 
 def merge_registry(master: DataFrame, incoming: DataFrame, in_id: str, policy: dict[str, str] = COURT_POLICY,
-                   master_id: str = "id") -> DataFrame:
+                   master_id: str = "id", matched: DataFrame | None = None) -> DataFrame:
     """J5 ∪ J6: the whole company table after a court batch. Matched rows are merged by ``policy``, the others of
     the master stay, and court rows without a match become rows of their own (one per court number) with a
-    minted id. ``master_id`` is a string."""
-    matched = match_entities(incoming, master, in_id, master_id).select(in_id, F.col("master_id").alias(master_id))
+    minted id. ``master_id`` is a string. ``matched`` (in_id, master_id) takes the place of the match by keys."""
+    if matched is None:
+        matched = match_entities(incoming, master, in_id, master_id).select(in_id, F.col("master_id").alias(master_id))
     folded = fold_incoming(incoming.join(matched, in_id), master_id, in_id, policy)
     updated = merge_survivorship(master, folded, master_id, policy)
     untouched = master.join(folded.select(master_id), master_id, "left_anti").select(*master.columns)
@@ -276,45 +278,30 @@ def name_key(c) -> Column:
     return F.lower(F.regexp_replace(fold_accents(c, True), r"[^\p{L}\p{N}]+", ""))
 
 
-def name_blocks(c) -> Column:
-    """Second blocking keys of a name: the folded name, its first and last five characters, its words and its
-    neighbouring words."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(fold_accents(c, True), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    key, n = name_key(c), F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.concat_ws(" ", F.lit("p:"), x, y))
-    ends = F.array(F.concat(F.lit("n:"), key), F.concat(F.lit("s:"), F.substring(key, 1, 5)), F.concat(F.lit("e:"), F.substring(key, -5, 5)))
-    return F.array_distinct(F.concat(ends, F.transform(words, lambda w: F.concat(F.lit("w:"), w)), pairs))
-
-
 def name_candidates(a: DataFrame, b: DataFrame, a_name: str, b_name: str, block_a: Column, block_b: Column,
-                    max_distance: int = 8, max_names: int = 200) -> DataFrame:
-    """Audit-only name pairs: equal blocking key, then ``levenshtein(folded) <= max_distance``; each pair once.
-
-    The blocking key is the caller's choice and must be selective (an identifier fragment, a
-    postal code, a core-name key). A row with a blank block is paired with the rows of the other side, blank or
-    not, that share one of its ``name_blocks`` held by at most ``max_names`` names of each side; an equal folded name
-    always counts. Both sides are first reduced to distinct (block, name), so a name repeated on many rows costs one
-    row."""
+                    max_distance: int = 8, loose_distance: int = 2) -> DataFrame:
+    """Audit-only name pairs by the edit distance of the folded names; each pair once.
+
+    Two rows with a blocking key (the caller's choice: an identifier fragment, a postal code; it must be selective) are
+    a pair if the keys are equal and the distance is at most ``max_distance``. If one of them has none, the whole other
+    side is searched, up to ``loose_distance``, by :func:`kanon.operators.names.near_pairs`. All rows with a letter or
+    digit take part there; both sides are first reduced to distinct (block, name), so a name repeated on many rows costs one row."""
     def prep(df, name, blk, tag):
-        return df.select(F.when(blank_null(blk).isNotNull(), blk).alias("_blk"), name_key(F.col(name)).alias(f"{tag}_key"),
+        return df.select(blank_null(blk).alias("_blk"), name_key(F.col(name)).alias(f"{tag}_key"),
                          F.col(name).alias(f"{tag}_name")).filter(F.col(f"{tag}_key").isNotNull()).distinct()
 
-    def blocks(df, tag):
-        k = df.filter(F.col(f"{tag}_key") != "").select(F.col("_blk").isNull().alias(f"{tag}_blank"), f"{tag}_key", f"{tag}_name").distinct()
-        k = k.select("*", F.explode(name_blocks(F.col(f"{tag}_name"))).alias("_k"))
-        often = k.filter(~F.col("_k").startswith("n:")).groupBy("_k").agg(F.countDistinct(f"{tag}_name").alias("n"))
-        return k, often.filter(F.col("n") > max_names).select("_k")
+    def names(df, tag):
+        return df.select(f"{tag}_key", f"{tag}_name").distinct()
 
     pa, pb = prep(a, a_name, block_a, "a"), prep(b, b_name, block_b, "b")
-    (ka, often_a), (kb, often_b) = blocks(pa, "a"), blocks(pb, "b")
-    often = often_a.unionByName(often_b).distinct()
-    ka, kb = ka.join(often, "_k", "left_anti"), kb.join(often, "_k", "left_anti")
-    names = ["a_key", "a_name", "b_key", "b_name"]
-    pairs = (pa.join(pb, "_blk").select(names)
-             .unionByName(ka.filter("a_blank").join(kb, "_k").select(names))
-             .unionByName(ka.filter("not a_blank").join(kb.filter("b_blank"), "_k").select(names)))
-    d = F.levenshtein(F.col("a_key"), F.col("b_key"))
-    return pairs.select("a_name", "b_name", d.alias("distance")).filter(F.col("distance") <= max_distance).distinct()
+    blank_a, blank_b = pa.filter("_blk is null and a_key <> ''"), pb.filter("_blk is null and b_key <> ''")
+    pa_named, pb_named = pa.filter("a_key <> ''"), pb.filter("b_key <> ''")
+    d = F.levenshtein("a_key", "b_key", max_distance)
+    found = [pa.join(pb, "_blk").select("a_name", "b_name", d.alias("distance")).filter("distance >= 0")]
+    for left, right in ((blank_a, pb_named), (pa_named.filter("_blk is not null"), blank_b)):
+        near = near_pairs(left, right, "a_key", "b_key", min(loose_distance, max_distance))
+        found.append(near.join(names(left, "a"), "a_key").join(names(right, "b"), "b_key").select("a_name", "b_name", "distance"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def enrichment_worklist(df: DataFrame) -> DataFrame:

@@ -1,52 +1,37 @@
 """Request-rate audit (W8): trailing-window counts per source, gap to the previous request.
 
-``count in (t - w, t]`` = running count at the request − running count at a
-probe placed at ``t - w`` (probes sort after requests with the same time, so a
-request exactly ``w`` old is no longer counted — the pacer drops entries aged
-exactly the window). Both running counts come from one bucketed prefix sum
-over requests ∪ probes, so no source (however hot) is ranked in one task.
+Time is cut into buckets as long as the longest window, and each request is copied to its own bucket and to the next one
+(its halo), so every request finds all of its window in its own bucket: the counts are window frames inside (source,
+bucket). The last request before a bucket, however old, rides along as one row that counts for nothing but the gap. All of it
+meets in one shuffle; two more carry one row per (source, bucket). A hot source is split by time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kanon.functions.common import micros_ntz
-from kanon.operators.aggregates import bucket, exclusive_scan, running_sum
-
 
-def rate_audit(events: DataFrame, key: str, ts: str, tie: str, windows: dict[str, int]) -> DataFrame:
-    """Per request: ``windows`` name → count of same-source requests in the trailing window (incl. itself),
-    plus ``gap_seconds`` since the previous request of the source (NULL for the first)."""
-    base = events.select(F.col(key), F.col(ts), F.col(tie))
-    req = base.select(key, ts, F.struct(F.lit(0).alias("k"), F.col(tie).alias("id")).alias("_ord"),
-                      F.col(tie).alias("_rid"), F.lit(None).cast("string").alias("_probe"), F.lit(1).alias("_one"))
-    probes = [base.select(key, (F.col(ts) - F.make_dt_interval(secs=F.lit(w))).alias(ts),
-                          F.struct(F.lit(1).alias("k"), F.col(tie).alias("id")).alias("_ord"),
-                          F.col(tie).alias("_rid"), F.lit(name).alias("_probe"), F.lit(0).alias("_one"))
-              for name, w in windows.items()]
-    allrows = reduce(lambda a, b: a.unionByName(b), [req, *probes])
-    cum = running_sum(allrows, key, ts, "_ord", F.col("_one"), "_cum")
-    at_req = cum.filter(F.col("_probe").isNull()).select(key, F.col("_rid").alias(tie), F.col(ts), F.col("_cum").alias("_c"))
-    at_probe = (cum.filter(F.col("_probe").isNotNull())
-                .groupBy(F.col("_rid").alias(tie)).pivot("_probe", list(windows)).agg(F.first("_cum")))
-    out = at_req.join(at_probe, tie)
-    for name in windows:
-        out = out.withColumn(name, F.col("_c") - F.col(name))
-    gaps = previous_gap(base, key, ts, tie)
-    return out.drop("_c").join(gaps, tie)
+SECOND = 1_000_000
 
 
-def previous_gap(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """Seconds since the previous event of the same key, in (ts, tie) order: lag within a second of the key, the
-    latest earlier second's last event for its first row."""
-    x = events.withColumn("_bkt", bucket(ts))
-    x = x.withColumn("_prev", F.lag(ts).over(Window.partitionBy(key, "_bkt").orderBy(ts, tie)))
-    per = x.groupBy(key, "_bkt").agg(F.max(ts).alias("_last"))
-    carried = exclusive_scan(per, key, "_bkt", {"_last": "last"})
-    prev = F.coalesce(F.col("_prev"), F.col("_off__last"))
-    gap = (micros_ntz(ts) - micros_ntz(prev)) / F.lit(1_000_000.0)
-    return x.join(carried, [key, "_bkt"]).select(tie, gap.alias("gap_seconds"))
+def rate_audit(events: DataFrame, key: str, ts: str, tie: str, windows: dict[str, int]) -> DataFrame:
+    """Per request: ``windows`` name → count of same-source requests in the trailing window (incl. itself; one that is
+    exactly as old as the window no longer counts), plus ``gap_seconds`` since the previous request of the source
+    (NULL for the first). Requests of equal time are ordered by ``tie``."""
+    length = max(windows.values()) * SECOND
+    base = events.select(F.col(key), F.col(ts), F.col(tie), micros_ntz(ts).alias("_t")).withColumn("_b", F.floor(F.col("_t") / F.lit(length)).cast("bigint"))
+    last = base.groupBy(key, "_b").agg(F.max("_t").alias("_t"))
+    before = last.select(key, "_b", F.lag("_t").over(Window.partitionBy(key).orderBy("_b")).alias("_t")).filter(F.col("_t").isNotNull())
+    kinds = F.array(F.struct(F.lit(0).alias("later"), F.lit(True).alias("own")), F.struct(F.lit(1).alias("later"), F.lit(False).alias("own")))
+    rows = base.select("*", F.inline(kinds)).select(key, (F.col("_b") + F.col("later")).alias("_b"), "_t", ts, tie, "own", F.lit(1).alias("_one"))
+    carried = before.select(key, "_b", "_t", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in (ts, tie)],
+                            F.lit(False).alias("own"), F.lit(0).alias("_one"))
+    met = rows.unionByName(carried).repartition(key, "_b")
+    inside = Window.partitionBy(key, "_b").orderBy("_t", tie)
+    upto = F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    by_time = Window.partitionBy(key, "_b").orderBy("_t")
+    out = met.select(key, ts, tie, "own", upto.alias("_upto"), ((F.col("_t") - F.lag("_t").over(inside)) / F.lit(float(SECOND))).alias("gap_seconds"),
+                     *[F.coalesce(F.sum("_one").over(by_time.rangeBetween(Window.unboundedPreceding, -w * SECOND)), F.lit(0)).alias(f"_old_{name}") for name, w in windows.items()])
+    return out.filter("own").select(key, ts, tie, *[(F.col("_upto") - F.col(f"_old_{name}")).alias(name) for name in windows], "gap_seconds")

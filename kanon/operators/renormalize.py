@@ -3,7 +3,9 @@
 One projection over the table (no shuffle); the phone array is computed once
 per row and split into its four derived columns. The batch rules differ on purpose: an e-mail only loses its
 blanks, a website without a dot stays, names are capitalised per run of letters and digits, street prefixes are
-lower-cased and ``ul.`` / ``ulica`` dropped, unknown countries and postal codes stay as they are.
+lower-cased and ``ul.`` / ``ulica`` dropped, unknown countries and postal codes stay as they are. The batch job ran twice: its
+first form (:data:`FIRST_RULES`) kept the street prefix and the name of the country and wrote every Polish number
+alike, its second (:data:`BATCH_RULES`) spaces landline numbers.
 """
 
 from __future__ import annotations
@@ -62,10 +64,7 @@ def batch_website(c: Column) -> Column:
 
 
 def batch_street(c: Column) -> Column:
-    out = capitalised(c)
-    for p in STREET_PREFIXES:
-        out = F.regexp_replace(out, rf"^{p}\.", f"{p.lower()}.")
-    return _blank(F.trim(F.regexp_replace(out, r"(?i)^(ul\.|ulica)\s*", "")))
+    return _blank(F.trim(F.regexp_replace(F.coalesce(first_street(c), F.lit("")), r"(?i)^(ul\.|ulica)\s*", "")))
 
 
 def batch_legal_form(c: Column) -> Column:
@@ -85,6 +84,22 @@ def batch_postal_code(c: Column) -> Column:
     return F.when(F.length(d) == 5, F.concat(F.substr(d, F.lit(1), F.lit(2)), F.lit("-"), F.substr(d, F.lit(3)))).otherwise(_blank(_trimmed(c)))
 
 
+def batch_voivodeship(c: Column) -> Column:
+    """The official spelling of a voivodeship written in capitals, with or without Polish letters; others are capitalised."""
+    plain = str.maketrans("ĄĆĘŁŃÓŚŹŻ", "ACELNOSZZ")
+    spellings = {key: name for name in T.VOIVODESHIPS.values() for key in (name.upper(), name.upper().translate(plain))}
+    lookup = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
+    return F.coalesce(F.element_at(lookup, F.upper(_trimmed(c))), _blank(capitalised(c)))
+
+
+def first_street(c: Column) -> Column:
+    """Prefixes are lower-cased and stay."""
+    out = capitalised(c)
+    for p in STREET_PREFIXES:
+        out = F.regexp_replace(out, rf"^{p}\.", f"{p.lower()}.")
+    return _blank(out)
+
+
 _DIGITS = lambda c: _blank(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]+", ""))
 _NAME = lambda c: _blank(capitalised(c))
 
@@ -94,14 +109,19 @@ BATCH_RULES = {
     "status": lambda c: _blank(F.upper(_trimmed(c))),
     "email": lambda c: _blank(F.lower(F.regexp_replace(_trimmed(c), r"\s+", ""))), "website": batch_website,
     "owner_first_name": _NAME, "owner_last_name": _NAME, "county": _NAME, "municipality": _NAME, "city": _NAME,
-    "legal_form": batch_legal_form, "country": batch_country, "street": batch_street, "postal_code": batch_postal_code,
+    "voivodeship": batch_voivodeship, "phone": C.batch_phones, "legal_form": batch_legal_form, "country": batch_country, "street": batch_street, "postal_code": batch_postal_code,
     "main_pkd_code": lambda c: _blank(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z]+", ""))),
 }
 
 
-def renormalize_batch(df: DataFrame) -> DataFrame:
+FIRST_RULES = BATCH_RULES | {
+    "street": first_street, "country": lambda c: _blank(F.upper(_trimmed(c))), "phone": lambda c: C.batch_phones(c, C.format_plain),
+}
+
+
+def renormalize_batch(df: DataFrame, rules: dict = BATCH_RULES) -> DataFrame:
     """H15 as the stored-row jobs do it: every batch rule whose column is present."""
-    return df.select(*[BATCH_RULES[c](F.col(c)).alias(c) if c in BATCH_RULES else F.col(c) for c in df.columns])
+    return df.select(*[rules[c](F.col(c)).alias(c) if c in rules else F.col(c) for c in df.columns])
 
 
 def split_ordinal(df: DataFrame, key: str, list_col: str, out: str = "item") -> DataFrame:

@@ -27,6 +27,23 @@ def eq_ci(column: str, value: str | None) -> Column | None:
     return F.upper(F.col(column)) == F.upper(F.lit(value.strip()))
 
 
+#: Collations: equal whatever the case and accents are (Ł is L); equal whatever the case is.
+PLACE_COLLATION, TEXT_COLLATION = "UNICODE_CI_AI", "UTF8_LCASE"
+
+
+def place_key(column: str | Column, collation: str = PLACE_COLLATION) -> Column:
+    """the column under a collation, as a key to filter, join or group by. The stored text is compared as it is; nothing is
+    folded row by row."""
+    return F.collate(F.col(column) if isinstance(column, str) else column, collation)
+
+
+def eq_place(column: str, value: str | None, collation: str = PLACE_COLLATION) -> Column | None:
+    """the text equals the value under a collation; blank value = no filter."""
+    if _blank(value):
+        return None
+    return place_key(column, collation) == F.lit(value.strip())
+
+
 def contains_ci(column: str, value: str | None) -> Column | None:
     """``col ILIKE '%value%'`` — ``%``/``_`` typed by the user stay wildcards."""
     if _blank(value):
@@ -181,6 +198,12 @@ def text_cast(c: Column, dtype) -> Column:
     return c.cast("string")
 
 
+def with_catalog(df: DataFrame) -> DataFrame:
+    """``df`` with every stored column of the catalog; those it lacks are NULL text."""
+    absent = dict.fromkeys(c for c, _ in CATALOG.values() if c not in df.columns)
+    return df.select("*", *[F.lit(None).cast("string").alias(c) for c in absent])
+
+
 def project(df: DataFrame, spec: str | None) -> DataFrame:
     """Select the resolved catalog columns under their API names; Catalyst prunes the rest."""
     types = {f.name: f.dataType for f in df.schema.fields}

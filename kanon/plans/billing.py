@@ -205,7 +205,7 @@ def q_recent_per_user(spark, sf):
 
 
 # ------------------------------------------------------------------ T9
-@query("debit_fold", with_bindings(f"""
+DEBIT_ORACLE = with_bindings(f"""
 with recursive r as (select user_id, request_id, cost,
                             row_number() over (partition by user_id order by ts, request_id) as rn from req),
 fold(user_id, rn, request_id, bal, accepted) as (
@@ -214,7 +214,10 @@ fold(user_id, rn, request_id, bal, accepted) as (
   select r.user_id, r.rn, r.request_id, case when f.bal >= r.cost then f.bal - r.cost else f.bal end, f.bal >= r.cost
   from fold f join r on r.user_id = f.user_id and r.rn = f.rn + 1)
 select request_id, user_id, accepted, bal as balance_after from fold where rn > 0""",
-    "usage_log", extra={"req": _REQ_SQL}))
+    "usage_log", extra={"req": _REQ_SQL})
+
+
+@query("debit_fold", DEBIT_ORACLE)
 def q_debit_fold(spark, sf):
     r = requests_with_cost(spark, sf).select("user_id", "ts", "request_id", "cost")
     out = B.debit_fold(r, "user_id", "ts", "request_id", "cost", B.GRANT)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kanon.functions import text as T
+from kanon.operators import analytics as A
 from kanon.operators import merge as MG
+from kanon.operators import search as S
 from kanon.operators.search import text_cast
 from kanon.plans import duck_norm as D
 from kanon.plans.catalog import query
@@ -164,7 +169,7 @@ _TEXT_SOURCES = "'{' || array_to_string(registry_sources, ',') || '}' as registr
 _SHOWN = ["id", *_POLICY]
 
 
-def _shown(df, *more):
+def shown(df, *more):
     return df.select(*[text_cast(F.col(c), df.schema[c].dataType).alias(c) if c == "registry_sources" else F.col(c)
                        for c in (*_SHOWN, *more)])
 
@@ -176,7 +181,7 @@ def q_merge_survivorship(spark, sf):
     master, inc = company_rows(spark, sf), court_rows(spark, sf)
     matched = MG.match_entities(inc, master, "b_id").select("b_id", F.col("master_id").alias("id"))
     folded = MG.fold_incoming(inc.join(matched, "b_id"), "id", "b_id", _POLICY)
-    return _shown(MG.merge_survivorship(master, folded, "id", _POLICY))
+    return shown(MG.merge_survivorship(master, folded, "id", _POLICY))
 
 
 @query("insert_unmatched", with_flagged(
@@ -186,7 +191,7 @@ def q_insert_unmatched(spark, sf):
     master, inc = company_rows(spark, sf), court_rows(spark, sf)
     matched = MG.match_entities(inc, master, "b_id").select("b_id")
     new = inc.join(matched, "b_id", "left_anti").withColumn("id", MG.minted_id("b_id"))
-    return _shown(MG.fold_incoming(new, "id", "b_id", _POLICY))
+    return shown(MG.fold_incoming(new, "id", "b_id", _POLICY))
 
 
 _MERGED_SQL = ("select id, ceidg_id, started_on, removed_on, updated_at, " + ", ".join(_POLICY) + " from updated union all by name select id, ceidg_id, started_on, removed_on, updated_at, "
@@ -194,16 +199,63 @@ _MERGED_SQL = ("select id, ceidg_id, started_on, removed_on, updated_at, " + ",
 _MERGED_EVENT = "coalesce(removed_on, registered_on, started_on, cast(updated_at as date), date '0001-01-01')"
 
 
-@query("merged_master", with_flagged(f"""
+MERGED_ORACLE = with_flagged(f"""
 select id, {', '.join(c for c in _POLICY if c != 'registry_sources')}, {_TEXT_SOURCES}, identity_key,
        id = first(id order by {RANK_SQL}, {_MERGED_EVENT} desc, updated_at desc nulls first, id) over (partition by identity_key
             order by {RANK_SQL}, {_MERGED_EVENT} desc, updated_at desc nulls first, id
             rows between unbounded preceding and unbounded following) as is_current
-from (select *, {IDENTITY_SQL} as identity_key from merged)""", extra=_MERGE_CTES | {"merged": _MERGED_SQL}))
+from (select *, {IDENTITY_SQL} as identity_key from merged)""", extra=_MERGE_CTES | {"merged": _MERGED_SQL})
+
+
+@query("merged_master", MERGED_ORACLE)
 def q_merged_master(spark, sf):
     """J5 ∪ J6 ∪ untouched rows, then one current row per identity (W1) over the result."""
     merged = MG.merge_registry(company_rows(spark, sf), court_rows(spark, sf), "b_id")
-    return _shown(flag_current(merged), "identity_key", "is_current")
+    return shown(flag_current(merged), "identity_key", "is_current")
+
+
+# ------------------------------------------------------------------ A2a / F10 / F11 over a table that has every column
+_DIMENSION_SQL = {
+    "voivodeship": "voivodeship", "county": "county", "municipality": "municipality", "city": "city", "status": "status", "mainPkdCode": "main_pkd_code",
+    "startedYear": "cast(year(started_on) as varchar)", "registeredYear": "cast(year(registered_on) as varchar)", "sourceProfile": SOURCE_PROFILE_SQL, "legalForm": "legal_form",
+}
+
+
+def _dimension_sql(name: str, bucket: str) -> str:
+    return f"""(select '{name}' as dimension, coalesce(nullif({bucket}, ''), 'brak') as bucket_key, count(*) as companies,
+  count(*) filter (where upper(status) in ('AKTYWNY', 'ACTIVE')) as active_companies, (select count(*) from cur) as total_count
+  from cur group by 2 order by companies desc, bucket_key limit 100)"""
+
+
+@query("distribution_dimensions", with_flagged(" union all ".join(_dimension_sql(n, e) for n, e in _DIMENSION_SQL.items()), extra={"cur": _MASTER_SQL}))
+def q_distribution_dimensions(spark, sf):
+    """All ten dimensions, looked up by name in another case."""
+    rows = company_rows(spark, sf)
+    parts = [A.distribution(rows, n.upper(), limit=100, min_bucket=1).select(F.lit(n).alias("dimension"), "bucket_key", "companies", "active_companies", "total_count")
+             for n in _DIMENSION_SQL]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("filter_exact_place", with_flagged("select id, county, municipality from cur where upper(county) = 'NATION_3' and upper(municipality) = 'STARA'", extra={"cur": _MASTER_SQL}))
+def q_filter_exact_place(spark, sf):
+    """county and municipality match as wholes."""
+    return company_rows(spark, sf).filter(S.analytics_filter(county=" nation_3", municipality="stara ")).select("id", "county", "municipality")
+
+
+_STORED_COLS = {"is_current", "current_rank", "id", "ceidg_id", "started_on", "removed_on", "updated_at", *_POLICY}
+_API_SQL = ", ".join(f"{'null' if c not in _STORED_COLS else _TEXT_SOURCES.rsplit(' as ', 1)[0] if c == 'registry_sources' else c} as \"{api}\"" for api, (c, _) in S.CATALOG.items())
+
+
+@query("project_all", with_flagged(f"""
+select {_API_SQL}
+from (select *, {RANK_SQL} as current_rank, id = first(id order by {RANK_SQL}, {_MERGED_EVENT} desc, updated_at desc nulls first, id)
+                                over (partition by identity_key order by {RANK_SQL}, {_MERGED_EVENT} desc, updated_at desc nulls first, id
+                                      rows between unbounded preceding and unbounded following) as is_current
+      from (select *, {IDENTITY_SQL} as identity_key from merged))""", extra=_MERGE_CTES | {"merged": _MERGED_SQL}))
+def q_project_all(spark, sf):
+    """all 60 names, resolved on the merged company table; columns that no source brought are there and empty."""
+    merged = flag_current(MG.merge_registry(company_rows(spark, sf), court_rows(spark, sf), "b_id"))
+    return S.project(S.with_catalog(merged), ",".join(S.CATALOG))
 
 
 @query("backfill_join", with_flagged(f"""
@@ -227,14 +279,14 @@ def _part_old(spark, sf):
 
 
 def _part_new(spark, sf):
-    p = read_table(spark, sf, "part")
+    p = read_table(spark, sf, "part").filter(F.col("p_partkey") % 10 != 4)  # those are gone
     return p.withColumn("p_retailprice", F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") + 1)
                         .otherwise(F.col("p_retailprice")))
 
 
 _OLD_SQL = "select * from part where p_partkey % 2 = 0"
 _NEW_SQL = ("select p_partkey, p_name, p_brand, p_type, p_size, "
-            "case when p_partkey % 3 = 0 then p_retailprice + 1 else p_retailprice end as p_retailprice from part")
+            "case when p_partkey % 3 = 0 then p_retailprice + 1 else p_retailprice end as p_retailprice from part where p_partkey % 10 <> 4")
 
 
 @query("upsert_overwrite", with_bindings("""
@@ -301,19 +353,46 @@ def _name_key_sql(x: str) -> str:
     return f"lower(regexp_replace({D.fold(x, True)}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 
 
-@query("name_candidates", with_bindings(f"""
-select a_name, b_name, distance from (
-  select a.a_name, b.b_name, levenshtein(a.a_key, b.b_key) as distance
-  from (select distinct regexp_extract(name, '([0-9]+)$', 1) as blk, {_name_key_sql('name')} as a_key, name as a_name
-        from registry_b) a
-  join (select distinct regexp_extract(name, '([0-9]+)$', 1) as blk, {_name_key_sql('name')} as b_key, name as b_name
-        from company_history) b on a.blk = b.blk and a.blk <> '')
-where distance <= 8""", "registry_b", "company_history"))
+def _pairs_sql(a: str, b: str) -> str:
+    """Audit pairs of two CTEs (blk, name), stated over all pairs: a block on both sides must be equal, up to 8 edits; else
+    up to 2 edits."""
+    side = lambda x, t: f"(select distinct nullif(trim(blk), '') as blk, {_name_key_sql('name')} as {t}_key, name as {t}_name from {x} where name is not null) {t}"
+    return f"""
+select distinct a_name, b_name, levenshtein(a_key, b_key) as distance from {side(a, 'a')} join {side(b, 'b')} on a.blk = b.blk
+where levenshtein(a_key, b_key) <= 8
+union
+select distinct a_name, b_name, levenshtein(a_key, b_key) from {side(a, 'a')}, {side(b, 'b')}
+where (a.blk is null or b.blk is null) and a_key <> '' and b_key <> '' and abs(length(a_key) - length(b_key)) <= 2 and levenshtein(a_key, b_key) <= 2"""
+
+
+@query("name_candidates", with_bindings(_pairs_sql("court_names", "company_names"), "registry_b", "company_history", extra={
+    "court_names": "select regexp_extract(name, '([0-9]+)$', 1) as blk, name from registry_b",
+    "company_names": "select regexp_extract(name, '([0-9]+)$', 1) as blk, name from company_history"}))
 def q_name_candidates(spark, sf):
     blk = F.regexp_extract(F.col("name"), r"([0-9]+)$", 1)  # the registry number embedded in the name
     return MG.name_candidates(registry_b(spark, sf), company_history(spark, sf), "name", "name", blk, blk)
 
 
+# Names that share their words and differ by a code; misspelt by 0 to 3 edits on one side.
+_CODE = "substr(md5(cast(c_custkey as string)), 1, 10)"
+_STORED_NAME = f"'Zakład ' || c_mktsegment || ' ' || {_CODE}"
+_TYPED_NAME = f"""case c_custkey % 5 when 0 then 'ZAKLAD ' || c_mktsegment || ', ' || {_CODE}
+  when 1 then 'Zakład ' || c_mktsegment || ' ' || substr({_CODE}, 2) when 2 then 'Zaklady ' || c_mktsegment || ' ' || {_CODE} || 'q'
+  when 3 then 'Zakad ' || c_mktsegment || ' ' || substr({_CODE}, 1, 9) || 'q' else 'Zkd ' || c_mktsegment || ' q' || {_CODE} end"""
+_TYPED = f"select case when c_custkey % 3 = 0 then cast(c_nationkey as string) end as blk, {_TYPED_NAME} as name from customer"
+_STORED = f"select case when c_custkey % 2 = 0 then cast(c_nationkey as string) when c_custkey % 7 = 0 then ' ' end as blk, {_STORED_NAME} as name from customer"
+
+
+@query("name_candidates_unblocked", with_bindings(_pairs_sql("typed", "stored"), extra={"typed": _TYPED, "stored": _STORED}))
+def q_name_candidates_unblocked(spark, sf):
+    """D4 where most rows have no block and all names share their words."""
+    c = read_table(spark, sf, "customer")
+    blk = F.expr("case when c_custkey % 2 = 0 then cast(c_nationkey as string) when c_custkey % 7 = 0 then ' ' end")
+    typed = c.select(F.expr("case when c_custkey % 3 = 0 then cast(c_nationkey as string) end").alias("blk"), F.expr(_TYPED_NAME).alias("name"))
+    stored = c.select(blk.alias("blk"), F.expr(_STORED_NAME).alias("name"))
+    return MG.name_candidates(typed, stored, "name", "name", F.col("blk"), F.col("blk"))
+
+
 @query("enrichment_worklist", with_flagged(
     f"select id, nip, regon from current_rows where ({P('nip')} or {P('regon')}) and not {P('krs_number')}"))
 def q_enrichment_worklist(spark, sf):

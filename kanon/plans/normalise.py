@@ -207,14 +207,17 @@ def q_multi_format_date(spark, sf):
 
 
 # ------------------------------------------------------------------ H15 / W6
-@query("renormalize", with_bindings(f"""
+RENORMALIZE_ORACLE = with_bindings(f"""
 select id, {D.digits('nip')} as nip, {D.digits('regon')} as regon, {D.digits('krs_number', 10)} as krs_number,
        {D.clean('name')} as name, upper({D.clean('status')}) as status, {D.voivodeship('voivodeship')} as voivodeship,
        {D.title('county')} as county, {D.title('city')} as city, {D.legal_form('legal_form')} as legal_form,
        {D.activity_code('main_pkd_code')} as main_pkd_code, {D.country('country')} as country, {D.street('street')} as street,
        {D.join_or_null(D.ordered_distinct(D.phone_list_raw('phone')))} as phone,
        {D.join_or_null(D.email_list_raw('email'))} as email, {D.join_or_null(D.website_list_raw('website'))} as website
-from company_history""", "company_history"))
+from company_history""", "company_history")
+
+
+@query("renormalize", RENORMALIZE_ORACLE)
 def q_renormalize(spark, sf):
     """Every stored company row re-normalised with the write-time rules."""
     from kanon.operators.renormalize import renormalize
@@ -224,52 +227,91 @@ def q_renormalize(spark, sf):
     return renormalize(company_history(spark, sf).select(*cols)).select(*cols)
 
 
-# Stored values that tell the batch rules from the write-time rules, as SQL text that both engines read.
-_STORED = {
-    "email": "case id % 4 when 0 then concat(' Ola ', cast(id as string), ' @Mail.TEST ') when 1 then 'brak' when 2 then '  ' end",
-    "website": "case id % 5 when 0 then 'Sklep' when 1 then ' WWW.Sklep.test// ' when 2 then 'HTTP://A.test/X/' when 3 then '' end",
-    "street": "case id % 6 when 0 then 'UL. POLNA-LESNA 4A' when 1 then 'ulica lipowa' when 2 then 'AL. NIEPODLEGLOSCI' when 3 then 'bulw. odry' when 4 then 'Ul.' end",
-    "country": "case id % 4 when 0 then ' polska ' when 1 then 'Oesterreich' when 2 then 'de' else '' end",
-    "postal_code": "case id % 3 when 0 then '00950' when 1 then ' 12-34 ' else '' end",
-    "legal_form": "case id % 3 when 0 then 'SPOLKA Z O.O. W LIKWIDACJI I INNE' when 1 then ' fundacja ' end",
-    "city": "case id % 2 when 0 then 'BIELSKO-BIALA' else 'nowy  dwor 2maja' end",
-    "krs_number": "case id % 3 when 0 then '12-34' when 1 then 'brak' end", "status": "case id % 2 when 0 then ' aktywny' else '' end",
-    "main_pkd_code": "case id % 2 when 0 then '47.11.z' else '--' end", "nip": "case id % 2 when 0 then '555-000 11.22' else 'x' end",
+@query("renormalize_sql", RENORMALIZE_ORACLE)
+def q_renormalize_sql(spark, sf):
+    """H1-H12 as SQL functions: the stored company rows re-normalised by plain SQL text."""
+    from kanon.functions.sql import register
+
+    register(spark)
+    return spark.sql("""
+        select id, norm_digits(nip) as nip, norm_digits(regon) as regon, norm_krs_number(krs_number) as krs_number, norm_clean(name) as name,
+               norm_status(status) as status, norm_voivodeship(voivodeship) as voivodeship, norm_title(county) as county, norm_title(city) as city,
+               norm_legal_form(legal_form) as legal_form, norm_code(main_pkd_code) as main_pkd_code, norm_country(country) as country, norm_street(street) as street,
+               norm_phone(phone) as phone, norm_email(email) as email, norm_website(website) as website
+        from {rows}""", rows=company_history(spark, sf))
+
+
+# Spellings of three cities; every customer has one, every supplier another.
+_CITIES = ("ŁÓDŹ", "Łódź", "lodz", "Kraków", "KRAKOW", "krakÓw", "Zürich", "zurich")
+_FOLDED_CITY = "lower(strip_accents(translate({0}, 'łŁ', 'lL')))"
+
+
+@query("collated_places", f"""
+with c as (select c_custkey as k, list_extract({list(_CITIES)}, 1 + cast(c_custkey % 8 as integer)) as city from customer),
+s as (select distinct list_extract({list(_CITIES)}, 1 + cast(s_suppkey % 3 as integer)) as city from supplier)
+select min(c.city) as city, count(*) as customers, count(*) filter (where {_FOLDED_CITY.format('c.city')} = 'lodz') as in_lodz,
+       count(*) filter (where exists (select 1 from s where {_FOLDED_CITY.format('s.city')} = {_FOLDED_CITY.format('c.city')})) as supplied
+from c group by {_FOLDED_CITY.format('c.city')}""")
+def q_collated_places(spark, sf):
+    """F2 / F12 by collation: filter, join and grouping take letters for equal whatever their case and accents are."""
+    from kanon.operators.search import eq_place, place_key
+
+    city = lambda k, n: F.element_at(F.array(*[F.lit(x) for x in _CITIES]), (F.col(k) % n + 1).cast("int"))
+    c = read_table(spark, sf, "customer").select(city("c_custkey", 8).alias("city"))
+    s = read_table(spark, sf, "supplier").select(place_key(city("s_suppkey", 3)).alias("place")).distinct()
+    met = c.join(s, place_key("city") == F.col("place"), "left")
+    return met.groupBy(place_key("city").alias("place")).agg(
+        F.min("city").alias("city"), F.count("*").alias("customers"), F.count_if(eq_place("city", " Lódz ")).alias("in_lodz"),
+        F.count("place").alias("supplied")).drop("place")
+
+
+# What the batch rules make of stored values: column -> (stored, expected). Row k of the orders holds value k mod n of each.
+_BATCH_VALUES = {
+    "email": ((" Ola 1 @Mail.TEST ", "ola1@mail.test"), ("brak", "brak"), ("  ", None), (None, None)),
+    "website": (("Sklep", "sklep"), (" WWW.Sklep.test// ", "https://www.sklep.test"), ("HTTP://A.test/X/", "http://a.test/x"), ("", None), (None, None)),
+    "street": (("UL. POLNA-LESNA 4A", "Polna-Lesna 4a"), ("ulica lipowa", "Lipowa"), ("AL. NIEPODLEGLOSCI", "al. Niepodleglosci"), ("bulw. odry", "bulw. Odry"),
+               ("Ul.", None), (None, None)),
+    "country": ((" polska ", "PL"), ("Oesterreich", "OESTERREICH"), ("de", "DE"), ("", None), ("rp", "PL")),
+    "postal_code": (("00950", "00-950"), (" 12-34 ", "12-34"), ("", None), ("80 001", "80-001")),
+    "legal_form": (("SPOLKA Z O.O. W LIKWIDACJI I INNE", "Spolka z O.O. w Likwidacji i Inne"), (" fundacja ", "Fundacja"), (None, None)),
+    "city": (("BIELSKO-BIALA", "Bielsko-Biala"), ("nowy  dwor 2maja", "Nowy  Dwor 2maja"), (" ŁÓDŹ", "Łódź")),
+    "krs_number": (("12-34", "0000001234"), ("brak", None), (None, None)),
+    "status": ((" aktywny", "AKTYWNY"), ("", None)),
+    "main_pkd_code": (("47.11.z", "4711Z"), ("--", None)),
+    "nip": (("555-000 11.22", "5550001122"), ("x", None)),
+    "voivodeship": (("SLASKIE", "Śląskie"), (" śląskie", "Śląskie"), ("LODZKIE", "Łódzkie"), ("ŁÓDZKIE", "Łódzkie"), ("warminsko-mazurskie", "Warmińsko-Mazurskie"),
+                    ("KUJAWSKO-POMORSKIE", "Kujawsko-Pomorskie"), ("BRANDENBURGIA", "Brandenburgia"), ("  ", None), (None, None)),
+    "phone": (("505 123 456", "+48505123456"), ("22 555-66-77", "+48 22 555 66 77"), ("0048 600 700 800; 48 12 345 67 89", "+48600700800, +48 12 345 67 89"),
+              ("600700800/600700800", "+48600700800"), ("48600700800226667788", "+48600700800, +48 22 666 77 88"), ("600700800|226667788501502503", "+48600700800, +48 22 666 77 88, +48501502503"),
+              ("+49 30 1234567", "+49301234567"), ("12 34", None), (" ", None), (None, None)),
 }
+# Where the first form of the job differs.
+_FIRST_VALUES = {
+    "street": ("ul. Polna-Lesna 4a", "Ulica Lipowa", "al. Niepodleglosci", "bulw. Odry", "ul.", None),
+    "country": ("POLSKA", "OESTERREICH", "DE", None, "RP"),
+    "phone": ("+48505123456", "+48225556677", "+48600700800, +48123456789", "+48600700800", "+48600700800, +48226667788", "+48600700800, +48226667788, +48501502503",
+              "+49301234567", None, None, None),
+}
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("null" if v is None else "'" + v + "'" for v in values) + "]"
+
+
+def _expected(values, alias: str) -> str:
+    return f"list_extract({_listed(values)}, 1 + cast(o_orderkey % {len(values)} as integer)) as {alias}"
 
 
-def _cap_sql(c: str) -> str:
-    runs = f"regexp_extract_all(lower(trim(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')"
-    return f"array_to_string(list_transform({runs}, lambda r: upper(r[1]) || r[2:]), '')"
-
-
-_ONLY_DIGITS = "regexp_replace(coalesce({0}, ''), '[^0-9]', '', 'g')"
-_STREET_SQL = _cap_sql("street")
-for _p in ("Ul", "Al", "Pl", "Bulw", "Os"):
-    _STREET_SQL = f"regexp_replace({_STREET_SQL}, '^{_p}\\.', '{_p.lower()}.')"
-
-
-@query("renormalize_batch", with_bindings(f"""
-select id, nullif(lower(regexp_replace(trim(email), '\\s', '', 'g')), '') as email,
-       case when trim(website) = '' then null when regexp_matches(lower(trim(website)), '^https?://') then lower(rtrim(trim(website), '/'))
-            when contains(website, '.') then 'https://' || lower(rtrim(trim(website), '/')) else lower(trim(website)) end as website,
-       nullif(trim(regexp_replace({_STREET_SQL}, '^(ul\\.|ulica)\\s*', '', 'i')), '') as street,
-       case when upper(trim(country)) in ('PL', 'POLSKA', 'RP', 'RZECZPOSPOLITA POLSKA') then 'PL' else nullif(upper(trim(country)), '') end as country,
-       case when length({_ONLY_DIGITS.format('postal_code')}) = 5
-            then left({_ONLY_DIGITS.format('postal_code')}, 2) || '-' || right({_ONLY_DIGITS.format('postal_code')}, 3)
-            else nullif(trim(postal_code), '') end as postal_code,
-       nullif(replace(replace(replace({_cap_sql('legal_form')}, ' Z ', ' z '), ' W ', ' w '), ' I ', ' i '), '') as legal_form,
-       nullif({_cap_sql('city')}, '') as city,
-       case when {_ONLY_DIGITS.format('krs_number')} <> '' then lpad({_ONLY_DIGITS.format('krs_number')}, 10, '0') end as krs_number,
-       nullif(upper(trim(status)), '') as status, nullif(upper(regexp_replace(main_pkd_code, '[^0-9A-Za-z]', '', 'g')), '') as main_pkd_code,
-       nullif({_ONLY_DIGITS.format('nip')}, '') as nip
-from stored""", extra={"stored": "select o_orderkey as id, " + ", ".join(f"{e.replace('id', 'o_orderkey')} as {c}" for c, e in _STORED.items()) + " from orders"}))
+@query("renormalize_batch", "select o_orderkey as id, " + ", ".join(
+    [_expected([e for _, e in pairs], c) for c, pairs in _BATCH_VALUES.items()] + [_expected(v, f"first_{c}") for c, v in _FIRST_VALUES.items()]) + " from orders")
 def q_renormalize_batch(spark, sf):
-    """H15 with the batch rules over stored values that tell them from the write-time rules."""
-    from kanon.operators.renormalize import renormalize_batch
+    """H15 with the batch rules, in their second form and (``first_...``) their first."""
+    from kanon.operators.renormalize import FIRST_RULES, renormalize_batch
 
     rows = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return renormalize_batch(rows.select("id", *[F.expr(e).alias(c) for c, e in _STORED.items()]))
+    value = lambda v: F.element_at(F.array(*[F.lit(s) for s, _ in v]), (F.col("id") % len(v) + 1).cast("int"))
+    stored = rows.select("id", *[value(v).alias(c) for c, v in _BATCH_VALUES.items()], *[value(_BATCH_VALUES[c]).alias(f"first_{c}") for c in _FIRST_VALUES])
+    return renormalize_batch(renormalize_batch(stored), {f"first_{c}": FIRST_RULES[c] for c in _FIRST_VALUES})
 
 
 @query("split_ordinal", rf"""

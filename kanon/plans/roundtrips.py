@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 from kanon.operators import aggregates as AG
 from kanon.operators import monitor as M
 from kanon.plans.catalog import query
+from kanon.plans.billing import DEBIT_ORACLE
 from kanon.plans.company import current, flagged
+from kanon.plans.matching import MERGED_ORACLE, company_rows, court_rows, shown
 from kanon.plans.sqlbits import IDENTITY_SQL, RANK_SQL, with_flagged
 from kanon.sources import landing as L
 from kanon.sources import sinks as S
-from kanon.sources.bindings import import_checkpoint, registry_b, with_bindings
+from kanon.sources.bindings import import_checkpoint, with_bindings
+from kanon.sources.master import read_master
 from kanon.sources.tables import read_table
 
 
+#: Partitions of the masters that the queries build.
+PARTS = 16
+
+
 def _fresh(spark, name: str) -> str:
     return S.scratch_path(spark, name, uuid.uuid4().hex)
 
@@ -30,6 +37,25 @@ def q_snapshot_current(spark, sf):
     return S.read_snapshot(spark, root, current_only=True).select("id", "identity_key", "status")
 
 
+@query("point_lookup", with_flagged("""
+select 'nip' as by_key, id, nip, regon, krs_number from flagged where nip = (select max(nip) from flagged)
+union all select 'regon', id, nip, regon, krs_number from flagged where regon = (select min(regon) from flagged where regon <> '')
+union all select 'krs_number', id, nip, regon, krs_number from flagged where krs_number = (select max(krs_number) from flagged)
+union all select 'nip', id, nip, regon, krs_number from flagged where nip = 'no such number'"""))
+def q_point_lookup(spark, sf):
+    """all rows of one company by one of its numbers, from a copy that is laid out for it (row groups are skipped by range and
+    by Bloom filter)."""
+    root = _fresh(spark, "lookup")
+    rows = flagged(spark, sf)
+    S.write_lookup(rows, root)
+    # the numbers to look for are arguments of the query
+    nip, regon, krs = rows.agg(F.max("nip"), F.min(F.when(F.col("regon") != "", F.col("regon"))), F.max("krs_number")).first()
+    shown_cols = ["id", "nip", "regon", "krs_number"]
+    found = [S.lookup(spark, root, **{k: v}).select(F.lit(k).alias("by_key"), *shown_cols) for k, v in
+             (("nip", nip), ("regon", regon), ("krs_number", krs), ("nip", "no such number"))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query("append_log", "select cast(ts as date) as day, count(*) as n, count(distinct event_id) as ids from events group by 1")
 def q_append_log(spark, sf):
     """Two appends to a date-partitioned log, read back per day."""
@@ -48,7 +74,7 @@ def q_export_csv(spark, sf):
     """Explicit columns to CSV with arrays as JSON text, read back."""
     root = _fresh(spark, "export")
     S.export(current(spark, sf), ["id", "name", "registry_sources"], root)
-    return spark.read.option("header", True).option("escape", "\\").csv(root)
+    return spark.read.option("header", True).option("escape", '"').csv(root)
 
 
 @query("capped_worklist", with_flagged("select id, nip from current_rows order by updated_at desc, id limit 50"))
@@ -103,23 +129,22 @@ def q_upsert_report(spark, sf):
                       field("$.download.content", "content"), field("$.report.file_type", "file_type"))
 
 
-@query("independent_sources", with_bindings("""
-select 'companies' as source, count(*) as n, count(distinct id) as ids from (select o_orderkey as id from orders)
-union all select 'court', count(*), count(distinct b_id) from registry_b""", "registry_b"))
+@query("independent_sources", MERGED_ORACLE)
 def q_independent_sources(spark, sf):
-    """T5: two landing folders ingested by two streams that do not wait for each other, read back."""
-    from kanon.streaming.jobs import ingest_all
+    """T5: company rows and court rows arrive in two landing folders, two streams that do not wait for each other bring them
+    in, and one job merges what both have finished into the master."""
+    from kanon.streaming.jobs import ingest_all, merge_court_batch, merge_sources, upsert_rows
 
     root = _fresh(spark, "sources")
-    tables = {"companies": read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "court": registry_b(spark, sf).select(F.col("b_id").alias("id"))}
+    tables = {"company": company_rows(spark, sf), "court": court_rows(spark, sf)}
     for name, df in tables.items():
         df.write.parquet(f"{root}/landing/{name}")
-    handles = ingest_all(spark, {n: (f"{root}/landing/{n}", df.schema, f"{root}/out/{n}") for n, df in tables.items()}, f"{root}/progress")
+    handles = ingest_all(spark, {n: (f"{root}/landing/{n}", df.schema, f"{root}/inbox/{n}") for n, df in tables.items()}, f"{root}/progress")
     for h in handles.values():
         h.awaitTermination()
-    parts = [spark.read.parquet(f"{root}/out/{n}").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).select(F.lit(n).alias("source"), "n", "ids")
-             for n in tables]
-    return parts[0].unionByName(parts[1])
+    merge_sources(spark, f"{root}/master", {n: f"{root}/inbox/{n}" for n in tables},
+                  {"company": lambda *a: upsert_rows(*a, parts=PARTS), "court": lambda *a: merge_court_batch(*a, in_id="b_id")})
+    return shown(read_master(spark, f"{root}/master"), "identity_key", "is_current")
 
 
 # ------------------------------------------------------------------ T4
@@ -142,32 +167,79 @@ from (select *, {IDENTITY_SQL} as identity_key,
              {{'r': {RANK_SQL}, 'd': date '9999-12-31' - coalesce(removed_on, started_on), 'u': -epoch_us(updated_at), 'id': id}} as order_tuple
       from state)""", "company_history", extra={"state": _REPLAY_STATE}))
 def q_ingest_replay(spark, sf):
-    """T4: a first feed, a court merge of every fifth row, then a feed with newer fetches of every fourth row, older
-    fetches of every sixth, an error page and a payload without id."""
-    from kanon.operators.identity import flag_current
+    """T4 by its job: a first feed; a court batch for every fifth row; then, in a job with a new checkpoint, newer fetches of
+    every fourth row, older fetches of every sixth, an error page and a payload without id."""
     from kanon.plans.landing import detail_payloads
-    from kanon.streaming.jobs import detail_rows, refresh
+    from kanon.streaming.jobs import merge_court_batch, run_ingest
 
     root = _fresh(spark, "replay")
+    at = lambda df, t: df.select("page_key", "content", F.lit(t).cast("timestamp_ntz").alias("fetched_at"))
 
-    def kept(df, name):
-        """As in the stream, each step reads what the one before has written."""
+    def feed(df, name):
         df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
+        run_ingest(spark, f"{root}/{name}", f"{root}/master", f"{root}/progress/{name}", df.schema, parts=PARTS).awaitTermination()
 
-    at = lambda df, t: df.withColumn("fetched_at", F.lit(t).cast("timestamp_ntz"))
-    pages = kept(detail_payloads(spark, sf).repartition("page_key"), "pages")
-    rows = kept(detail_rows(at(pages, _T[1]))[0], "rows")
+    pages = detail_payloads(spark, sf)
+    feed(at(pages.repartition("page_key"), _T[1]), "first")
     number = F.substr("ceidg_id", F.lit(2)).cast("bigint")
-    court = number % 5 == 0
-    master = kept(flag_current(rows.withColumn("krs_number", F.when(court, F.lpad(number.cast("string"), 10, "0")))
-                          .withColumn("legal_form", F.when(court, "FUNDACJA").otherwise(F.col("legal_form")))
-                          .withColumn("registry_sources", F.when(court, F.array(F.lit("CEIDG"), F.lit("KRS"))).otherwise(F.col("registry_sources")))), "master")
-    status = lambda s: F.regexp_replace("content", '"status":"[A-Z]+"', f'"status":"{s}"')
-    newer = at(pages.filter("page_key % 4 = 0").withColumn("content", status("ZAWIESZONY")), _T[2])
-    older = at(pages.filter("page_key % 6 = 0").withColumn("content", status("WYKRESLONY")), _T[0])
+    court = (read_master(spark, f"{root}/master").filter(number % 5 == 0)
+             .select(F.lpad(number.cast("string"), 10, "0").alias("krs_number"), F.lit("FUNDACJA").alias("legal_form"), F.array(F.lit("KRS")).alias("registry_sources"), "id"))
+    merge_court_batch(spark, court, f"{root}/master", "court", 0, in_id="krs_number", matched=court.select("krs_number", "id"))
+    pages = spark.read.parquet(f"{root}/first").select("page_key", "content")
+    status = lambda s: F.regexp_replace("content", '"status":"[A-Z]+"', f'"status":"{s}"').alias("content")
+    newer = at(pages.filter("page_key % 4 = 0").select("page_key", status("ZAWIESZONY")), _T[2])
+    older = at(pages.filter("page_key % 6 = 0").select("page_key", status("WYKRESLONY")), _T[0])
     broken = at(spark.range(2).select((-F.col("id") - 1).alias("page_key"), F.when(F.col("id") == 0, "<html>").otherwise("{}").alias("content")), _T[2])
-    again = kept(detail_rows(newer.unionByName(older).unionByName(broken))[0], "again")
-    out = refresh(master, again)
-    return out.select("ceidg_id", "krs_number", "status", "updated_at", "first_seen_at", "legal_form",
-                      F.concat(F.lit("{"), F.array_join("registry_sources", ","), F.lit("}")).alias("registry_sources"), "identity_key", "is_current")
+    feed(newer.unionByName(older).unionByName(broken), "again")
+    return read_master(spark, f"{root}/master").select(
+        "ceidg_id", "krs_number", "status", "updated_at", "first_seen_at", "legal_form",
+        F.concat(F.lit("{"), F.array_join("registry_sources", ","), F.lit("}")).alias("registry_sources"), "identity_key", "is_current")
+
+
+# ------------------------------------------------------------------ T6 – T9 as streams over many files
+@query("feed_first_seen", """
+select event_type || ':' || user_id as id, count(distinct cast(ts as date)) as days from events group by 1""")
+def q_feed_first_seen(spark, sf):
+    """T6 as a stream: an id is reported once a day, and forgotten when the day is over. The feed comes in pieces by time."""
+    from kanon.streaming.jobs import file_stream, run_first_seen
+
+    root = _fresh(spark, "first-seen")
+    e = read_table(spark, sf, "events")
+    feed = e.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
+    lo, hi = feed.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / 5
+    for k in range(6):  # a file stream takes files by time of arrival
+        piece = feed.filter((F.col("ts") >= lo + k * step) & (F.col("ts") < lo + (k + 1) * step))
+        piece.repartition(2, "id").write.mode("append").parquet(f"{root}/feed")
+    out, _ = run_first_seen(file_stream(spark, f"{root}/feed", feed.schema, max_files=2), "id", "23 hours", root)
+    return out.groupBy("id").agg(F.count("*").alias("days"))
+
+
+@query("daily_rollup_late", """
+select cast(ts as date) as day, count(*) as numbers, count(*) filter (where value >= 10) as imported,
+       count(*) filter (where event_type = 'error') as failed
+from events group by 1""")
+def q_daily_rollup_late(spark, sf):
+    """T7 as a stream over pieces that come out of order: late rows are rolled up apart and merged back."""
+    from kanon.streaming.jobs import daily_rollup, file_stream, run_rollup
+
+    root = _fresh(spark, "rollup")
+    e = read_table(spark, sf, "events")
+    e.repartition(6, F.dayofmonth("ts")).write.parquet(f"{root}/feed")
+    return run_rollup(file_stream(spark, f"{root}/feed", e.schema, max_files=2), daily_rollup, root, "1 day")["merged"]
+
+
+@query("debit_replay", DEBIT_ORACLE)
+def q_debit_replay(spark, sf):
+    """T9 as a stream: requests arrive in four pieces by time, each is folded from the balances that the one before left."""
+    from kanon.plans.billing import requests_with_cost
+    from kanon.streaming.jobs import file_stream, run_debit
+
+    root = _fresh(spark, "debit")
+    r = requests_with_cost(spark, sf).select("user_id", "ts", "request_id", "cost")
+    lo, hi = r.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4):
+        piece = r.filter((F.col("ts") >= lo + (hi - lo) * k / 4) & ((F.col("ts") < lo + (hi - lo) * (k + 1) / 4) | F.lit(k == 3)))
+        piece.repartition(2, "user_id").write.mode("append").parquet(f"{root}/feed")
+    run_debit(file_stream(spark, f"{root}/feed", r.schema, max_files=2), root, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/applied").select("request_id", "user_id", "accepted", "balance_after")

@@ -27,10 +27,16 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace the file in one step: readers see the old text or the new one."""
+    sc = spark.sparkContext
     fs, p = _fs(spark, path)
-    out = fs.create(p, True)
+    new = sc._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = fs.create(new, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
+    how = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = sc._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), sc._jsc.hadoopConfiguration()).rename(new, p, how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -79,6 +85,34 @@ def read_snapshot(spark: SparkSession, root: str, current_only: bool = False,
     return df.withColumn("is_current", F.col("is_current").cast("boolean"))
 
 
+#: Columns by which one company is looked up.
+LOOKUP_KEYS = ("nip", "regon", "krs_number")
+
+
+def write_lookup(df: DataFrame, path: str, order: str = "identity_key", keys: tuple[str, ...] = LOOKUP_KEYS, files: int | None = None,
+                 row_group_bytes: int | None = None, expected: int | None = None) -> None:
+    """A copy of the companies for point lookups. Rows are range-partitioned and sorted by ``order``, so row groups
+    hold narrow ranges of it and min / max statistics skip most; ``keys`` also get Bloom filters, which skip
+    row groups whatever the order is. ``expected`` is the number of distinct keys in a file (it sizes the filters)."""
+    rows = df.repartitionByRange(files, order) if files else df.repartitionByRange(order)
+    w = rows.sortWithinPartitions(order).write.mode("overwrite").option("parquet.page.write-checksum.enabled", "false")
+    for k in keys:
+        w = w.option(f"parquet.bloom.filter.enabled#{k}", "true")
+        if expected:
+            w = w.option(f"parquet.bloom.filter.expected.ndv#{k}", expected)
+    if row_group_bytes:
+        w = w.option("parquet.block.size", row_group_bytes)
+    w.parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, **keys: str) -> DataFrame:
+    """Rows with these key values. The comparison is on the stored column as it is, so it reaches the Parquet reader."""
+    df = spark.read.parquet(path)
+    for k, v in keys.items():
+        df = df.filter(F.col(k) == F.lit(v))
+    return df
+
+
 def append_events(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Append-only log (run log, ledger, query log), optionally date-partitioned for retention."""
     w = df.write.mode("append")
@@ -96,7 +130,8 @@ def export(df: DataFrame, columns: list[str], path: str, fmt: str = "csv") -> No
             for c in columns]
     out = df.select(*cols)
     if fmt == "csv":
-        out.write.mode("overwrite").option("header", True).csv(path)
+        # quotes are doubled, as every CSV reader expects them
+        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         out.write.mode("overwrite").parquet(path)
 

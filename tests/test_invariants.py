@@ -9,6 +9,7 @@ from conftest import SF_SMALL, rows
 from kanon.operators import aggregates as AG
 from kanon.operators import billing as B
 from kanon.operators import merge as MG
+from kanon.operators.names import near_pairs
 from kanon.operators import rates as R
 from kanon.operators.identity import flag_current, flag_current_window
 from kanon.sources.bindings import company_history
@@ -132,5 +133,48 @@ def test_names_without_a_block_have_candidates(spark):
     assert near == {("Zakład Krawiecki Nowak", "ZAKLAD KRAWIECKI NOWAK"): 0, ("Piekarnia Złoty Kłos", "Piekarnia Zloty Klos 7"): 1,
                     ("Kowalski", "Kowalsky"): 1, ("Firma 12", "Firma 12"): 0, ("Firma 12", "Firma"): 2}
     common = [f"Sklep {c}" for c in "abcdefghijklmnop"]
-    got = rows(MG.name_candidates(df(common), df(common), "name", "name", blk, blk, max_names=3))
-    assert sorted(got) == [(n, n, 0) for n in common]
+    got = rows(MG.name_candidates(df(common), df(common), "name", "name", blk, blk))
+    assert sorted(got) == sorted((x, y, int(x != y)) for x in common for y in common)
+
+
+def _names(rng, n):
+    words = ["zakład", "usługowy", "przedsiębiorstwo", "handlowo", "produkcyjne", "transport", "nowak", "kowalski", "sp z oo", "x"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 5))) + rng.choice(["", " a", " ab", " 7", " krawiec", " krawcowa"]) for _ in range(n)]
+
+
+def _typed(rng, s):
+    for _ in range(rng.randrange(0, 4)):
+        i, c = rng.randrange(len(s) + 1), rng.choice("abxz")
+        s = rng.choice([s[:i] + c + s[i:], s[:i] + s[i + 1:], s[:i] + c + s[i + 1:]])
+    return s
+
+
+def test_near_names_are_all_pairs(spark):
+    """Recall 1.0 and nothing else against all pairs, whatever is hot: names share words, and segments are refined and
+    salted from two names on."""
+    import duckdb
+
+    rng = random.Random(8)
+    a = sorted(set(_names(rng, 2500)))
+    b = sorted({_typed(rng, rng.choice(a)) for _ in range(2500)})
+    A, Bs = (spark.createDataFrame([(x,) for x in names] + [(None,)], f"{k} string") for k, names in (("a", a), ("b", b)))
+    con = duckdb.connect()
+    fold = str.maketrans("ąćęłńóśźż", "acelnoszz")
+    con.execute("create table a (a varchar, k varchar)")
+    con.execute("create table b (b varchar, k varchar)")
+    con.executemany("insert into a values (?, ?)", [(x, x.translate(fold)) for x in a])
+    con.executemany("insert into b values (?, ?)", [(x, x.translate(fold)) for x in b])
+    all_pairs = con.execute("select a.k, b.k, levenshtein(a.k, b.k) from a, b where abs(length(a.k) - length(b.k)) <= 2 and levenshtein(a.k, b.k) <= 2").fetchall()
+    A, Bs = A.select(F.translate("a", "ąćęłńóśźż", "acelnoszz").alias("a")), Bs.select(F.translate("b", "ąćęłńóśźż", "acelnoszz").alias("b"))
+    for d, hot in ((2, 2), (2, 1000), (1, 5), (0, 1)):
+        got = {tuple(r) for r in near_pairs(A, Bs, "a", "b", d, hot).collect()}
+        assert got == {p for p in all_pairs if p[2] <= d}, (d, hot)
+
+
+def test_names_that_share_all_but_a_letter(spark):
+    """230 names on each side without a block, one letter apart: none is lost."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tags = [x + y for x in letters for y in letters][:230]
+    df = lambda c: spark.createDataFrame([(f"Zaklad {t}{c} Uslugowy", None) for t in tags], "name string, blk string")
+    got = {(r[0], r[1]): r[2] for r in MG.name_candidates(df("q"), df("z"), "name", "name", F.col("blk"), F.col("blk")).collect()}
+    assert all(got[(f"Zaklad {t}q Uslugowy", f"Zaklad {t}z Uslugowy")] == 1 for t in tags)
