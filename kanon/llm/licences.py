@@ -2,10 +2,11 @@
 
 Word windows of half to twice the length of each short licence notice slide over every whole text and are compared
 with it by the cosine of TF-IDF vectors; line breaks do not matter. The best one at ``header_min`` or more is the
-document's own licence. A document whose whole text reaches ``file_min`` against a notice or the text of a whole
-licence (``licence_texts``) is a licence file and speaks for itself and its directory:
-documents without an own licence inherit from the nearest ancestor directory (their own first) that has a
-licence file.
+document's own licence; an SPDX line names it outright, whatever its id. A notice that is denied ("not licensed under") is
+no notice. A document whose whole text reaches ``file_min`` against the text of a whole
+licence (``licence_texts``) and holds most of its words, or that holds the opening of a Creative Commons legal code, is a licence file and speaks for
+itself and its directory: documents without an own licence inherit from the nearest ancestor directory (their own first)
+that has a licence file. A notice speaks for its own document only.
 
 Document frequencies of the template words are counted over all documents; a word outside the templates
 weighs like a word found in one document. The bounds that skip windows and templates are exact: a cosine of
@@ -19,7 +20,8 @@ BSD conditions are the two-clause licence.
 
 Defined cases: null text has no licence but inherits; null path parts become ``_``; among equal scores
 the template first in order wins, among licence files of one directory the best score, then the smallest
-id; repeated rows are kept; an empty table gives no rows; other columns are not read.
+id; repeated rows are kept; an empty table gives no rows; columns other than ``doc_id``, ``text`` and those of the
+directory are not read, and ``source`` and ``lang`` may be absent.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from kanon.llm.common import map_arrow, written
 
 HEADER_MIN = 0.75
 FILE_MIN = 0.6
+#: Share of a whole licence (of its squared vector) that the words of a licence file make up; a notice has less.
+FILE_HELD = 0.8
 
 def _gnu(kind: str, what: str, version: str) -> list[str]:
     letter = {"Affero ": "A", "": ""}.get(kind, "L")
@@ -45,7 +49,8 @@ def _gnu(kind: str, what: str, version: str) -> list[str]:
         f"This work is licensed under the GNU {kind}General Public License, version {version}.",
         f"Licensed under the GNU {letter}GPL v{version}.",
         f"Licensed under the GNU {letter}GPLv{version}.",
-        f"SPDX-License-Identifier: {letter}GPL-{version if '.' in version else version + '.0'}-or-later",
+        f"Licensed under the {letter}GPL version {version}.",
+        f"Licensed under {letter}GPL version {version} or any later version.",
         f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
     ]
 
@@ -85,6 +90,11 @@ TEMPLATES = {
     ],
     "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"],
     **_creative_commons("4.0", "International"), **_creative_commons("3.0", "Unported"), **_creative_commons("2.5", "Generic"), **_creative_commons("2.0", "Generic"),
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2.", "Licensed under the European Union Public Licence EUPL, Version 1.2."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
+    "Zlib": ["Released under the zlib license.", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. zlib license"],
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0."],
 }
 
@@ -104,7 +114,8 @@ TEXTS = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "
 VOCABULARY = frozenset(w for t in [*(t for texts in TEMPLATES.values() for t in texts), *TEXTS.values()] for w in words_of(t))
 
 # Words that name a family (a notice's must be there) and words that name a variant (no others may be).
-FAMILIES = {"mit": "mit", "apache": "apache", "bsd": "bsd", "isc": "isc", "mozilla": "mozilla", "mpl": "mozilla", "gnu": "gnu", "gpl": "gnu", "agpl": "gnu", "lgpl": "gnu", "cc": "cc", "creative": "cc", "cc0": "cc0"}
+FAMILIES = {"mit": "mit", "apache": "apache", "bsd": "bsd", "isc": "isc", "mozilla": "mozilla", "mpl": "mozilla", "gnu": "gnu", "gpl": "gnu", "agpl": "gnu", "lgpl": "gnu", "cc": "cc", "creative": "cc", "cc0": "cc0",
+            "eupl": "eupl", "epl": "eclipse", "eclipse": "eclipse", "bsl": "boost", "boost": "boost", "unlicense": "unlicense", "unencumbered": "unlicense", "zlib": "zlib"}
 VARIANTS = {
     "affero": "affero", "agpl": "affero", "lesser": "lesser", "lgpl": "lesser", "sharealike": "sa", "alike": "sa", "sa": "sa", "noncommercial": "nc", "commercial": "nc",
     "nc": "nc", "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "nd": "nd", "clause": "clause",
@@ -152,7 +163,6 @@ class Matcher:
         self.templates: list[tuple[str, dict[str, float]]] = []
         self.own_needed: list[set[str]] = []
         self.lengths: list[list[int]] = []
-        self.needed: set[str] = set()
         for name, texts in TEMPLATES.items():
             for t in texts:
                 v = self._vector(t)
@@ -166,7 +176,6 @@ class Matcher:
                     needed.add(w)
                     rest -= x * x
                 self.own_needed.append(needed)
-                self.needed |= needed
                 n_words = len(words_of(t))
                 self.lengths.append(sorted({max(1, round(n_words * k)) for k in WINDOW_SHARES}))
         self.files = [(name, self._vector(t)) for name, t in TEXTS.items()]
@@ -181,22 +190,9 @@ class Matcher:
         have, need = deciders(words), self.decide[k]
         return have[0] >= need[0] and have[1] == need[1]
 
-    def best(self, words: list[str]) -> tuple[float, str | None]:
-        """Highest cosine over the templates and its name."""
-        if self.needed.isdisjoint(words):
-            return 0.0, None
-        v = {w: (1 + math.log(c)) * self.idf.get(w, self.other) for w, c in Counter(words).items()}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        top: tuple[float, str | None] = (0.0, None)
-        for k, (name, t) in enumerate(self.templates):
-            s = _dot(v, t) / size
-            if s > top[0] + 1e-12 and self.fits(k, words):
-                top = (s, name)
-        return top
-
     def best_file(self, words: list[str], held: frozenset[str], file_min: float) -> tuple[float, str | None]:
         """Highest cosine at ``file_min`` or more of a whole text over the whole licences, and its name."""
-        could = [(name, t) for name, t in self.files if _mass(t, held) >= file_min * file_min - 1e-9]
+        could = [(name, t) for name, t in self.files if _mass(t, held) >= max(FILE_HELD, file_min * file_min) - 1e-9]
         if not could:
             return 0.0, None
         v = {w: (1 + math.log(c)) * self.idf.get(w, self.other) for w, c in Counter(words).items()}
@@ -253,22 +249,58 @@ class Matcher:
 
     def scan(self, text: str | None, header_min: float, file_min: float) -> tuple[str | None, float, str | None, float]:
         """(own licence, its score, licence as a file, its score) of a whole text."""
-        words = words_of(text or "")
+        text = without_denials(text or "")
+        words = words_of(text)
         held = VOCABULARY.intersection(words)
         own: tuple[float, str | None] = (0.0, None)
         floor = self.least * self.least - 1e-9
         for k, (name, t) in enumerate(self.templates):
             if _mass(t, held) >= floor:
                 own = max(own, (self.slide(words, k), name), key=lambda x: x[0])
-        whole = self.best(words) if own[0] else (0.0, None)
-        file = self.best_file(words, held, file_min)
-        if file[0] > whole[0]:  # a whole licence speaks for itself
-            whole = own = file
+        named_outright = spdx_id(text)
+        if named_outright:
+            own = (1.0, named_outright)
+        whole = legal_code(text, words) or self.best_file(words, held, file_min)
+        file = whole if whole[0] else None
+        if file:  # a whole licence speaks for itself
+            own = file
         mine = own if own[0] >= min(header_min, file_min if own is file else header_min) else (0.0, None)
-        named = lambda x: _bsd(held) if x[1] == "BSD-3-Clause" and not _three(words) else x[1]
+        named = lambda x: _bsd(held) if x[1] == "BSD-3-Clause" and not named_outright and not _three(words) else x[1]
         return named(mine), mine[0], *((named(whole), whole[0]) if whole[0] >= file_min else (None, 0.0))
 
 
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(*[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)", re.I)
+SPDX_SUFFIX = re.compile(r"(-or-later|-only|\+)$", re.I)
+DENIED = re.compile(
+    r"\b(?:not|never|no longer|n['’]t)\s+(?:\w+\s+){0,2}?(?:licen[sc]ed|released|distributed|available|covered|provided|published)\s+(?:\w+\s+){0,2}?under\b(?:(?!\bbut\b|[.;](?:\s|$)).)*",
+    re.I | re.S,
+)
+LEGAL_CODE = re.compile(r"conditions of this creative commons (attribution(?:-noncommercial)?(?:-noderivatives|-sharealike)?) ([0-9.]+) (?:international|unported|generic) public license")
+LEGAL_CODE_WORDS = 300
+
+
+def spdx_id(text: str) -> str | None:
+    """The (first) id of an SPDX line; forms of one version are that version."""
+    m = SPDX.search(text)
+    return SPDX_SUFFIX.sub("", m[1].rstrip(".")) if m else None
+
+
+def without_denials(text: str) -> str:
+    """``text`` without "not licensed under ..." up to "but" or the end of the sentence."""
+    return DENIED.sub(" ", text) if "under" in text.lower() else text
+
+
+def legal_code(text: str, words: list[str]) -> tuple[float, str] | None:
+    """A Creative Commons legal code, known by the sentence that opens it."""
+    if len(words) < LEGAL_CODE_WORDS or "creative commons" not in text.lower():
+        return None
+    m = LEGAL_CODE.search(" ".join(text.lower().split()))
+    if m is None:
+        return None
+    kind = m[1].replace("attribution", "BY").replace("noncommercial", "NC").replace("noderivatives", "ND").replace("sharealike", "SA")
+    return 1.0, f"CC-{kind}-{m[2]}"
+
+
 def _dot(a: dict[str, float], b: dict[str, float]) -> float:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     return sum(x * large[w] for w, x in small.items() if w in large)
@@ -288,10 +320,11 @@ def _three(words: list[str]) -> bool:
     return any(a == "3" and b == "clause" for a, b in zip(words, words[1:]))
 
 
-def document_path() -> Column:
+def document_path(columns: tuple[str, ...] = ("source", "lang")) -> Column:
     """Directory of a document where the table has no path: source / language / block of 64 ids; every eighth document
-    lies in its language's directory and every 64th in its source's, so ancestors hold files."""
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    lies in its language's directory and every 64th in its source's, so ancestors hold files. A part whose column is not
+    in ``columns`` is ``_``."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_")) if c in columns else F.lit("_")
     i = F.col("doc_id")
     block = F.coalesce(F.floor(i / 64).cast("string"), F.lit("_"))
     return F.concat_ws("/", part("source"), F.when(i.isNull() | (F.pmod(i, F.lit(64)) != 0), part("lang")), F.when(i.isNull() | (F.pmod(i, F.lit(8)) != 0), block))
@@ -310,7 +343,7 @@ def licences(docs: DataFrame, directory: Column | None = None, header_min: float
     def run(rows: list[tuple]) -> list[tuple]:
         return [(i, d, *matcher.scan(text, header_min, file_min)) for i, d, text in rows]
 
-    table = docs.select("doc_id", (document_path() if directory is None else directory).alias("directory"), "text")
+    table = docs.select("doc_id", (document_path(tuple(docs.columns)) if directory is None else directory).alias("directory"), "text")
     found = written(map_arrow(table, run, SCHEMA), "licences")
     return inherit(found)
 

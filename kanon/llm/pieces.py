@@ -259,10 +259,6 @@ class Unigram:
         check[0] = -2  # the root is nobody's child
         return np.array(self.trie.base), check, np.array(self.trie.value), score, byte_id
 
-    @cached_property
-    def piece_bytes(self) -> dict[int, bytes]:
-        return {i: bytes((self.id_byte[i],)) if i in self.id_byte else p.encode() for i, p in enumerate(self.pieces)}
-
     def units(self, text: str) -> list[str]:
         """Parts of the marked text that are segmented by themselves."""
         if not text:
@@ -282,9 +278,25 @@ class Unigram:
                 out += self.viterbi(u)
         return out
 
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that each id stands for (markers are spaces), one after the other, with their starts and lengths."""
+        spelled = [bytes((self.id_byte[i],)) if i in self.id_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        sizes = np.array([len(x) for x in spelled], np.int64)
+        return np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of the texts of rows whose ids stand one after the other: row k has ids ``ends[k]..ends[k + 1]``. The marker
+        in front of a text is taken off."""
+        blob, starts, sizes = self.spelled
+        n = sizes[ids]
+        after = np.concatenate(([0], np.cumsum(n)))
+        raw = blob[np.repeat(starts[ids] - after[:-1], n) + np.arange(after[-1])].tobytes()
+        cut = after[ends].tolist()
+        return [raw[a + 1 : b] for a, b in zip(cut, cut[1:], strict=False)]
+
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(bytes((self.id_byte[i],)) if i in self.id_byte else self.pieces[i].replace(MARK, " ").encode() for i in ids)
-        return raw.decode()[1:] if raw else ""
+        return self.decode_rows(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode()
 
 
 # A run of markers with what follows up to the next marker.
@@ -300,14 +312,13 @@ SCHEMA = StructType([StructField("doc_id", LongType()), StructField("n_tokens",
 
 
 def encode_documents(docs: DataFrame, path: str = DEFAULT_MODEL, scores: str = "zipf") -> DataFrame:
-    """One row per document: token ids, their number, and whether decoding gives the text back."""
+    """One row per document: token ids, their number, and whether decoding the row's ids gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, scores)
         is_byte = np.zeros(len(m.pieces), bool)
         is_byte[list(m.id_byte)] = True
         known: dict[str, bytes] = {}
-        wrong: set[str] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -318,25 +329,23 @@ def encode_documents(docs: DataFrame, path: str = DEFAULT_MODEL, scores: str = "
                 new = list({u for units in cut if units for u in units if u not in known})
                 for u, ids in zip(new, m.viterbi_batch(new), strict=True):
                     known[u] = ids
-                    if b"".join(map(m.piece_bytes.__getitem__, np.frombuffer(ids, np.int32).tolist())) != u.encode():
-                        wrong.add(u)
                 rows = []
                 for text, units in zip(texts, cut, strict=True):
                     if text is None:
-                        rows.append((None, True))
+                        rows.append(None)
                     elif units is None:
-                        ids = m.encode(text)
-                        rows.append((np.array(ids, np.int32), m.decode(ids) == text))
+                        rows.append(np.array(m.encode(text), np.int32))
                     else:
-                        rows.append((np.frombuffer(b"".join([known[u] for u in units]), np.int32), not wrong or wrong.isdisjoint(units)))
-                sizes = [0 if r[0] is None else len(r[0]) for r in rows]
-                values = np.concatenate([r[0] for r in rows if r[0] is not None] or [np.zeros(0, np.int32)])
-                ends = np.concatenate(([0], np.cumsum(sizes)))
+                        rows.append(np.frombuffer(b"".join([known[u] for u in units]), np.int32))
+                sizes = [0 if r is None else len(r) for r in rows]
+                values = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)])
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+                back = [raw == (text or "").encode() for raw, text in zip(m.decode_rows(values, ends), texts, strict=True)]
                 bytes_before = np.concatenate(([0], np.cumsum(is_byte[values])))
-                none = pa.array([r[0] is None for r in rows])
+                none = pa.array([r is None for r in rows])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=none)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(bytes_before[ends[1:]] - bytes_before[ends[:-1]], pa.int64()), pa.array([r[1] for r in rows]), ids],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(bytes_before[ends[1:]] - bytes_before[ends[:-1]], pa.int64()), pa.array(back), ids],
                     names=SCHEMA.fieldNames(),
                 )
 
@@ -350,6 +359,9 @@ def decode_ids(encoded: DataFrame, path: str = DEFAULT_MODEL, scores: str = "zip
 
     def run(rows: list[tuple]) -> list[tuple]:
         m = model(path, scores)
-        return [(i, None if ids is None else m.decode(ids)) for i, ids in rows]
+        ids = [r[1] or [] for r in rows]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+        texts = m.decode_rows(np.array([x for y in ids for x in y], np.int64), ends)
+        return [(i, None if own is None else raw.decode()) for (i, own), raw in zip(rows, texts, strict=True)]
 
     return map_arrow(encoded.select("doc_id", "ids"), run, StructType([StructField("doc_id", LongType()), StructField("text", StringType())]))

@@ -17,7 +17,7 @@ with the largest inner product, and distances can be split by hyperplanes.
    that finds ``recall`` of their true neighbours. So it follows the data: few bins where vectors lie in
    groups, many where they fill the space evenly (then no index helps much, and the figures show it).
 5. Rerank: queries meet the vectors of an opened bin (a bin that no plane can split is dealt over salts), all
-   inner products are computed, the best of each go on, and what is returned is computed from the original vectors in
+   inner products are computed, each task hands on the best of each query over its bins, and what is returned is computed from the original vectors in
    double precision, one component after the other.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id and
@@ -44,6 +44,8 @@ from kanon.llm.common import written
 #: Nodes beyond k that go on to the exact rerank, so that rounding in the matrix product cannot matter.
 SPARE = 4
 MAX_BITS = 24
+#: Hits that a task holds before it hands them on.
+HELD = 1 << 20
 
 
 @dataclass
@@ -176,6 +178,60 @@ def _hits(q: np.ndarray, node: np.ndarray, scores: np.ndarray, keep: int) -> pa.
     return pa.table({"q": q[a], "node": node[b], "score": np.round(scores[a, b], 12)})
 
 
+def _scored(batches: Iterator[pa.RecordBatch], keep: int, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Inner products within every bin. Rows come sorted by (bin, salt), vectors before queries; a bin's vectors are held while
+    its queries pass, and the best of each query are gathered over all bins of the task before they go on."""
+    at: tuple[int, int] | None = None
+    vectors: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    parts: list[pa.Table] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = [b.column(c).to_numpy() for c in ("bin", "salt", "asks")]
+        node, v = b.column("node").to_numpy(), _matrix(b.column("v"))
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        for run in np.split(np.arange(b.num_rows), cuts):
+            here = int(key[0][run[0]]), int(key[1][run[0]])
+            if here != at:
+                at, vectors, nodes = here, [], []
+            if not key[2][run[0]]:
+                vectors.append(v[run])
+                nodes.append(node[run])
+                continue
+            if not vectors:
+                continue
+            if len(vectors) > 1:
+                vectors, nodes = [np.concatenate(vectors)], [np.concatenate(nodes)]
+            for k in range(0, len(run), 512):
+                some = run[k : k + 512]
+                parts.append(_hits(node[some], nodes[0], v[some] @ vectors[0].T, keep))
+                size += parts[-1].num_rows
+            if size > held:
+                table = _compact(parts, keep)
+                if table.num_rows > held // 2:
+                    yield from table.to_batches()
+                    table = table.slice(0, 0)
+                parts, size = [table], table.num_rows
+    if parts:
+        yield from _compact(parts, keep).to_batches()
+
+
+def _compact(parts: list[pa.Table], keep: int) -> pa.Table:
+    """The ``keep`` best nodes of each query, each once."""
+    table = pa.concat_tables(parts)
+    q, node, score = (table.column(c).to_numpy() for c in ("q", "node", "score"))
+    order = np.lexsort((node, -score, q))
+    q, node, score = q[order], node[order], score[order]
+    once = np.append(True, (q[1:] != q[:-1]) | (node[1:] != node[:-1]))[: len(q)]
+    q, node, score = q[once], node[once], score[once]
+    first = np.append(True, q[1:] != q[:-1])[: len(q)]
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    top = place < keep
+    return pa.table({"q": q[top], "node": node[top], "score": score[top]})
+
+
 def _leading(hits: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` nodes of each query with the largest scores; a node that several trees found counts once."""
     place = F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))
@@ -229,16 +285,9 @@ def nearest(
     index = index.join(hot, "bin", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("node"), F.col("salts")), F.lit(0))).drop("salts")
     wanted = wanted.join(hot, "bin", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
 
-    def scored(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows or not held.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, node = _matrix(held.column("v").combine_chunks()), held.column("node").to_numpy()
-        q = asked.column("node").to_numpy()
-        parts = [_hits(q[at : at + 512], node, _matrix(asked.column("v").slice(at, 512).combine_chunks()) @ x.T, keep) for at in range(0, len(q), 512)]
-        return pa.concat_tables(parts)
-
-    hits = wanted.groupBy("bin", "salt").cogroup(index.groupBy("bin", "salt")).applyInArrow(scored, HIT)
-    best = written(_leading(hits, keep), "leading")
+    met = index.withColumn("asks", F.lit(0)).unionByName(wanted.withColumn("asks", F.lit(1)))
+    met = met.repartition("bin", "salt").sortWithinPartitions("bin", "salt", "asks").select("bin", "salt", "asks", "node", "v")
+    best = written(_leading(met.mapInArrow(lambda batches: _scored(batches, keep), HIT), keep), "leading")
 
     # Exact measure on the original vectors, then the ids behind each node in the order of the result.
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
