@@ -17,7 +17,9 @@ with the largest inner product, and distances can be split by hyperplanes.
    that finds ``recall`` of their true neighbours. So it follows the data: few bins where vectors lie in
    groups, many where they fill the space evenly (then no index helps much, and the figures show it).
 5. Rerank: queries meet the vectors of an opened bin (a bin that no plane can split is dealt over salts), all
-   inner products are computed, each task hands on the best of each query over its bins, and what is returned is computed from the original vectors in
+   inner products are computed, and each task hands on the best of each query over its bins. The first bins of each query
+   go first: the last of the best that they give is a floor, below which nothing of the other bins is
+   handed on. What is returned is computed from the original vectors in
    double precision, one component after the other.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id and
@@ -44,6 +46,8 @@ from kanon.llm.common import written
 #: Nodes beyond k that go on to the exact rerank, so that rounding in the matrix product cannot matter.
 SPARE = 4
 MAX_BITS = 24
+#: Share (one in so many) of a query's bins that give its floor.
+HEAD = 8
 #: Hits that a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -161,21 +165,21 @@ def _valid(df: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (size[0]["d"] if size else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _best_of(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) places of the ``keep`` largest of each row of ``scores``, all that tie with the last one included."""
+def _best_of(scores: np.ndarray, keep: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places of the ``keep`` largest of each row of ``scores``, all that tie with the last one included, as far
+    as they reach the row's floor."""
     n = scores.shape[1]
-    if n <= keep:
-        return np.divmod(np.arange(scores.size), max(n, 1))
-    edge = np.partition(scores, n - keep, axis=1)[:, n - keep]
+    edge = floor if n <= keep else np.maximum(floor, np.partition(scores, n - keep, axis=1)[:, n - keep])
     return np.nonzero(scores >= edge[:, None])
 
 
 HIT = StructType([StructField("q", LongType()), StructField("node", LongType()), StructField("score", DoubleType())])
 
 
-def _hits(q: np.ndarray, node: np.ndarray, scores: np.ndarray, keep: int) -> pa.Table:
-    a, b = _best_of(scores, keep)
-    return pa.table({"q": q[a], "node": node[b], "score": np.round(scores[a, b], 12)})
+def _hits(q: np.ndarray, node: np.ndarray, scores: np.ndarray, keep: int, floor: np.ndarray | None = None) -> pa.Table:
+    scores = np.round(scores, 12)
+    a, b = _best_of(scores, keep, np.full(len(q), -np.inf) if floor is None else floor)
+    return pa.table({"q": q[a], "node": node[b], "score": scores[a, b]})
 
 
 def _scored(batches: Iterator[pa.RecordBatch], keep: int, held: int = HELD) -> Iterator[pa.RecordBatch]:
@@ -190,7 +194,7 @@ def _scored(batches: Iterator[pa.RecordBatch], keep: int, held: int = HELD) -> I
         if not b.num_rows:
             continue
         key = [b.column(c).to_numpy() for c in ("bin", "salt", "asks")]
-        node, v = b.column("node").to_numpy(), _matrix(b.column("v"))
+        node, v, floor = b.column("node").to_numpy(), _matrix(b.column("v")), b.column("floor").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
         for run in np.split(np.arange(b.num_rows), cuts):
             here = int(key[0][run[0]]), int(key[1][run[0]])
@@ -206,7 +210,7 @@ def _scored(batches: Iterator[pa.RecordBatch], keep: int, held: int = HELD) -> I
                 vectors, nodes = [np.concatenate(vectors)], [np.concatenate(nodes)]
             for k in range(0, len(run), 512):
                 some = run[k : k + 512]
-                parts.append(_hits(node[some], nodes[0], v[some] @ vectors[0].T, keep))
+                parts.append(_hits(node[some], nodes[0], v[some] @ vectors[0].T, keep, floor[some]))
                 size += parts[-1].num_rows
             if size > held:
                 table = _compact(parts, keep)
@@ -275,19 +279,31 @@ def nearest(
                 part = b.slice(at, 64)
                 bins = [[x for x, _ in zip(shared.value.opened(q), range(budget), strict=False)] for q in _matrix(part.column("v"))]
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in bins]))
-                yield pa.RecordBatch.from_arrays([pa.array([x for y in bins for x in y], pa.int64()), part.column("node").take(row), part.column("v").take(row)], names=["bin", "node", "v"])
+                turn = pa.array([i for y in bins for i in range(len(y))], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([x for y in bins for x in y], pa.int64()), part.column("node").take(row), part.column("v").take(row), turn], names=["bin", "node", "v", "turn"])
 
     schema = "bin long, node long, v array<double>"
     index = written(nodes.select("node", "v").mapInArrow(binned, schema), "bins")
-    wanted = searched.mapInArrow(sought, schema)
+    wanted = searched.mapInArrow(sought, schema + ", turn int")
     # A bin that no plane splits is dealt over salts; its queries go to each of them.
     hot = index.groupBy("bin").count().where(F.col("count") > 8 * leaf_rows).select("bin", F.ceil(F.col("count") / (4 * leaf_rows)).cast("int").alias("salts"))
     index = index.join(hot, "bin", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("node"), F.col("salts")), F.lit(0))).drop("salts")
     wanted = wanted.join(hot, "bin", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
 
-    met = index.withColumn("asks", F.lit(0)).unionByName(wanted.withColumn("asks", F.lit(1)))
-    met = met.repartition("bin", "salt").sortWithinPartitions("bin", "salt", "asks").select("bin", "salt", "asks", "node", "v")
-    best = written(_leading(met.mapInArrow(lambda batches: _scored(batches, keep), HIT), keep), "leading")
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Hits of ``asked`` (with ``floor``) in the bins that they open."""
+        rows = index.withColumn("asks", F.lit(0)).withColumn("floor", F.lit(None).cast("double")).unionByName(asked.withColumn("asks", F.lit(1)))
+        rows = rows.repartition("bin", "salt").sortWithinPartitions("bin", "salt", "asks").select("bin", "salt", "asks", "node", "v", "floor")
+        return rows.mapInArrow(lambda batches: _scored(batches, keep), HIT)
+
+    head = max(1, budget // HEAD)
+    none = F.lit(float("-inf"))
+    best = written(_leading(met(wanted.where(F.col("turn") < head).drop("turn").withColumn("floor", none)), keep), "first")
+    if budget > head:
+        floor = best.groupBy("q").agg(F.when(F.count("*") >= keep, F.min("score")).otherwise(none).alias("floor"))
+        rest = wanted.where(F.col("turn") >= head).drop("turn").join(floor, F.col("node") == F.col("q"), "left").drop("q")
+        best = written(_leading(best.unionByName(met(rest.withColumn("floor", F.coalesce("floor", none)))), keep), "leading")
 
     # Exact measure on the original vectors, then the ids behind each node in the order of the result.
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
