@@ -56,11 +56,10 @@ def fold_accents(c, fold_l_stroke: bool = False) -> Column:
 # A word starts at a letter and runs through letters, marks, numbers and apostrophes;
 # every other character separates words (the culture title-casing rule).
 # Regex word boundaries: word characters are letters, non-spacing marks, digits, connectors.
-WORD_TOKEN = r"([\p{L}\p{Mn}\p{Nd}\p{Pc}]+|[^\p{L}\p{Mn}\p{Nd}\p{Pc}]+)"
 _W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 # a whole word (maximal run of word characters) made only of roman-numeral letters
 ROMAN_WORD = rf"(?i)(?<!{_W})([IVXLCDM]{{2,}})(?!{_W})"
-_ROMAN_OPEN, _ROMAN_CLOSE = "\ue002", "\ue003"
+_OPEN, _CLOSE = "\ue002", "\ue003"
 
 
 # Private-use characters used as in-flight markers (never present in registry text).
@@ -71,6 +70,15 @@ _SHARP_S_PARKED = "\ue001"
 TITLE_START = "(^|[^\\p{L}\\p{M}\\p{N}'" + _SHARP_S_PARKED + "])([\\p{M}\\p{N}']*)([\\p{L}" + _SHARP_S_PARKED + "])"
 
 
+def _each_match(c: Column, pattern: str, change) -> Column:
+    """``change`` applied to group 1 of every match: matches are bracketed, the text is split on the opening
+    bracket (usually one part), and the bracketed prefix of each later part is changed."""
+    parts = F.split(F.regexp_replace(c, pattern, _OPEN + "$1" + _CLOSE), _OPEN)
+    fixed = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
+        change(F.substring_index(p, _CLOSE, 1)), F.substr(p, F.instr(p, _CLOSE) + 1))))
+    return F.array_join(fixed, "")
+
+
 def title_case(c) -> Column:
     """H2: lower, capitalise every word (also after hyphens / digits), then whole words made only of
     ``IVXLCDM`` (2+ letters) upper-cased. ``initcap`` alone differs (``Jastrzębie-zdrój``, ``Ii``).
@@ -81,13 +89,7 @@ def title_case(c) -> Column:
     low = F.translate(F.lower(clean_text(c)), "ß", _SHARP_S_PARKED)
     marked = F.regexp_replace(low, TITLE_START, "$1$2" + _WORD_MARK + " $3")
     titled = F.translate(F.regexp_replace(F.initcap(marked), _WORD_MARK + " ", ""), _SHARP_S_PARKED, "ß")
-    # roman pass: bracket every roman-only word, split on the opening bracket (usually one part),
-    # upper-case the bracketed prefix of each later part
-    bracketed = F.regexp_replace(titled, ROMAN_WORD, _ROMAN_OPEN + "$1" + _ROMAN_CLOSE)
-    parts = F.split(bracketed, _ROMAN_OPEN)
-    fixed = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
-        F.upper(F.substring_index(p, _ROMAN_CLOSE, 1)), F.substr(p, F.instr(p, _ROMAN_CLOSE) + 1))))
-    return F.array_join(fixed, "")
+    return _each_match(titled, ROMAN_WORD, F.upper)
 
 
 person_name = title_case
@@ -176,10 +178,7 @@ SMALL_LEGAL_WORDS = ("Z", "W", "I", "Oraz", "O", "Na", "Pod", "Przy")
 
 def legal_form(c) -> Column:
     """Title case, then the small connective words lower-cased as whole words."""
-    toks = F.regexp_extract_all(title_case(c), F.lit(WORD_TOKEN), 1)
-    return F.array_join(
-        F.transform(toks, lambda t: F.when(t.isin(*SMALL_LEGAL_WORDS), F.lower(t)).otherwise(t)), ""
-    )
+    return _each_match(title_case(c), rf"(?<!{_W})({'|'.join(SMALL_LEGAL_WORDS)})(?!{_W})", F.lower)
 
 
 # ------------------------------------------------------------------ H12 source status

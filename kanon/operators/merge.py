@@ -132,28 +132,22 @@ def fold_incoming(incoming: DataFrame, group: str, seq: str, policy: dict[str, s
     return incoming.groupBy(group).agg(*aggs)
 
 
+def _survivor(kind: str, mc: Column, ic: Column, text: bool) -> Column:
+    """Value of a column of a row that both sides have."""
+    if kind == OVERWRITE:
+        return ic
+    if kind == KEEP_EXISTING:
+        return F.when(present(mc), mc).otherwise(ic) if text else F.coalesce(mc, ic)
+    if kind == PREFER_INCOMING:
+        return F.when(present(ic), ic).otherwise(F.nullif(mc, F.lit(""))) if text else F.coalesce(ic, mc)
+    return F.array_sort(F.array_union(F.coalesce(mc, F.array()), F.coalesce(ic, F.array())))
+
+
 def merge_survivorship(master: DataFrame, incoming: DataFrame, key: str, policy: dict[str, str]) -> DataFrame:
     """Per-column survivorship of one folded incoming row onto its master row (joined on ``key``)."""
-    m = master.alias("m")
-    i = incoming.alias("i")
-    j = m.join(i, F.col(f"m.{key}") == F.col(f"i.{key}"), "inner")
-    out = []
-    for c in master.columns:
-        mc, ic = F.col(f"m.{c}"), F.col(f"i.{c}") if c in policy else None
-        kind = policy.get(c)
-        if c == key or kind is None:
-            out.append(mc.alias(c))
-        elif kind == OVERWRITE:
-            out.append(ic.alias(c))
-        elif kind == KEEP_EXISTING:
-            out.append(F.when(present(mc), mc).otherwise(ic).alias(c) if _is_str(master, c)
-                       else F.coalesce(mc, ic).alias(c))
-        elif kind == PREFER_INCOMING:
-            out.append(F.when(present(ic), ic).otherwise(F.nullif(mc, F.lit(""))).alias(c) if _is_str(master, c)
-                       else F.coalesce(ic, mc).alias(c))
-        elif kind == UNION:
-            out.append(F.array_sort(F.array_union(F.coalesce(mc, F.array()), F.coalesce(ic, F.array()))).alias(c))
-    return j.select(*out)
+    j = master.alias("m").join(incoming.alias("i"), F.col(f"m.{key}") == F.col(f"i.{key}"), "inner")
+    return j.select(*[_survivor(policy[c], F.col(f"m.{c}"), F.col(f"i.{c}"), _is_str(master, c)).alias(c) if c in policy and c != key else F.col(f"m.{c}").alias(c)
+                      for c in master.columns])
 
 
 # What a court row does to each column of the company row that it matches.
@@ -182,14 +176,17 @@ def merge_registry(master: DataFrame, incoming: DataFrame, in_id: str, policy: d
     minted id. ``master_id`` is a string. ``matched`` (in_id, master_id) takes the place of the match by keys."""
     if matched is None:
         matched = match_entities(incoming, master, in_id, master_id).select(in_id, F.col("master_id").alias(master_id))
-    folded = fold_incoming(incoming.join(matched, in_id), master_id, in_id, policy)
-    updated = merge_survivorship(master, folded, master_id, policy)
-    untouched = master.join(folded.select(master_id), master_id, "left_anti").select(*master.columns)
-    alone = incoming.join(matched.select(in_id), in_id, "left_anti").withColumn(master_id, minted_id(in_id))
-    types = dict(master.dtypes)
-    new = fold_incoming(alone, master_id, in_id, policy)
-    new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(types[c]).alias(c) for c in master.columns])
-    return updated.unionByName(untouched).unionByName(new)
+    # every court row is aimed at a row, stored or new, and folded with those aimed at the same one; then the master is
+    # read by one join, which merges, keeps and adds
+    link = matched.select(F.col(in_id).alias("_in"), F.col(master_id).alias("_to"))
+    aimed = incoming.join(link, F.col(in_id) == F.col("_in"), "left").withColumn(master_id, F.coalesce("_to", minted_id(in_id)))
+    folded = fold_incoming(aimed, master_id, in_id, policy)
+    j = master.alias("m").join(folded.alias("i"), F.col(f"m.{master_id}") == F.col(f"i.{master_id}"), "full_outer")
+    stored, met = F.col(f"m.{master_id}"), F.col(f"i.{master_id}").isNotNull()
+    out = [F.coalesce(stored, F.col(f"i.{master_id}")).alias(master_id) if c == master_id
+           else F.when(met, _survivor(policy[c], F.col(f"m.{c}"), F.col(f"i.{c}"), _is_str(master, c))).otherwise(F.col(f"m.{c}")).alias(c) if c in policy
+           else F.col(f"m.{c}").alias(c) for c in master.columns]
+    return j.select(*out)
 
 
 def _filled(df: DataFrame, c: str) -> Column:

@@ -27,18 +27,16 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 def json_counter(details: Column, keys: tuple[str, ...]) -> Column:
     """First of ``keys`` present in the JSON object as an integral number, else NULL."""
-    vals = []
-    for k in keys:
-        raw = F.get_json_object(details, f"$.{k}")
-        vals.append(F.when(raw.rlike(r"^-?[0-9]+\z"), raw.try_cast("bigint")))
-    return F.coalesce(*vals) if len(vals) > 1 else vals[0]
+    # inside a lambda every path is read once; under CASE it would be read again for each use
+    texts = F.array(*[F.get_json_object(details, f"$.{k}") for k in keys])
+    return F.get(F.filter(F.transform(texts, lambda t: F.when(t.rlike(r"^-?[0-9]+\z"), t.try_cast("bigint"))), lambda n: n.isNotNull()), F.lit(0))
 
 
 def records_per_minute(started: Column, finished: Column, imported: Column) -> Column:
     """Imported / elapsed minutes, half-even 2 dp; NULL if unfinished, imported <= 0 or minutes <= 0."""
     micros = micros_ntz(finished) - micros_ntz(started)
-    rate = F.bround(imported.cast("decimal(20,0)") * F.lit(60000000) / micros.cast("decimal(20,0)"), 2)
-    return F.when(finished.isNotNull() & (imported > 0) & (micros > 0), rate.cast("double"))
+    rate = lambda n: F.bround(n.cast("decimal(20,0)") * F.lit(60000000) / micros.cast("decimal(20,0)"), 2).cast("double")
+    return F.get(F.transform(F.array(imported), lambda n: F.when(finished.isNotNull() & (n > 0) & (micros > 0), rate(n))), F.lit(0))
 
 
 def skip_breakdown(kind: Column, skipped: Column) -> Column:

@@ -184,7 +184,7 @@ def q_ingest_replay(spark, sf):
     number = F.substr("ceidg_id", F.lit(2)).cast("bigint")
     court = (read_master(spark, f"{root}/master").filter(number % 5 == 0)
              .select(F.lpad(number.cast("string"), 10, "0").alias("krs_number"), F.lit("FUNDACJA").alias("legal_form"), F.array(F.lit("KRS")).alias("registry_sources"), "id"))
-    merge_court_batch(spark, court, f"{root}/master", "court", 0, in_id="krs_number", matched=court.select("krs_number", "id"))
+    merge_court_batch(spark, court.drop("id"), f"{root}/master", "court", 0, matched=court.select("krs_number", "id"))
     pages = spark.read.parquet(f"{root}/first").select("page_key", "content")
     status = lambda s: F.regexp_replace("content", '"status":"[A-Z]+"', f'"status":"{s}"').alias("content")
     newer = at(pages.filter("page_key % 4 = 0").select("page_key", status("ZAWIESZONY")), _T[2])
