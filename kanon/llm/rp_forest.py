@@ -280,11 +280,11 @@ def nearest(
                 bins = [[x for x, _ in zip(shared.value.opened(q), range(budget), strict=False)] for q in _matrix(part.column("v"))]
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in bins]))
                 turn = pa.array([i for y in bins for i in range(len(y))], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([x for y in bins for x in y], pa.int64()), part.column("node").take(row), part.column("v").take(row), turn], names=["bin", "node", "v", "turn"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for y in bins for x in y], pa.int64()), part.column("node").take(row), turn], names=["bin", "node", "turn"])
 
-    schema = "bin long, node long, v array<double>"
-    index = written(nodes.select("node", "v").mapInArrow(binned, schema), "bins")
-    wanted = searched.mapInArrow(sought, schema + ", turn int")
+    index = written(nodes.select("node", "v").mapInArrow(binned, "bin long, node long, v array<double>"), "bins")
+    # The queue is walked once; the vectors of the queries are added where they are used.
+    wanted = written(searched.mapInArrow(sought, "bin long, node long, turn int"), "opened").join(searched, "node")
     # A bin that no plane splits is dealt over salts; its queries go to each of them.
     hot = index.groupBy("bin").count().where(F.col("count") > 8 * leaf_rows).select("bin", F.ceil(F.col("count") / (4 * leaf_rows)).cast("int").alias("salts"))
     index = index.join(hot, "bin", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("node"), F.col("salts")), F.lit(0))).drop("salts")
