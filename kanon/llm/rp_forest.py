@@ -290,7 +290,6 @@ def nearest(
     index = index.join(hot, "bin", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("node"), F.col("salts")), F.lit(0))).drop("salts")
     wanted = wanted.join(hot, "bin", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
 
-
     def met(asked: DataFrame) -> DataFrame:
         """Hits of ``asked`` (with ``floor``) in the bins that they open."""
         rows = index.withColumn("asks", F.lit(0)).withColumn("floor", F.lit(None).cast("double")).unionByName(asked.withColumn("asks", F.lit(1)))
