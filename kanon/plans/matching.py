@@ -278,15 +278,20 @@ def _part_old(spark, sf):
     return read_table(spark, sf, "part").filter(F.col("p_partkey") % 2 == 0)
 
 
-def _part_new(spark, sf):
-    p = read_table(spark, sf, "part").filter(F.col("p_partkey") % 10 != 4)  # those are gone
+def _part_full(spark, sf):
+    p = read_table(spark, sf, "part")
     return p.withColumn("p_retailprice", F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") + 1)
                         .otherwise(F.col("p_retailprice")))
 
 
+def _part_new(spark, sf):
+    return _part_full(spark, sf).filter(F.col("p_partkey") % 10 != 4)  # those are gone
+
+
 _OLD_SQL = "select * from part where p_partkey % 2 = 0"
-_NEW_SQL = ("select p_partkey, p_name, p_brand, p_type, p_size, "
-            "case when p_partkey % 3 = 0 then p_retailprice + 1 else p_retailprice end as p_retailprice from part where p_partkey % 10 <> 4")
+_FULL_SQL = ("select p_partkey, p_name, p_brand, p_type, p_size, "
+             "case when p_partkey % 3 = 0 then p_retailprice + 1 else p_retailprice end as p_retailprice from part")
+_NEW_SQL = f"{_FULL_SQL} where p_partkey % 10 <> 4"
 
 
 @query("upsert_overwrite", with_bindings("""
@@ -297,10 +302,10 @@ select coalesce(o.p_partkey, b.p_partkey) as p_partkey,
        case when b.p_partkey is not null then b.p_size else o.p_size end as p_size,
        case when b.p_partkey is not null then b.p_retailprice else o.p_retailprice end as p_retailprice
 from old o full outer join (select * from new where p_partkey % 3 = 0) b on o.p_partkey = b.p_partkey""",
-    extra={"old": _OLD_SQL, "new": _NEW_SQL}))
+    extra={"old": _OLD_SQL, "new": _FULL_SQL}))
 def q_upsert_overwrite(spark, sf):
     """batch = changed / new parts (key % 3 = 0), deduplicated by key; brand is protected."""
-    batch = MG.dedupe_latest(_part_new(spark, sf).filter(F.col("p_partkey") % 3 == 0), "p_partkey", ["p_size"])
+    batch = MG.dedupe_latest(_part_full(spark, sf).filter(F.col("p_partkey") % 3 == 0), "p_partkey", ["p_size"])
     return MG.upsert_overwrite(_part_old(spark, sf), batch.select(*_part_old(spark, sf).columns), "p_partkey",
                                protected=("p_brand",))
 

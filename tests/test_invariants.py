@@ -178,3 +178,13 @@ def test_names_that_share_all_but_a_letter(spark):
     df = lambda c: spark.createDataFrame([(f"Zaklad {t}{c} Uslugowy", None) for t in tags], "name string, blk string")
     got = {(r[0], r[1]): r[2] for r in MG.name_candidates(df("q"), df("z"), "name", "name", F.col("blk"), F.col("blk")).collect()}
     assert all(got[(f"Zaklad {t}q Uslugowy", f"Zaklad {t}z Uslugowy")] == 1 for t in tags)
+
+
+def test_upsert_batch_holds_every_third_part(spark, tmp_path):
+    """Parts with a key that ends in 4 are in the batch as well."""
+    from kanon.plans.matching import q_upsert_overwrite
+
+    spark.createDataFrame([(k, f"n{k}", "b", "t", k, 10.0) for k in (4, 5, 24, 54, 9)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double") \
+        .write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: r.p_retailprice for r in q_upsert_overwrite(spark, str(tmp_path)).collect()}
+    assert got == {4: 10.0, 24: 11.0, 54: 11.0, 9: 11.0}
