@@ -3,8 +3,9 @@
 Distribution plan: one scan → partial hash aggregate per bucket → shuffle of
 (bucket, count) rows only → HAVING → TakeOrderedAndProject(limit). The total
 is a scalar subquery: the one-row sum over the same grouping, taken *before*
-HAVING. Its exchange is the one of the main branch (reused), so the data is
-aggregated once and no task ever holds all buckets of a free-text dimension.
+HAVING. It sums every count of the grouping, so that no column is pruned and its
+exchange is the one of the main branch (reused): the data is aggregated once and
+no task ever holds all buckets of a free-text dimension.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def distribution(df: DataFrame, dim: str | Column, limit: int | None = 20, min_b
         F.count(F.lit(1)).alias("companies"),
         F.count_if(is_active()).alias("active_companies"),
     )
-    total = grouped.agg(F.sum("companies").cast("bigint")).scalar()
+    total = grouped.agg(F.struct(*[F.sum(c).alias(c) for c in ("companies", "active_companies")])).scalar()["companies"]
     return (
         grouped.withColumn("total_count", total)
         .filter(F.col("companies") >= min_bucket)

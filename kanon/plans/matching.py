@@ -18,6 +18,7 @@ from kanon.plans.company import current
 from kanon.operators.identity import flag_current
 from kanon.plans.sqlbits import IDENTITY_SQL, RANK_SQL, SOURCE_PROFILE_SQL, present_sql as P, with_flagged
 from kanon.sources.bindings import BINDING_SQL, company_history, registry_b, usage_log, with_bindings
+from kanon.sources.sinks import kept
 from kanon.sources.tables import read_table
 
 
@@ -229,8 +230,10 @@ def _dimension_sql(name: str, bucket: str) -> str:
 
 @query("distribution_dimensions", with_flagged(" union all ".join(_dimension_sql(n, e) for n, e in _DIMENSION_SQL.items()), extra={"cur": _MASTER_SQL}))
 def q_distribution_dimensions(spark, sf):
-    """All ten dimensions, looked up by name in another case."""
-    rows = company_rows(spark, sf)
+    """All ten dimensions, looked up by name in another case. The current companies are found once, with the columns that
+    the dimensions read, and counted ten times."""
+    rows = kept(company_rows(spark, sf).select("voivodeship", "county", "municipality", "city", "status", "main_pkd_code", "started_on", "registered_on",
+                                               "krs_number", "ceidg_id", "legal_form"), "dimensions")
     parts = [A.distribution(rows, n.upper(), limit=100, min_bucket=1).select(F.lit(n).alias("dimension"), "bucket_key", "companies", "active_companies", "total_count")
              for n in _DIMENSION_SQL]
     return reduce(DataFrame.unionByName, parts)

@@ -49,3 +49,24 @@ def test_duplicate_report(spark):
     assert (r["multi_current_nip_groups"], r["multi_current_nip_rows"]) == (1, 2)
     assert (r["regon_groups"], r["regon_rows"]) == (0, 0)
     assert (r["krs_number_groups"], r["krs_number_rows"]) == (1, 2)
+
+
+def _companies(spark):
+    rows = [(i, f"c{i}", f"{i % 7:010d}" if i % 7 else None, "", None, "AKTYWNY" if i % 2 else "ZAWIESZONY", f"P{i % 3}") for i in range(60)]
+    return spark.createDataFrame(rows * 2, "id long, ceidg_id string, nip string, regon string, krs_number string, status string, county string")
+
+
+def test_current_rows_are_the_flagged_ones_without_a_join(spark):
+    from kanon.operators.identity import current_only, current_rows, flag_current
+
+    df = _companies(spark).withColumn("updated_at", F.when(F.col("id") % 4 > 0, F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval("id")))
+    got, want = current_rows(df), current_only(flag_current(df))
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = current_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_distribution_groups_the_rows_once(spark):
+    out = A.distribution(_companies(spark), "county", limit=20, min_bucket=1)
+    assert {tuple(r)[:4] for r in out.collect()} == {(f"P{k}", 40, 20, 120) for k in range(3)}
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
