@@ -188,3 +188,18 @@ def test_upsert_batch_holds_every_third_part(spark, tmp_path):
         .write.parquet(str(tmp_path / "part.parquet"))
     got = {r.p_partkey: r.p_retailprice for r in q_upsert_overwrite(spark, str(tmp_path)).collect()}
     assert got == {4: 10.0, 24: 11.0, 54: 11.0, 9: 11.0}
+
+
+def test_names_that_share_their_words_do_not_meet(spark):
+    """Names with equal words and codes that are far apart: they share every segment but the code's, and no string that is left
+    after two deletions."""
+    from kanon.operators.names import deletions, near_pairs as near
+
+    rng = random.Random(3)
+    a = [f"zakladautomobile{rng.getrandbits(40):010x}" for _ in range(300)]
+    b = [x[:-1] for x in a[:20]] + [f"zakladautomobile{rng.getrandbits(40):010x}" for _ in range(280)]
+    A, B = spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
+    met = A.select("a", F.explode(deletions(F.col("a"), 2)).alias("s")).join(B.select("b", F.explode(deletions(F.col("b"), 2)).alias("s")), "s").select("a", "b").distinct()
+    assert 20 <= met.count() < 100
+    assert sorted(map(tuple, near(A, B, "a", "b", 2, 10).collect())) == sorted((x, x[:-1], 1) for x in a[:20])
+    assert spark.range(1).select(F.size(deletions(F.lit("abc"), 2)), F.size(deletions(F.lit(""), 2))).first()[:] == (7, 1)
