@@ -1,8 +1,12 @@
 """Input / output pairs for the normalisers, written from their rules."""
 
+import random
+
 import pytest
 
 from conftest import one
+from pyspark.sql import functions as F
+
 from kanon.functions import contact as C
 from kanon.functions import dates as DT
 from kanon.functions import text as T
@@ -110,3 +114,25 @@ def test_multi_format_date(spark):
     assert one(spark, DT.parse_date, "bad") is None
     assert one(spark, DT.read_int, "6.55") is None and one(spark, DT.read_int, " 12 ") == 12
     assert one(spark, DT.read_bool, "TRUE") is True and one(spark, DT.read_bool, "0") is False
+
+
+def test_title_patterns_by_definition(spark):
+    """Roman words and word starts, as found by the plain form of their patterns."""
+    rng = random.Random(7)
+    chars = "ivxIVXLcdMm" * 3 + "ab\u0142\u00df\ue0011\u0663_'-. #\u0301\U0001d400\u2160"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    w = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
+    roman = rf"(?i)(?<!{w})([IVXLCDM]{{2,}})(?!{w})"
+    start = T.TITLE_START.replace("*+", "*")
+    same = lambda a, b, to: F.regexp_replace("t", a, to) == F.regexp_replace("t", b, to)
+    assert df.filter(~same(T.ROMAN_WORD, roman, "<$1>") | ~same(T.TITLE_START, start, "$1$2< $3")).count() == 0
+    assert df.filter(F.col("t").rlike(roman)).count() > 100
+
+
+def test_lists_joined_and_postal_code(spark):
+    for text, email, site in [("a@b.pl, A@B.pl; c@d.pl.", "a@b.pl, c@d.pl", "https://a@b.pl, https://c@d.pl"), ("none", None, None), ("", None, None),
+                              (None, None, None), ("./", None, None)]:
+        assert (one(spark, C.email_list, text), one(spark, C.website_list, text)) == (email, site)
+    for text, code in [("00950", "00-950"), (" 00 950 ", "00-950"), ("\u0663\u0663950", "\u0663\u0663-950"), ("0095", "0095"), ("x  1", "x 1"), (None, None)]:
+        assert one(spark, T.postal_code, text) == code
