@@ -203,3 +203,23 @@ def test_names_that_share_their_words_do_not_meet(spark):
     assert 20 <= met.count() < 100
     assert sorted(map(tuple, near(A, B, "a", "b", 2, 10).collect())) == sorted((x, x[:-1], 1) for x in a[:20])
     assert spark.range(1).select(F.size(deletions(F.lit("abc"), 2)), F.size(deletions(F.lit(""), 2))).first()[:] == (7, 1)
+
+
+def test_name_search_is_planned_step_by_step(spark, monkeypatch):
+    """The driver holds the plan of one step of the search, and no exploded name goes through it."""
+    from kanon.operators import names as N
+
+    steps = []
+
+    def kept(df, name, write=N.__dict__.get("kept")):
+        steps.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return write(df, name)
+
+    for module in (N, MG):
+        monkeypatch.setattr(module, "kept", kept, raising=False)
+    df = lambda names: spark.createDataFrame([(n, None) for n in names], "name string, blk string")
+    found = MG.name_candidates(df(["Zaklad abc", "Sklep"]), df(["ZAKLAD, abd", "Sklepik"]), "name", "name", F.col("blk"), F.col("blk"))
+    steps.append(("result", found._jdf.queryExecution().sparkPlan().toString()))
+    assert max(plan.count("\n") for _, plan in steps) < 150
+    assert all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for name, plan in steps if name == "pairs")
+    assert sorted(rows(found)) == [("Sklep", "Sklepik", 2), ("Zaklad abc", "ZAKLAD, abd", 1)]
